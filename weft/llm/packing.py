@@ -15,8 +15,10 @@ bucket and the rows' order in it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -25,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, spans, vector_bpe
 
 CAPACITY = 4096
 END_ID = 1
 #: Buckets that a length's pieces are dealt to before they are ranked.
 BUCKETS = 64
-#: Words whose ids a Python worker remembers; beyond it, it starts anew.
-REMEMBERED = 300_000
+#: Distinct pre-tokens whose ids a Python worker remembers.
+REMEMBERED = 800_000
+#: Characters of text that are encoded together.
+PORTION = 3_000_000
 
-PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
-#: Characters that str.split() takes for white space and the tokenizer doesn't.
-_DIFFERENT = re.compile(r"[\x1c-\x1f]")
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Texts of other characters, or with a special token's string, are left to the library.
+_OTHERS = re.compile(r"[^\x00-\xff]|<\|")
 
 
 @lru_cache(2)
@@ -44,7 +48,102 @@ def _encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return _Words(Tokenizer.from_file(path), path)
+
+
+class _Words:
+    """Ids of texts. Latin-1 texts are cut into pre-tokens in numpy and the distinct ones merged many at once;
+    the library encodes all others."""
+
+    def __init__(self, tok, path: str):
+        self.tok, self.memo = tok, spans.Memo(REMEMBERED)
+        vocab, merges, suffix = _merges(path)
+        self.plain = suffix is not None
+        if not self.plain:
+            return
+        pairs = [(vocab[a], vocab[b]) for a, b in merges]
+        self.pairs = vector_bpe.Pairs(pairs, list(range(len(pairs))), {r: vocab[a + b] for r, (a, b) in enumerate(merges)})
+        names = _byte_names()
+        self.inner = np.array([vocab[names[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[names[b] + suffix] for b in range(256)], np.int32)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [np.zeros(0, np.int32)] * len(texts)
+        own = []
+        for i, t in enumerate(texts):
+            if t and (not self.plain or _OTHERS.search(t)):
+                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32)
+            elif t:
+                own.append(i)
+        if own:
+            # a space between texts keeps their pre-tokens apart
+            data = [texts[i].lower().encode("latin-1") for i in own]
+            ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
+            ids, before = self._latin(np.frombuffer(b" ".join(data) + b" ", np.uint8), ends)
+            for i, a, b in zip(own, [0, *before[:-1].tolist()], before.tolist()):
+                out[i] = ids[a:b]
+        return out
+
+    def _latin(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of Latin-1 codes, the number of ids before each of the places ``ends``)."""
+        kind = _KIND[codes]
+        past = np.concatenate(([_SPACE], kind[:-1]))
+        begins = (kind != _SPACE) & ((kind != past) | (kind == _DIGIT))
+        quotes = np.flatnonzero((codes == 39) & begins)
+        if len(quotes):  # 's 't 're 've 'm 'll 'd where a quote begins a pre-token
+            pad = np.concatenate((codes, np.zeros(2, np.uint8)))
+            one, two = pad[quotes + 1], pad[quotes + 2]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((two == 101) & ((one == 114) | (one == 118))) | ((one == 108) & (two == 108))
+            for some, size in ((quotes[short], 2), (quotes[long], 3)):
+                begins[some + 1] = False
+                after = some + size
+                after = after[(after < len(codes))]
+                begins[after[kind[after] == _LETTER]] = True
+        stops = np.concatenate((begins[1:] | (kind[1:] == _SPACE), [True])) & (kind != _SPACE)
+        starts, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+        def find(_, a, b):
+            """Merges of distinct pre-tokens, over their UTF-8 bytes."""
+            at = spans.gather(a, b - a)
+            taken, sizes = codes[at], b - a
+            wide = taken >= 128
+            if wide.any():
+                grown = np.zeros(len(taken) + int(wide.sum()), np.uint8)
+                place = np.arange(len(taken)) + np.cumsum(wide) - wide
+                grown[place] = np.where(wide, 0xC0 | (taken >> 6), taken)
+                grown[place[wide] + 1] = 0x80 | (taken[wide] & 0x3F)
+                sizes = sizes + np.add.reduceat(wide.astype(np.int64), np.cumsum(b - a) - (b - a))
+                taken = grown
+            symbols, final = self.inner[taken], np.cumsum(sizes) - 1
+            symbols[final] = self.last[taken[final]]
+            return vector_bpe.merge_all(self.pairs, symbols, sizes)
+
+        ids, n = spans.merged(self.memo, codes, starts, stops, find)
+        total = np.concatenate(([0], np.cumsum(n)))
+        return ids, total[np.searchsorted(starts, ends)]
+
+
+_LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
+#: Kinds of the Latin-1 characters, as the tokenizer's pattern has them.
+_KIND = np.array([_SPACE if c in (*range(9, 14), 32, 0x85, 0xA0) else _LETTER if unicodedata.category(chr(c))[0] == "L" else _DIGIT if unicodedata.category(chr(c))[0] == "N" else _OTHER for c in range(256)], np.uint8)
+
+
+def _byte_names() -> list[str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if it prints, else from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+def _merges(path: str):
+    """(vocabulary, merges, end-of-word suffix), the suffix None unless this is the model that the fast way is for."""
+    held = json.loads(open(path, encoding="utf-8").read())
+    model = held["model"]
+    kinds = [n["type"] for n in (held.get("normalizer") or {}).get("normalizers", [])]
+    known = model["type"] == "BPE" and model.get("end_of_word_suffix") and kinds == ["NFC", "Replace", "Lowercase"] and not model.get("ignore_merges")
+    return model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] if known else None
 
 
 def _le(ids) -> bytes:
@@ -52,24 +151,8 @@ def _le(ids) -> bytes:
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """The little-endian 32-bit ids of each text. The tokenizer drops white space and treats the words between
-    it independently, so each distinct word is encoded once while it is remembered."""
-    tok, seen = _encoder(path)
-    if len(seen) > REMEMBERED:
-        seen.clear()
-    split = [t.split() if t and not _DIFFERENT.search(t) else None for t in texts]
-    new = list({w for words in split if words for w in words if w not in seen})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            seen[w] = _le(e.ids)
-    out = []
-    for t, words in zip(texts, split):
-        if words is not None:
-            out.append(b"".join(map(seen.__getitem__, words)))
-        else:
-            out.append(_le(tok.encode(t, add_special_tokens=False).ids) if t else b"")
-    return out
+    """The little-endian 32-bit ids of each text."""
+    return [_le(ids) for ids in _encoder(path).encode(texts)]
 
 
 def cut(data: bytes, capacity: int, end_id: int) -> list[tuple[int, int, int, int]]:
@@ -79,25 +162,25 @@ def cut(data: bytes, capacity: int, end_id: int) -> list[tuple[int, int, int, in
     return [(k, at // 4, len(data[at : at + step]) // 4, zlib.crc32(data[at : at + step])) for k, at in enumerate(range(0, len(data), step))]
 
 
-def _pieces_udf(path: str, capacity: int, end_id: int):
-    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+def _cut_up(path: str, capacity: int, end_id: int):
+    def run(batches):
+        for rows in spans.portions(batches, PORTION):
+            out: list[list] = [[], [], [], [], []]
+            for (doc_id, _), data in zip(rows, token_bytes([t for _, t in rows], path)):
+                for p in cut(data, capacity, end_id):
+                    for column, value in zip(out, (doc_id, *p)):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    @F.arrow_udf(PIECES)
-    def pieces(texts: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(texts), 64):  # few texts at a time are held as Python words
-            for data in token_bytes(texts[at : at + 64].to_pylist(), path):
-                out.append([dict(zip(("piece", "start", "length", "ids_crc32"), p)) for p in cut(data, capacity, end_id)])
-        return pa.array(out, kind)
-
-    return pieces
+    return run
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32."""
     common.tune(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", F.explode(_pieces_udf(tokenizer, capacity, end_id)("text")).alias("p")).select("doc_id", "p.*")
+    return own.mapInArrow(_cut_up(tokenizer, capacity, end_id), PIECES)
 
 
 class _Lengths:
