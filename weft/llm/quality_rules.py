@@ -72,47 +72,52 @@ def line_fails(line: Column) -> Column:
     return stutter | no_end | navigation | symbols | furniture
 
 
-def assessed(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
-    """``docs`` with the columns of the verdict, each named with ``prefix``; no shuffle, no Python."""
-    c = lambda n: F.col(f"{prefix}{n}")
-    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn(f"{prefix}spaced", _spaced(plain, " "))
-    out = out.withColumn(f"{prefix}word_chars", F.length(F.replace(c("spaced"), F.lit(" "), F.lit(""))).cast("long"))
-    out = out.withColumn(f"{prefix}words", F.array_remove(F.split(c("spaced"), " "), ""))
-    out = out.withColumn(f"{prefix}n_words", F.size(c("words")).cast("long"))
-    # a window's hash, from its words' by doubling: 1, 2, 4 and then 5 words
+def _steps(plain: Column, c):
+    """(name, what gives its Column) in order; c(name) is the Column of an earlier one."""
     pair = lambda a, b: F.xxhash64(a, b)
     rest = lambda n, k: F.slice(c(n), k + 1, F.greatest(F.size(c(n)) - k, F.lit(0)))
-    out = out.withColumn(f"{prefix}h1", F.when(c("n_words") >= WINDOW, F.transform(c("words"), lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn(f"{prefix}h2", F.zip_with(c("h1"), rest("h1", 1), pair))
-    out = out.withColumn(f"{prefix}h4", F.zip_with(c("h2"), rest("h2", 2), pair))
-    out = out.withColumn(f"{prefix}h5", F.zip_with(c("h4"), rest("h1", 4), pair))
-    out = out.withColumn(f"{prefix}hashes", F.slice(c("h5"), 1, F.greatest(F.size(c("h5")) - WINDOW + 1, F.lit(0))))
-    # which windows recur: only texts with any pay for the sort
-    recurs = F.size(F.array_distinct(c("hashes"))) < F.size(c("hashes"))
-    at = F.sort_array(F.transform(c("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn(f"{prefix}at", F.when(recurs, at).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-    marked = F.filter(c("at"), lambda x, k: same(F.get(c("at"), k + 1), x) | (same(F.get(c("at"), k - 1), x)))
-    out = out.withColumn(f"{prefix}marked", F.sort_array(F.transform(marked, lambda x: x["i"])))
-    covered = F.aggregate(
-        F.transform(c("marked"), lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(c("marked"), k + 1) - i, F.lit(WINDOW)))),
-        F.lit(0).cast("long"), lambda a, x: a + x,
-    )
-    out = out.withColumn(f"{prefix}n_repeat_words", covered)
-    out = out.withColumn(f"{prefix}n_symbols", F.when(_any(plain, "#*$%&|<>"), F.regexp_count(plain, F.lit(SYMBOLS))).otherwise(0).cast("long"))
-    lines = F.filter(F.split(plain, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    out = out.withColumn(f"{prefix}lines", lines)
-    out = out.withColumn(f"{prefix}own", F.array_distinct(c("lines")))  # a line equal to an earlier one is gone
-    out = out.withColumn(f"{prefix}n_dup_lines", (F.size(c("lines")) - F.size(c("own"))).cast("long"))
-    parts = F.transform(c("own"), lambda x: F.struct(x.alias("line"), F.split(x, " ").alias("parts")))
-    measured = F.transform(parts, lambda x: F.struct(x["line"].alias("line"), F.size(x["parts"]).alias("n"), F.size(F.array_distinct(x["parts"])).alias("own")))
-    out = out.withColumn(f"{prefix}measured", measured)
-    out = out.withColumn(f"{prefix}kept_lines", F.transform(F.filter(c("measured"), lambda x: ~line_fails(x)), lambda x: x["line"]))
-    whole = F.size(c("kept_lines")) == F.size(c("lines"))
-    out = out.withColumn(f"{prefix}kept_chars", F.when(whole, c("word_chars")).otherwise(F.length(_spaced(F.array_join(c("kept_lines"), ""), "")).cast("long")))
-    out = out.withColumn(f"{prefix}base_failed", (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words")))
-    return out.withColumn(f"{prefix}kept", ~c("base_failed") & (c("kept_chars") >= MIN_KEPT * c("word_chars")))
+    yield "plain", lambda: plain
+    yield "spaced", lambda: _spaced(c("plain"), " ")
+    yield "word_chars", lambda: F.length(F.replace(c("spaced"), F.lit(" "), F.lit(""))).cast("long")
+    yield "words", lambda: F.array_remove(F.split(c("spaced"), " "), "")
+    yield "n_words", lambda: F.size(c("words")).cast("long")
+    # a window's hash, from its words' by doubling: 1, 2, 4 and then 5 words
+    yield "h1", lambda: F.when(c("n_words") >= WINDOW, F.transform(c("words"), lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
+    yield "h2", lambda: F.zip_with(c("h1"), rest("h1", 1), pair)
+    yield "h4", lambda: F.zip_with(c("h2"), rest("h2", 2), pair)
+    yield "h5", lambda: F.zip_with(c("h4"), rest("h1", 4), pair)
+    yield "hashes", lambda: F.slice(c("h5"), 1, F.greatest(F.size(c("h5")) - WINDOW + 1, F.lit(0)))
+    # which windows recur: only texts with any pay for the sort
+    yield "at", lambda: F.when(
+        F.size(F.array_distinct(c("hashes"))) < F.size(c("hashes")), F.sort_array(F.transform(c("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    yield "marked", lambda: F.sort_array(F.transform(F.filter(c("at"), lambda x, k: same(F.get(c("at"), k + 1), x) | same(F.get(c("at"), k - 1), x)), lambda x: x["i"]))
+    yield "n_repeat_words", lambda: F.aggregate(
+        F.transform(c("marked"), lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(c("marked"), k + 1) - i, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x
+    )
+    yield "n_symbols", lambda: F.when(_any(c("plain"), "#*$%&|<>"), F.regexp_count(c("plain"), F.lit(SYMBOLS))).otherwise(0).cast("long")
+    yield "lines", lambda: F.filter(F.split(c("plain"), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+    yield "own", lambda: F.array_distinct(c("lines"))  # a line equal to an earlier one is gone
+    yield "n_dup_lines", lambda: (F.size(c("lines")) - F.size(c("own"))).cast("long")
+    yield "parts", lambda: F.transform(c("own"), lambda x: F.struct(x.alias("line"), F.split(x, " ").alias("parts")))
+    yield "measured", lambda: F.transform(c("parts"), lambda x: F.struct(x["line"].alias("line"), F.size(x["parts"]).alias("n"), F.size(F.array_distinct(x["parts"])).alias("own")))
+    yield "kept_lines", lambda: F.transform(F.filter(c("measured"), lambda x: ~line_fails(x)), lambda x: x["line"])
+    yield "kept_chars", lambda: F.when(F.size(c("kept_lines")) == F.size(c("lines")), c("word_chars")).otherwise(F.length(_spaced(F.array_join(c("kept_lines"), ""), "")).cast("long"))
+    yield "base_failed", lambda: (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
+    yield "kept", lambda: ~c("base_failed") & (c("kept_chars") >= MIN_KEPT * c("word_chars"))
+
+
+def _plain(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def assessed(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
+    """``docs`` with a column for each step of the verdict, named with ``prefix``; no shuffle, no Python."""
+    out = docs
+    for name, step in _steps(_plain(text), lambda n: F.col(f"{prefix}{n}")):
+        out = out.withColumn(f"{prefix}{name}", step())
+    return out
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -124,15 +129,22 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in (*COLUMNS, "kept_chars")])
 
 
+def _kept(docs: DataFrame, *more: str) -> DataFrame:
+    """The rows that are kept, with some steps' columns. The verdict is written beside the rows before it filters them:
+    the optimizer would else write into the filter, over and over, the expressions of all that the verdict refers to."""
+    prefix = "_q" + "_" * max(map(len, docs.columns)) + "_"
+    own = assessed(docs, prefix=prefix).select(*docs.columns, *[f"{prefix}{n}" for n in ("kept", *more)])
+    return common.materialise(own, "quality").where(f"{prefix}kept").withColumnsRenamed({f"{prefix}{n}": n for n in more}).drop(f"{prefix}kept")
+
+
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns, and ``clean_text``: the lines that stand."""
-    own = assessed(docs).where("_q_kept").withColumn("clean_text", F.array_join("_q_kept_lines", "\n"))
-    return own.select(*docs.columns, "clean_text")
+    return _kept(docs, "kept_lines").withColumn("clean_text", F.array_join("kept_lines", "\n")).select(*docs.columns, "clean_text")
 
 
 def reject(docs: DataFrame) -> DataFrame:
     """The documents that are kept, unchanged."""
-    return assessed(docs).where("_q_kept").select(*docs.columns)
+    return _kept(docs)
 
 
 def op4_quality_rules(spark, sf_dir):
