@@ -45,7 +45,7 @@ RATE = 0.1
 MOD, REST = 7, 2
 BLOCK_CHARS = 24_000_000
 
-BLOCKS = "block long, ids array<long>, held array<boolean>, lens array<int>, words array<binary>, uses array<int>, tokens binary"
+BLOCKS = "block long, ids array<long>, held array<boolean>, lens array<int>, words array<binary>, uses array<int>, hashes binary, classes binary, tokens binary"
 
 
 def class_of(word: bytes) -> int:
@@ -72,9 +72,11 @@ def _blocks(batches):
             pa.array([[len(t) for t in tokens]], pa.list_(pa.int32())),
             pa.array([list(entry)], pa.list_(pa.binary())),
             pa.array([uses.astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([np.fromiter(map(zlib.crc32, entry), np.uint32, len(entry)).tobytes()], pa.binary()),
+            pa.array([np.fromiter(map(class_of, entry), np.int8, len(entry)).tobytes()], pa.binary()),
             pa.array([np.concatenate(tokens).astype(np.int32).tobytes()], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "words", "uses", "tokens"])
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "words", "uses", "hashes", "classes", "tokens"])
 
     state, chars = fresh(), 0
     for batch in batches:
@@ -98,11 +100,10 @@ class _Text:
     """A block's tokens with their features' rows and classes."""
 
     def __init__(self, block):
-        words = block["words"]
         self.tokens = np.frombuffer(block["tokens"], np.int32)
         self.lens = np.asarray(block["lens"], np.int64)
-        self.hash = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words))
-        self.klass = np.fromiter(map(class_of, words), np.int8, len(words))
+        self.hash = np.frombuffer(block["hashes"], np.uint32)
+        self.klass = np.frombuffer(block["classes"], np.int8)
         ends = np.cumsum(self.lens)
         self.place = np.arange(len(self.tokens)) - np.repeat(ends - self.lens, self.lens)
         self.held = np.repeat(np.asarray(block["held"], bool), self.lens)
@@ -161,7 +162,7 @@ def train(blocks: DataFrame, class_counts: list[int], rounds: int = ROUNDS) -> n
     context = blocks.sparkSession.sparkContext
     weights = np.zeros((ROWS + 1, CLASSES), np.float32)
     weights[ROWS] = np.log((np.array(class_counts) + 1.0) / (sum(class_counts) + CLASSES))
-    own = blocks.select("held", "lens", "words", "tokens").rdd
+    own = blocks.select("held", "lens", "hashes", "classes", "tokens").rdd
     for turn in range(rounds):
         sent = context.broadcast(weights)
 
@@ -234,6 +235,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     weights = train(blocks, [n for n, _ in totals])
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     run = _scorer(sent, totals, sum(n for n, _ in totals), sum(v for _, v in totals))
+    blocks = blocks.select("block", "ids", "held", "lens", "hashes", "classes", "tokens")  # words aren't needed again
     return blocks.groupBy("block").cogroup(counts.where("c > 0").select("block", "pos", "c").groupBy("block")).applyInPandas(run, SCORES)
 
 
