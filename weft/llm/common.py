@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -76,6 +77,13 @@ def by_hash(df: DataFrame, column: str, share: float, seed: str = "") -> DataFra
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def give_back() -> None:
+    """Return to the system the memory that a worker has freed and its allocator would keep: an executor's idle
+    workers hold theirs beside those that work."""
+    with contextlib.suppress(OSError, AttributeError):  # an allocator other than glibc's has no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def words_of(text) -> list[bytes]:
     """ASCII-lower-cased words of a text (str, bytes or None), split at ASCII white space."""
     if text is None:

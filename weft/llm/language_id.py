@@ -171,6 +171,7 @@ def predictor(docs: DataFrame, model: Model | None):
     def language(texts: pa.Array) -> pa.Array:
         m = held.value
         names, scores = predict(m, texts)
+        common.give_back()
         out = [n == UNKNOWN or s < m.reject_under for n, s in zip(names, scores)]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(out, pa.bool_())], ["lang_pred", "score", "rejected"])
 

@@ -172,6 +172,9 @@ def _cut_up(path: str, capacity: int, end_id: int):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            out = rows = None
+            spans.forget()
+            common.give_back()
 
     return run
 

@@ -61,7 +61,9 @@ def _fingerprints(size: int):
     def simhash(texts: pa.Array) -> pa.Array:
         # texts one by one: a batch's words would take many times its size
         found = (fingerprint(common.words_of(t.as_py()), size) for t in texts)
-        return pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
+        out = pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
+        common.give_back()
+        return out
 
     return simhash
 

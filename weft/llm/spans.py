@@ -25,6 +25,11 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget() -> None:
+    """Drop the powers, which are as many as the codes of the longest block."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _M(30))) * _M(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _M(27))) * _M(0x94D049BB133111EB)
