@@ -140,5 +140,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = common.materialise(near_duplicates(docs), "simhash-found")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     rows = stay.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(stay.distinct(), docs["doc_id"].cast("long").eqNullSafe(stay["doc_id"]), "left_semi")
+    # the ids that stay grow with the documents: a merge at every size, no broadcast at small ones
+    kept = docs.join(stay.distinct().hint("merge"), docs["doc_id"].cast("long").eqNullSafe(stay["doc_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if rows.where("n > 1").limit(1).count() else kept
