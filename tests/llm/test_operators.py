@@ -391,6 +391,72 @@ def test_merge_dropout(docs, none):
     assert all(flat[e - k : e].tolist() == model.segment(p, 0.4, int(key)) for p, key, k, e in zip(parts, keys, n, ends))
 
 
+def test_merge_dropout_varies_occurrences(spark):
+    """A frequent word has several segmentations within a document and across documents, each candidate skipped as often as asked."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = merge_dropout.load(path)
+    plain = merge_dropout.encode_all(path, ["running"], 0.0, 1)[0].tolist()
+    text = " ".join(["running"] * 400)
+    usual = sum(listed_agenda(model, " running", Drawn(k)) == plain for k in range(2000)) / 2000
+    df = spark.createDataFrame([(1, text), (2, text), (None, text), (1, text)], "doc_id long, text string")
+    got = [r.ids for r in merge_dropout.encoded(df, path, dropout=0.1).orderBy("doc_id").collect()]
+    assert got[1] == got[2] and len({tuple(x) for x in got}) == 3  # repeated rows alike, other documents not
+    for ids in got:
+        words = Counter()
+        at = 0
+        while at < len(ids):
+            end = at + 1
+            while model.decode(ids[at:end]) not in ("running", " running"):
+                end += 1
+            words[tuple(ids[at:end])] += 1
+            at = end
+        assert sum(words.values()) == 400 and len(words) > 3
+        assert abs(words[tuple(plain)] / 400 - usual) < 0.09
+    # long stretches vary as well
+    long = merge_dropout.encode_all(path, ["x" * 400, "x" * 400], 0.1, 1, [1, 2])
+    assert long[0].tolist() != long[1].tolist()
+
+
+def test_merge_dropout_skips_as_listed():
+    """Remembered lists of skips give what the agenda gives that skips the same candidates."""
+    model = merge_dropout.load(public_tokenizers.path("piece_bpe_32k.model"))
+    words = [" running", " internationally", " the", " other"]
+    codes, lens = np.array([ord(c) for w in words for c in w], np.int32), np.array([len(w) for w in words])
+    plain, n = model.merge_all(codes, lens, None, 0.0)
+    flat, m = model.merge_all(codes, lens, None, 0.0, np.zeros((4, 0), np.int16))
+    starts = np.cumsum(m) - m
+    assert np.delete(flat, starts).tolist() == plain.tolist() and flat[starts].tolist() == (lens - n).tolist()
+    flat, m = model.merge_all(codes, lens, None, 0.0, np.array([[0], [1], [0], [2]], np.int16))
+    ends = np.cumsum(m)
+    for w, k, e, skip in zip(words, m, ends, [0, 1, 0, 2]):
+        assert flat[e - k + 1 : e].tolist() == listed_agenda(model, w, {skip})
+
+
+class Drawn:
+    """A tenth of the candidates, drawn independently."""
+
+    def __init__(self, seed):
+        self.rng = random.Random(seed)
+
+    def __contains__(self, turn):
+        return self.rng.random() < 0.1
+
+
+def listed_agenda(model, stretch, skips):
+    """The ids of a stretch whose candidates of the given numbers are skipped: by scores, then from the left."""
+    sym, blocked, turn = [c.replace(" ", "▁") for c in stretch], set(), -1
+    while True:
+        pairs = [(model.rank[a + b], i) for i, (a, b) in enumerate(zip(sym, sym[1:])) if a + b in model.rank and (i, a, b) not in blocked]
+        if not pairs:
+            return [model.ids[x] for x in sym]
+        turn, (_, i) = turn + 1, min(pairs)
+        if turn in skips:
+            blocked.add((i, sym[i], sym[i + 1]))
+        else:
+            blocked = {(j - (j > i), a, b) for j, a, b in blocked}
+            sym[i : i + 2] = [sym[i] + sym[i + 1]]
+
+
 def test_memo_forgets_nothing_in_use():
     memo = spans.Memo(3)
     codes = np.frombuffer(b"aabbccddaabb", np.uint8)

@@ -1,17 +1,20 @@
 """SentencePiece encoding (merge type) with seeded merge-dropout, and decoding.
 
 Merges come from an agenda ordered by the pieces' scores, then from the left. A candidate taken from the agenda
-is skipped with probability ``dropout`` by a hash keyed with the seed, the document's variant, the stretch of text, the
-place and the piece: the same document gets the same segmentation in any run and on any executor, other seeds
-and variants get others. Without dropout the ids are the library's. Pieces that the vocabulary lacks fall back
+is skipped with probability ``dropout`` by a hash keyed with the seed, the document's id, variant and text, the stretch's
+place in the text and the merge's place in the stretch: the same document gets the same segmentation in any run and on any
+executor, while a word's occurrences within and across documents are segmented independently, and other seeds
+and variants give others. Without dropout the ids are the library's. Pieces that the vocabulary lacks fall back
 to bytes, as does U+2581 in a text, which would else come back as a space; so decoding returns the text itself.
 
 Between two characters that no piece holds side by side nothing can merge, so texts are cut there into stretches
-that are segmented independently, each once for a variant while a worker remembers it. Many stretches are merged at
-once in numpy; ``Model.segment`` is the agenda of a single stretch.
+that are segmented independently. What a stretch becomes depends on which of its candidates, counted as they are taken,
+are skipped; workers remember it for the stretch and that list. Each occurrence draws its own list, skip by skip: how
+many candidates are merged up to the next skip. So only lists that are new for a stretch are merged, many at once in numpy;
+stretches over ``LONG`` have too many lists and are merged at each occurrence. ``Model.segment`` is the agenda of a single stretch.
 
 Defined results: null texts are empty and have no pieces; repeated rows and ids give a row each; a null id has
-variant 0; an empty table gives no rows; extra columns are ignored.
+variant 0 and is told apart by its text; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from . import common, spans, vector_bpe
 
 DROPOUT = 0.1
 SEED = 17
-#: Documents are dealt to so many differently keyed segmentations; other seeds give others in any case.
+#: Documents are dealt to so many variants, which the key holds besides the document.
 VARIANTS = 1
-#: Distinct stretches whose ids a Python worker remembers.
+#: Characters of a stretch over which its ids aren't remembered.
+LONG = 24
+#: Distinct stretches and lists of skips whose ids a Python worker remembers.
 REMEMBERED = 600_000
 #: Characters of text that are encoded together.
 PORTION = 2_000_000
@@ -162,7 +167,7 @@ class Model:
         text = " " + text
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
         cuts = [*self.stretches(codes, np.zeros(1, np.int64)).tolist(), len(text)]
-        return [i for a, b in zip(cuts, cuts[1:]) for i in self.segment(text[a:b], dropout, seed)]
+        return [i for a, b in zip(cuts, cuts[1:]) for i in self.segment(text[a:b], dropout, _mixed(seed + a * 0x9E3779B97F4A7C15))]
 
     def decoded_bytes(self, ids: bytes) -> bytes:
         """The text's bytes for ids (little-endian, 32 bits)."""
@@ -173,12 +178,14 @@ class Model:
     def decode(self, ids) -> str:
         return self.decoded_bytes(np.asarray(ids, "<u4").tobytes()).decode("utf-8", "replace")
 
-    def merge_all(self, codes: np.ndarray, lens: np.ndarray, own: np.ndarray | None, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, numbers) of stretches of code points, merged many at once; own: the stretches' keys."""
+    def merge_all(self, codes: np.ndarray, lens: np.ndarray, own: np.ndarray | None, dropout: float, skips: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers) of stretches of code points, merged many at once; own: the stretches' keys; skips: instead, the
+        candidates that each skips. With skips, each stretch's ids come after the number of candidates that it took."""
         symbols = self.char_ids[codes]
         odd = symbols < 0
         symbols[odd] = -2 - codes[odd].astype(np.int32)  # merges with nothing
-        flat, n = vector_bpe.merge_all(self.pairs, symbols, lens, own, dropout)
+        flat, n = vector_bpe.merge_all(self.pairs, symbols, lens, own, dropout, skips)
+        taken = lens - n + skips.shape[1] if skips is not None else None  # what has merged and what was skipped
         odd = np.flatnonzero(flat < 0)
         if len(odd):  # characters without a piece, spelt in bytes
             spelt = [[self.byte_ids[b] for b in chr(-2 - c).encode("utf-8", "replace")] for c in flat[odd].tolist()]
@@ -191,6 +198,8 @@ class Model:
             total = np.concatenate(([0], ends))
             stops = np.cumsum(n)
             flat, n = grown, total[stops] - total[stops - n]
+        if taken is not None:
+            flat, n = np.insert(flat, np.cumsum(n) - n, taken), n + 1
         return flat, n
 
 
@@ -199,15 +208,54 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-@lru_cache(4)
-def _memo(path: str, dropout: float, seed: int, variant: int) -> spans.Memo:
+@lru_cache(2)
+def _memo(path: str) -> spans.Memo:
     return spans.Memo(REMEMBERED)
 
 
-def encode_all(path: str, texts: list[str | None], dropout: float, seed: int, variant: int = 0) -> list[np.ndarray]:
-    """The ids of each text."""
-    model, memo = load(path), _memo(path, dropout, seed, variant)
-    key = np.uint64(xxhash.xxh64_intdigest(f"{seed}/{variant}".encode()))
+@lru_cache(4)
+def _limits(dropout: float) -> np.ndarray:
+    """Ascending: a hash is under the k-th from the end with the probability that k candidates in a row are merged."""
+    out, k = [], 1
+    while (x := int((1 - dropout) ** k * 2**64)) and k < 1 << 16:
+        out.append(min(x, 2**64 - 1))
+        k += 1
+    return np.array(out[::-1], np.uint64)
+
+
+def _remembered(model: Model, memo: spans.Memo, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, own: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, numbers) of short stretches of ``codes``; own: the occurrences' keys."""
+    at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    left, state = np.arange(len(starts)), spans.keys(codes, starts, starts + lens)
+    skips, asked = np.zeros((len(starts), 0), np.int16), []
+    while len(left):
+        distinct, first, inverse = np.unique(state, return_index=True, return_inverse=True)
+        new = np.flatnonzero(memo.unknown(distinct))
+        if len(new):
+            rows = left[first[new]]
+            memo.learn(distinct[new], *model.merge_all(codes[spans.gather(starts[rows], lens[rows])], lens[rows], None, 0.0, skips[first[new]]))
+        asked.append(distinct)
+        place, size = memo.places(distinct)
+        place = place[inverse]
+        at[left], n[left] = place + 1, size[inverse] - 1
+        if not dropout:
+            break
+        # the next candidate that is skipped, if the stretch takes so many
+        limits = _limits(dropout)
+        drawn = len(limits) - np.searchsorted(limits, spans.mixed(own[left] + np.uint64(skips.shape[1] * 0xC2B2AE3D27D4EB4F & _M64)), side="right")
+        skip = drawn + (skips[:, -1] + 1 if skips.shape[1] else 0)
+        on = skip < memo.flat[place]
+        left, skip = left[on], skip[on]
+        skips = np.column_stack((skips[on], skip.astype(np.int16)))
+        state = spans.mixed(state[on] + (skip + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = memo.flat[spans.gather(at, n)]
+    memo.trim(np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.uint64))
+    return out, n
+
+
+def encode_all(path: str, texts: list[str | None], dropout: float, seed: int, marks: list | None = None) -> list[np.ndarray]:
+    """The ids of each text; marks: what tells documents apart besides their texts."""
+    model, memo = load(path), _memo(path)
     whole = [" " + t if t else "" for t in texts]
     lens = np.fromiter(map(len, whole), np.int64, len(whole))
     codes = np.frombuffer("".join(whole).encode("utf-32-le", "replace"), "<u4").astype(np.int32)
@@ -215,13 +263,24 @@ def encode_all(path: str, texts: list[str | None], dropout: float, seed: int, va
     if not len(codes):
         return [np.zeros(0, np.int32)] * len(texts)
     starts = model.stretches(codes, (ends - lens)[lens > 0])
-    stops = np.append(starts[1:], len(codes))
-
-    def find(keys, a, b):
-        return model.merge_all(codes[spans.gather(a, b - a)], b - a, spans.mixed(keys ^ key) if dropout else None, dropout)
-
-    ids, n = spans.merged(memo, codes, starts, stops, find)
+    sizes = np.diff(np.append(starts, len(codes)))
+    text = np.searchsorted(ends, starts, side="right")
+    marked = zip(whole, marks or [""] * len(whole))
+    documents = np.array([xxhash.xxh64_intdigest(f"{seed}/{m}/{t}".encode("utf-8", "replace")) for t, m in marked], np.uint64)
+    own = spans.mixed(documents[text] + (starts - (ends - lens)[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    long = (sizes > LONG) & bool(dropout)
+    n = np.zeros(len(starts), np.int64)
+    found = []
+    for rows in (np.flatnonzero(~long), np.flatnonzero(long)):
+        if len(rows) and long[rows[0]]:
+            part, n[rows] = model.merge_all(codes[spans.gather(starts[rows], sizes[rows])], sizes[rows], own[rows], dropout)
+        else:
+            part, n[rows] = _remembered(model, memo, codes, starts[rows], sizes[rows], own[rows], dropout)
+        found.append((rows, part))
     total = np.concatenate(([0], np.cumsum(n)))
+    ids = np.empty(int(total[-1]), np.int32)
+    for rows, part in found:
+        ids[spans.gather(total[rows], n[rows])] = part
     after = total[np.searchsorted(starts, ends)]
     return [ids[x:y] for x, y in zip([0, *after[:-1].tolist()], after.tolist())]
 
@@ -233,12 +292,8 @@ def _variant(variants: int):
 def _portions(path: str, batches, dropout: float, seed: int):
     """Arrow batches of (doc_id, variant, text) as lists of (doc_id, variant, text, ids)."""
     for rows in spans.portions(batches, PORTION):
-        ids: list = [None] * len(rows)
-        for v in {r[1] for r in rows}:
-            own = [i for i, r in enumerate(rows) if r[1] == v]
-            for i, x in zip(own, encode_all(path, [rows[i][2] for i in own], dropout, seed, v)):
-                ids[i] = x
-        yield [(*r, x) for r, x in zip(rows, ids)]
+        found = encode_all(path, [r[2] for r in rows], dropout, seed, [f"{r[1]}/{r[0]}" for r in rows])
+        yield [(*r, x) for r, x in zip(rows, found)]
 
 
 def _own(docs: DataFrame, variants: int) -> DataFrame:

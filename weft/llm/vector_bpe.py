@@ -3,7 +3,8 @@
 Words of a batch that have the same number of symbols are the rows of an array; each round finds every row's
 best-ranked pair of neighbours by a hash table of pairs and merges it, so a word takes as many rounds as it has
 merges and Python runs once a round, not once a merge. With dropout, a round skips a row's best pair instead
-where a keyed hash of the word, place and merged piece says so; the pair comes back only if a neighbour changes.
+where a keyed hash of the word, place and merged piece says so, or the rounds that are listed for the row; the pair
+comes back only if a neighbour changes.
 """
 
 from __future__ import annotations
@@ -67,15 +68,18 @@ class Pairs:
             k += 1
         return np.where((a < 0) | (b < 0), NONE, out)
 
-    def merge(self, symbols: np.ndarray, own: np.ndarray | None = None, dropout: float = 0.0) -> np.ndarray:
-        """Rows of symbols, merged; -1 fills rows up on the right; lower symbols merge with nothing. own: each row's 64-bit key, with dropout."""
+    def merge(self, symbols: np.ndarray, own: np.ndarray | None = None, dropout: float = 0.0, skips: np.ndarray | None = None) -> np.ndarray:
+        """Rows of symbols, merged; -1 fills rows up on the right; lower symbols merge with nothing. own: each row's 64-bit key, with dropout;
+        skips: instead of both, the rounds that each row skips, as many for all."""
         n, width = symbols.shape
         out = np.full((n, width), -1, np.int32)
         rows, sym = np.arange(n), symbols.astype(np.int32)
         limit = _M(min(int(dropout * 2**64), 2**64 - 1))
         ranks = self.rank(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1) if width > 1 else np.zeros((n, 0), np.int32)
         place = np.broadcast_to(np.arange(width, dtype=np.int32), sym.shape).copy() if dropout else None
+        listed, turn = skips is not None and skips.shape[1] > 0, -1
         while sym.shape[1] > 1 and len(rows):
+            turn += 1
             at = ranks.argmin(1)
             each = np.arange(len(rows))
             best = ranks[each, at]
@@ -86,13 +90,17 @@ class Pairs:
                 rows, sym, ranks, at, best = rows[go], sym[go], ranks[go], at[go], best[go]
                 own = own[go] if dropout else own
                 place = place[go] if dropout else place
+                skips = skips[go] if listed else skips
                 each = np.arange(len(rows))
                 if not len(rows):
                     return out
             made = self.made[best]
-            if dropout:
-                x = own + place[each, at].astype(np.uint64) * _M(0x9E3779B97F4A7C15) + made.astype(np.uint64) * _M(0xC2B2AE3D27D4EB4F)
-                skip = _mixed(x) < limit
+            if dropout or listed:
+                if listed:
+                    skip = (skips == turn).any(1)
+                else:
+                    x = own + place[each, at].astype(np.uint64) * _M(0x9E3779B97F4A7C15) + made.astype(np.uint64) * _M(0xC2B2AE3D27D4EB4F)
+                    skip = _mixed(x) < limit
                 ranks[each[skip], at[skip]] = NONE
                 m = ~skip
                 each, at, made = each[m], at[m], made[m]
@@ -113,9 +121,10 @@ class Pairs:
             rpart[k[inner], at[inner]] = self.rank(made[inner], right[inner])
             back = at > 0
             rpart[k[back], at[back] - 1] = self.rank(part[k[back], at[back] - 1], made[back])
-            if dropout:
+            if dropout or listed:
                 sym[each], ranks[each] = part, rpart
-                place[each] = np.take_along_axis(place[each], src, 1)
+                if dropout:
+                    place[each] = np.take_along_axis(place[each], src, 1)
             else:  # every row has merged once: one column less
                 sym, ranks = part[:, :-1], rpart[:, :-1]
         if len(rows):
@@ -123,7 +132,7 @@ class Pairs:
         return out
 
 
-def merge_all(pairs: Pairs, symbols: np.ndarray, lens: np.ndarray, own: np.ndarray | None = None, dropout: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def merge_all(pairs: Pairs, symbols: np.ndarray, lens: np.ndarray, own: np.ndarray | None = None, dropout: float = 0.0, skips: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Words given one after another, with their numbers of symbols: (merged symbols one after another, numbers)."""
     starts = np.cumsum(lens) - lens
     n_out = np.zeros(len(lens), np.int64)
@@ -132,7 +141,7 @@ def merge_all(pairs: Pairs, symbols: np.ndarray, lens: np.ndarray, own: np.ndarr
         same = np.flatnonzero(lens == width)
         for k in range(0, len(same), CHUNK):
             rows = same[k : k + CHUNK]
-            got = pairs.merge(symbols[starts[rows][:, None] + np.arange(width)], own[rows] if own is not None else None, dropout)
+            got = pairs.merge(symbols[starts[rows][:, None] + np.arange(width)], own[rows] if own is not None else None, dropout, skips[rows] if skips is not None else None)
             full = got != -1
             n_out[rows] = full.sum(1)
             kept.append((rows, got[full]))
