@@ -287,6 +287,21 @@ def test_lm_scores(docs, none):
     assert language_model.lm_scores(none).count() == 0
 
 
+def test_lm_meets_every_training_position(monkeypatch):
+    """Over the rounds, every position of every training document gives a gradient once, in short documents too."""
+    met = []
+    rows = language_model._Text.rows
+    monkeypatch.setattr(language_model._Text, "rows", lambda self, at: met.append(at) or rows(self, at))
+    lens = [1, 2, 4, 40, 3, 2, 1, 900]
+    held = [False, False, True, False, False, True, False, False]
+    n = sum(lens)
+    block = {"tokens": (np.arange(n) % 50).astype(np.int32).tobytes(), "lens": lens, "held": held, "hashes": np.arange(50, dtype=np.uint32).tobytes(), "classes": (np.arange(50) % 32).astype(np.int8).tobytes()}
+    weights = np.zeros((language_model.ROWS + 1, language_model.CLASSES), np.float32)
+    for turn in range(language_model.ROUNDS):
+        language_model._steps(weights, [block], turn, language_model.ROUNDS)
+    assert sorted(np.concatenate(met)) == np.flatnonzero(~np.repeat(held, lens)).tolist()
+
+
 def brute_top(rows, k=5):
     own = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []

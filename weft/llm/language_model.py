@@ -11,9 +11,9 @@ words seen and one unseen word a class.
 Blocks of documents keep their distinct words and the words' places; the words of all blocks meet in one
 shuffle by word, which sums their counts over all training documents and hands them back to the blocks.
 The weights are trained in ``ROUNDS`` rounds: each partition runs minibatch steps (AdaGrad by row) from the
-current weights over its own training documents' tokens, every ``STRIDE``-th position, others in each round,
+current weights over its own training documents' tokens, every ``ROUNDS``-th position, others in each round,
 and the partitions' changes are averaged by row, weighted with how often they met the row (a tree of sums).
-All training documents take part in every round and in all counts; the weights' size is fixed.
+Every position of every training document is met in exactly one round; all take part in the counts. The weights' size is fixed.
 
 Defined results: null texts are empty and consist of the end alone; with no training document the counts are
 zero and the classes equally likely. Repeated rows and ids give a row each; null ids stay and belong to no held-out fold;
@@ -39,7 +39,6 @@ from . import common
 CLASSES = 32
 ROWS = 1 << 14  # hashed features; one more row is the bias
 ROUNDS = 2
-STRIDE = 16
 BATCH = 4096
 RATE = 0.1
 MOD, REST = 7, 2
@@ -130,13 +129,18 @@ def _logits(weights, rows):
     return z
 
 
-def _steps(weights: np.ndarray, blocks, turn: int):
+def _met(held: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The training positions of a block that a round meets; the rounds meet each once."""
+    at = np.flatnonzero(~held)
+    return at[at % rounds == turn]
+
+
+def _steps(weights: np.ndarray, blocks, turn: int, rounds: int):
     """One partition's minibatch steps; (change weighted with times met, times met)."""
     own, seen, speed = weights.copy(), np.zeros(len(weights), np.float32), np.full(len(weights), 0.1, np.float32)
     for block in blocks:
         text = _Text(block)
-        at = np.flatnonzero(~text.held)
-        at = at[at % STRIDE == (turn * STRIDE) // ROUNDS]
+        at = _met(text.held, turn, rounds)
         for k in range(0, len(at), BATCH):
             part = at[k : k + BATCH]
             rows, classes = text.rows(part), text.classes(part)
@@ -145,12 +149,13 @@ def _steps(weights: np.ndarray, blocks, turn: int):
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(part)), classes] -= 1
-            order = np.argsort(rows.ravel(), kind="stable")
-            flat = rows.ravel()[order]
+            hashed = rows[:, :-1].astype(np.uint16).ravel()  # all but the bias; 16 bits are sorted by radix
+            order = np.argsort(hashed, kind="stable")
+            flat = hashed[order]
             starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-            distinct, times = flat[starts], np.diff(np.append(starts, len(flat)))
-            grad = np.add.reduceat(p[order // rows.shape[1]], starts, axis=0)
-            grad /= np.sqrt(times)[:, None]
+            distinct, times = np.append(flat[starts].astype(np.int64), ROWS), np.append(np.diff(np.append(starts, len(flat))), len(part))
+            grad = np.concatenate((np.add.reduceat(p[order // (rows.shape[1] - 1)], starts, axis=0), p.sum(0, keepdims=True)))
+            grad /= np.sqrt(times).astype(np.float32)[:, None]
             speed[distinct] += (grad * grad).sum(1) / 8
             own[distinct] -= RATE * grad / np.sqrt(speed[distinct])[:, None]
             seen[distinct] += times
@@ -167,7 +172,7 @@ def train(blocks: DataFrame, class_counts: list[int], rounds: int = ROUNDS) -> n
         sent = context.broadcast(weights)
 
         def work(rows, sent=sent, turn=turn):
-            yield _steps(sent.value, rows, turn)
+            yield _steps(sent.value, rows, turn, rounds)
 
         moved, seen = own.mapPartitions(work).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=3)
         weights = weights + moved / np.maximum(seen, 1)[:, None]
