@@ -27,3 +27,16 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, "").columns == df.columns
         assert stage(spark, df.where("false"), "").count() == 0
+
+
+def test_dedup_keeps_one_row_of_each_component(spark):
+    """Null ids and ids that several texts share neither cost a component its row nor leave it two."""
+    rng = random.Random(5)
+    texts = [prose(rng, "en", 200) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])]  # four components without ids, one of them twice
+    rows += [(7, texts[4]), (7, texts[5]), (3, texts[5])]  # 7 is a text of its own and a copy of 3
+    rows += [(9, texts[6]), (9, texts[7]), (None, texts[6]), (9, texts[6])]  # two texts of one id
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.deduplicate(df).collect()
+    want = [(None, t) for t in texts[:4]] + [(7, texts[4]), (3, texts[5]), (9, texts[6]), (9, texts[7])]
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in want)

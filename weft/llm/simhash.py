@@ -68,10 +68,10 @@ def _fingerprints(size: int):
     return simhash
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, *more: str) -> DataFrame:
+    """(doc_id, fp, more...) of every document; fp is the fingerprint as a signed long."""
     common.tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(size)(F.col("text").cast("string")).alias("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(size)(F.col("text").cast("string")).alias("fp"), *more)
 
 
 def _block(fp, k):
@@ -119,12 +119,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _grouped(own: DataFrame, first, distance: int) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints of ``own``; first: an aggregate of a fingerprint's rows; root: the component."""
+    nodes = common.materialise(own.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    roots = components(links(nodes, distance))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links."""
     own = common.materialise(fingerprints(docs, size), "fingerprints")
-    nodes = common.materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = components(links(nodes, distance))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = _grouped(own, F.min("doc_id"), distance)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = common.materialise(grouped.join(least, "root").select("fp", "component_id"), "simhash-components")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -136,10 +141,14 @@ def op9_simhash(spark, sf_dir):
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one whose doc_id names it; where ids repeat, one of its rows."""
-    found = common.materialise(near_duplicates(docs), "simhash-found")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    rows = stay.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    # the ids that stay grow with the documents: a merge at every size, no broadcast at small ones
-    kept = docs.join(stay.distinct().hint("merge"), docs["doc_id"].cast("long").eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if rows.where("n > 1").limit(1).count() else kept
+    """One row of each component stays, whatever ids its rows have: the one of the smallest doc_id (null ids last)."""
+    key = "_row"
+    while key in docs.columns or key in ("doc_id", "fp"):
+        key += "_"
+    # written once with the key, so that both reads see the same
+    rows = common.materialise(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+    own = common.materialise(fingerprints(rows, SHINGLE, key), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("row")))
+    stay = _grouped(own, first, DISTANCE).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(key))
+    # the rows that stay grow with the documents: a merge at every size, no broadcast at small ones
+    return rows.join(stay.hint("merge"), key, "left_semi").select(*docs.columns)
