@@ -287,21 +287,88 @@ def test_lm_scores(docs, none):
     assert language_model.lm_scores(none).count() == 0
 
 
+def lm_block(words, lens, held):
+    """A block of random tokens over the words, the first of which is the end."""
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([np.append(rng.integers(1, len(words), n - 1), 0) for n in lens]).astype(np.int32)
+    hashes = np.array([zlib.crc32(w) for w in words], np.uint32)
+    ends = np.array([language_model.end_of(w) for w in words], np.uint16)
+    return {"tokens": tokens.tobytes(), "lens": lens, "held": held, "hashes": hashes.tobytes(), "ends": ends.tobytes()}
+
+
+def lm_singles(words):
+    keys = np.array([zlib.crc32(w) << 16 | language_model.end_of(w) for w in words], np.int64)
+    order = np.argsort(keys)
+    leaves = language_model.arrange(np.random.default_rng(4).integers(0, 9, (len(words), 2 * language_model.BESIDE)))
+    return language_model.Singles(keys[order], order, leaves[order])
+
+
 def test_lm_meets_every_training_position(monkeypatch):
     """Over the rounds, every position of every training document gives a gradient once, in short documents too."""
     met = []
-    rows = language_model._Text.rows
-    monkeypatch.setattr(language_model._Text, "rows", lambda self, at: met.append(at) or rows(self, at))
+    features = language_model._Text.features
+    monkeypatch.setattr(language_model._Text, "features", lambda self, at: met.append(at) or features(self, at))
+    words = [b"", *[b"w%d" % k for k in range(49)]]
     lens = [1, 2, 4, 40, 3, 2, 1, 900]
     held = [False, False, True, False, False, True, False, False]
-    n = sum(lens)
-    block = {"tokens": (np.arange(n) % 50).astype(np.int32).tobytes(), "lens": lens, "held": held, "hashes": np.arange(50, dtype=np.uint32).tobytes(), "classes": (np.arange(50) % 32).astype(np.int8).tobytes()}
-    weights = np.zeros((language_model.ROWS + 1, language_model.CLASSES), np.float32)
+    block, singles = lm_block(words, lens, held), lm_singles(words[:20])
+    weights = language_model.start(np.ones(language_model.LEAVES), np.ones(language_model.LEAVES, bool))
     for turn in range(language_model.ROUNDS):
-        language_model._steps(weights, [block], turn, language_model.ROUNDS)
+        language_model._steps(weights, [block], singles, turn, language_model.ROUNDS)
     assert sorted(np.concatenate(met)) == np.flatnonzero(~np.repeat(held, lens)).tolist()
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    """At any history, over all words seen in training and one unseen word of each leaf that words share."""
+    m = language_model
+    seen = [b"", *[b"w%d" % k for k in range(400)]]
+    words = seen + [b"new%02d" % k for k in range(99)]
+    lens = [300] * 20
+    block, singles = lm_block(words, lens, [False] * 20), lm_singles(seen[:150])
+    text = m._Text(block, singles)
+    c = np.bincount(text.tokens, minlength=len(words))
+    tails = m.Tails(np.zeros(m.LEAVES), np.zeros(m.LEAVES), np.zeros(m.LEAVES, np.int64))
+    np.add.at(tails.counts, text.leaf.astype(int), c)
+    np.add.at(tails.once, text.leaf.astype(int), (c == 1) & ~text.single)
+    tails.once = np.maximum(tails.once, 1)
+    used = np.zeros(m.LEAVES, bool)
+    used[singles.leaves] = used[m.tail_leaf(np.arange(m.TAILS))] = True
+    weights = m.start(tails.counts, used)
+    for turn in range(2):
+        moved, times, tilted, met = m._steps(weights, [block], singles, turn, 2)
+        weights = m.Weights(weights.rows + moved / np.maximum(times, 1)[:, None], weights.bias + tilted / np.maximum(met, 1)[:, None])
+    assert np.abs(weights.rows).max() > 0.01
+    within = 10 ** m.word_scores(text, c, tails)
+    for at in (0, 1, 2, 777):
+        features, leaf = text.features(np.array([at])), np.zeros(m.LEAVES)
+        for x in np.flatnonzero(used):
+            leaf[x] = math.prod(float(weights.probabilities(m._rows(features, node, weights.bits), node)[0, choice[0]]) for node, choice in m._choices(np.array([x])))
+        total = sum(leaf[text.leaf[k]] * within[k] for k in range(len(words)) if c[k])
+        total += sum(leaf[x] * tails.once[x] / (tails.counts[x] + tails.once[x]) for x in m.tail_leaf(np.arange(m.TAILS)))
+        assert math.isclose(total, 1, rel_tol=1e-4)
+        # the score of the position is the product of its choices
+        own = text.tokens[at]
+        assert math.isclose(10 ** m.leaf_scores(weights, text, np.array([at]))[0], leaf[text.leaf[own]], rel_tol=1e-4)
+
+
+def test_lm_learns_from_history(spark):
+    """Words that only the history tells apart are scored better than by their shares, on held-out documents."""
+    rng = random.Random(11)
+    follows = {w: [prose(rng, "en", 1) for _ in range(2)] for w in {prose(rng, "en", 1) for _ in range(60)}}
+    every = sorted({x for xs in follows.values() for x in xs} | set(follows))
+
+    def text():
+        out = [rng.choice(every)]
+        for _ in range(80):
+            out.append(rng.choice(follows.get(out[-1], every)))
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, text()) for i in range(700)], "doc_id long, text string").repartition(2)
+    held = [r for r in language_model.lm_scores(df).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.3
+
+
 def brute_top(rows, k=5):
     own = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []

@@ -1,22 +1,25 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax, trained by distributed gradients.
 
-``P(word | history) = P(class | history) * P(word | class)``. A word's class is a hash of its last two bytes;
-the end of a text has a class of its own. The first factor is a softmax over the classes of the summed weights
-of the history's hashed features: the last word, the last two words, the word before the last and the one
-before that (skips), and a bias. The second is the softmax over the class's words with the word's own indicator as
-its only feature, whose maximum-likelihood weights are known in closed form: the logarithm of the
-word's count plus one, each class keeping one count for words never seen. So the distribution sums to one over the
-words seen and one unseen word a class.
+A word is reached by three choices among 16: ``P(word | history) = P(class) * P(class below) * P(leaf) * P(word | leaf)``, each of the first
+three given the history and the classes chosen before. Each is a softmax over the summed weights of the history's
+hashed features: the last word, the last two words, the word before the last (a skip), and a bias. Each of the ``SINGLES`` most
+frequent words of the training documents has a leaf to itself, so the history decides it wholly; so has the end of a
+text. Their 256 classes, and the 16 above these, are learned: words are split in halves along the principal direction of the words
+that stand beside them. All other words share ``TAILS`` leaves by a hash of their last two bytes, two leaves a class;
+there, ``P(word | leaf)`` has no history: it is the word's count over the leaf's, and one word never seen takes as many counts
+as words were seen once (Good and Turing's estimate). So the distribution sums to one over the words seen and one unseen word a tail leaf.
 
 Blocks of documents keep their distinct words and the words' places; the words of all blocks meet in one
-shuffle by word, which sums their counts over all training documents and hands them back to the blocks.
+shuffle by word, which sums their counts over all training documents and hands them back to the blocks. A word has one row a
+block there, of all the block's distinct words: as a block holds hundreds of thousands, no word has more than a sliver of the rows.
 The weights are trained in ``ROUNDS`` rounds: each partition runs minibatch steps (AdaGrad by row) from the
 current weights over its own training documents' tokens, every ``ROUNDS``-th position, others in each round,
 and the partitions' changes are averaged by row, weighted with how often they met the row (a tree of sums).
-Every position of every training document is met in exactly one round; all take part in the counts. The weights' size is fixed.
+Every position of every training document is met in exactly one round; all take part in the counts. The rows of the
+weights grow with the square root of the training tokens, so that a task can hold them whole.
 
 Defined results: null texts are empty and consist of the end alone; with no training document the counts are
-zero and the classes equally likely. Repeated rows and ids give a row each; null ids stay and belong to no held-out fold;
+zero and all leaves in use equally likely. Repeated rows and ids give a row each; null ids stay and belong to no held-out fold;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -36,19 +40,28 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CLASSES = 32
-ROWS = 1 << 14  # hashed features; one more row is the bias
+BRANCH, LEVELS = 16, 3
+LEAVES = BRANCH**LEVELS
+#: Classes of leaves, and how many leaves of each are for words without a leaf of their own.
+GROUPS, SHARED = BRANCH ** (LEVELS - 1), 2
+SINGLES, TAILS = GROUPS * (BRANCH - SHARED), GROUPS * SHARED
+#: A word can have a leaf to itself if it is one in so many of some block's training tokens, and not overlong.
+SHARE, LONGEST = 1 << 16, 64
+#: Buckets of the words before, and of those after, by which classes are learned.
+BESIDE = 64
+NODES = 1 + BRANCH + GROUPS
 ROUNDS = 2
-BATCH = 4096
-RATE = 0.1
+BATCH = 1 << 15
+RATE = 0.2
 MOD, REST = 7, 2
 BLOCK_CHARS = 24_000_000
 
-BLOCKS = "block long, ids array<long>, held array<boolean>, lens array<int>, words array<binary>, uses array<int>, hashes binary, classes binary, tokens binary"
+BLOCKS = "block long, ids array<long>, held array<boolean>, lens array<int>, trained long, words array<binary>, uses array<int>, hashes binary, ends binary, tokens binary"
 
 
-def class_of(word: bytes) -> int:
-    return 1 + zlib.crc32(word[-2:]) % (CLASSES - 1) if word else 0
+def end_of(word: bytes) -> int:
+    """16 bits of a word's end; modulo TAILS, the leaf it shares if it has none to itself."""
+    return zlib.crc32(word[-2:]) & 0xFFFF
 
 
 def _blocks(batches):
@@ -69,13 +82,14 @@ def _blocks(batches):
             pa.array([ids], pa.list_(pa.int64())),
             pa.array([held], pa.list_(pa.bool_())),
             pa.array([[len(t) for t in tokens]], pa.list_(pa.int32())),
+            pa.array([int(uses.sum())], pa.int64()),
             pa.array([list(entry)], pa.list_(pa.binary())),
             pa.array([uses.astype(np.int32)], pa.list_(pa.int32())),
             pa.array([np.fromiter(map(zlib.crc32, entry), np.uint32, len(entry)).tobytes()], pa.binary()),
-            pa.array([np.fromiter(map(class_of, entry), np.int8, len(entry)).tobytes()], pa.binary()),
+            pa.array([np.fromiter(map(end_of, entry), np.uint16, len(entry)).tobytes()], pa.binary()),
             pa.array([np.concatenate(tokens).astype(np.int32).tobytes()], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "words", "uses", "hashes", "classes", "tokens"])
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "trained", "words", "uses", "hashes", "ends", "tokens"])
 
     state, chars = fresh(), 0
     for batch in batches:
@@ -93,40 +107,135 @@ def _blocks(batches):
                 state, chars = fresh(), 0
     if state[1]:
         yield row(*state)
+    del state
+    common.give_back()
+
+
+def _keys(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hashes.astype(np.int64) << 16 | ends
+
+
+@dataclass
+class Singles:
+    """The words with a leaf to themselves: sorted keys, their words' numbers and their leaves."""
+
+    keys: np.ndarray
+    numbers: np.ndarray
+    leaves: np.ndarray
+
+    def find(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, whether it is one, and its place among them."""
+        keys = _keys(hashes, ends)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+def tail_leaf(tail):
+    return tail // SHARED * BRANCH + BRANCH - SHARED + tail % SHARED
+
+
+def arrange(beside: np.ndarray) -> np.ndarray:
+    """A leaf for each word, by the counts of the words beside it: halves along the principal direction, again and again."""
+    total = np.maximum(beside.sum(1, keepdims=True), 1)
+    x = np.sqrt(beside / total)
+    groups = [np.arange(len(x))]
+    while len(groups) < GROUPS:
+        halves = []
+        for own in groups:
+            if len(own) > 1:
+                centred = x[own] - x[own].mean(0)
+                main = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+                own = own[np.argsort(np.round(centred @ main, 9), kind="stable")]
+            halves += [own[: (len(own) + 1) // 2], own[(len(own) + 1) // 2 :]]
+        groups = halves
+    leaves = np.zeros(len(x), np.int64)
+    for k, own in enumerate(groups):
+        leaves[own] = k * BRANCH + np.arange(len(own))
+    return leaves
 
 
 class _Text:
-    """A block's tokens with their features' rows and classes."""
+    """A block's tokens with their leaves and features' rows."""
 
-    def __init__(self, block):
+    def __init__(self, block, singles: Singles):
         self.tokens = np.frombuffer(block["tokens"], np.int32)
         self.lens = np.asarray(block["lens"], np.int64)
         self.hash = np.frombuffer(block["hashes"], np.uint32)
-        self.klass = np.frombuffer(block["classes"], np.int8)
-        ends = np.cumsum(self.lens)
-        self.place = np.arange(len(self.tokens)) - np.repeat(ends - self.lens, self.lens)
+        ends = np.frombuffer(block["ends"], np.uint16)
+        self.single, at = singles.find(self.hash, ends)
+        self.number = np.where(self.single, singles.numbers[at], -1)
+        self.leaf = np.where(self.single, singles.leaves[at], tail_leaf(ends.astype(np.int64) % TAILS)).astype(np.int16)
+        stops = np.cumsum(self.lens)
+        self.place = (np.arange(len(self.tokens)) - np.repeat(stops - self.lens, self.lens)).astype(np.int32)
         self.held = np.repeat(np.asarray(block["held"], bool), self.lens)
 
-    def rows(self, at: np.ndarray) -> np.ndarray:
-        """Rows of the weights for the histories of the positions ``at``: len(at) x 5."""
-        before = []
-        for back in (1, 2, 3):
-            h = self.hash[self.tokens[np.maximum(at - back, 0)]]
-            before.append(np.where(self.place[at] >= back, h, np.uint32(0)))
-        one, two, three = before
-        shift = np.uint32(33 - ROWS.bit_length())
-        mix = lambda x, salt: ((x * np.uint32(2654435761) + np.uint32(salt)) * np.uint32(2246822519) >> shift).astype(np.int64)
-        return np.stack((mix(one, 1), mix(one ^ (two * np.uint32(3266489917)), 77), mix(two, 1234567), mix(three, 987654321), np.full(len(at), ROWS)), axis=1)
+    def beside(self) -> np.ndarray:
+        """How often each single's training tokens have a word of each bucket before, and after them."""
+        own = self.number[self.tokens]
+        at = np.flatnonzero((own >= 0) & ~self.held)
+        after = np.minimum(at + 1, len(self.tokens) - 1)
+        follows = np.where(self.place[after] > 0, self.hash[self.tokens[after]], np.uint32(0))
+        size = SINGLES * 2 * BESIDE
+        out = np.bincount(own[at] * (2 * BESIDE) + self.before(at, 1) % BESIDE, minlength=size)
+        return (out + np.bincount(own[at] * (2 * BESIDE) + BESIDE + follows % BESIDE, minlength=size)).reshape(SINGLES, 2 * BESIDE)
+
+    def before(self, at: np.ndarray, back: int) -> np.ndarray:
+        return np.where(self.place[at] >= back, self.hash[self.tokens[np.maximum(at - back, 0)]], np.uint32(0))
+
+    def features(self, at: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the histories of the positions ``at``: last word, last two, the one before the last."""
+        one, two = self.before(at, 1) + np.uint32(1), self.before(at, 2)
+        return [one * np.uint32(2654435761), (one ^ (two * np.uint32(3266489917))) * np.uint32(668265263) + np.uint32(77), two * np.uint32(374761393) + np.uint32(1234567)]
+
+
+def _choices(leaves: np.ndarray):
+    """(node, choice) of each level on the way to the leaves."""
+    leaves = leaves.astype(np.int64)
+    first = leaves // GROUPS
+    second = leaves // BRANCH
+    return [(np.zeros(len(leaves), np.int64), first), (1 + first, second % BRANCH), (1 + BRANCH + second, leaves % BRANCH)]
+
+
+def _rows(features: list[np.ndarray], node: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Rows of the weights for a level's nodes, a column a feature."""
+    salt = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    out = []
+    for f in features:
+        h = (f ^ salt) * np.uint32(2246822519)
+        h ^= h >> np.uint32(15)
+        out.append((h * np.uint32(3266489917) >> np.uint32(32 - bits)).astype(np.int64))
+    return out
+
+
+@dataclass
+class Weights:
+    rows: np.ndarray  # hashed features' weights, 16 a row; a power of two of them
+    bias: np.ndarray  # 16 a node
 
-    def classes(self, at: np.ndarray) -> np.ndarray:
-        return self.klass[self.tokens[at]].astype(np.int64)
+    @property
+    def bits(self) -> int:
+        return len(self.rows).bit_length() - 1
 
+    def probabilities(self, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+        z = self.bias[node]
+        for r in rows:
+            z += self.rows[r]
+        np.exp(np.clip(z, -80, 60, out=z), out=z)  # a choice that doesn't exist has a bias of -1000
+        z /= (z @ np.ones(BRANCH, np.float32))[:, None]
+        return z
 
-def _logits(weights, rows):
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z = z + weights[rows[:, k]]
-    return z
+
+def size_for(tokens: int) -> int:
+    """Rows for so many training tokens: about eight times the square root."""
+    return 1 << max(12, math.ceil(math.log2(8 * math.sqrt(tokens + 1))))
+
+
+def start(leaf_counts: np.ndarray, used: np.ndarray) -> Weights:
+    """The weights before the first round: biases alone, which give each leaf its share of the training tokens."""
+    mass = np.where(used, leaf_counts + 1.0, 0.0)
+    levels = [mass.reshape(BRANCH, -1).sum(1)[None], mass.reshape(GROUPS, BRANCH).sum(1).reshape(BRANCH, BRANCH), mass.reshape(GROUPS, BRANCH)]
+    bias = [np.where(m > 0, np.log(np.maximum(m, 1e-9) / np.maximum(m.sum(1, keepdims=True), 1e-9)), -1000.0) for m in levels]
+    return Weights(np.zeros((size_for(int(leaf_counts.sum())), BRANCH), np.float32), np.concatenate(bias).astype(np.float32))
 
 
 def _met(held: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -135,71 +244,140 @@ def _met(held: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return at[at % rounds == turn]
 
 
-def _steps(weights: np.ndarray, blocks, turn: int, rounds: int):
-    """One partition's minibatch steps; (change weighted with times met, times met)."""
-    own, seen, speed = weights.copy(), np.zeros(len(weights), np.float32), np.full(len(weights), 0.1, np.float32)
+def _order(rows: np.ndarray, bits: int) -> np.ndarray:
+    """A stable order of the rows: radix sorts of 16 bits each."""
+    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((rows[order] >> 16).astype(np.uint8 if bits <= 24 else np.uint16), kind="stable")] if bits > 16 else order
+
+
+def _steps(weights: Weights, blocks, singles: Singles, turn: int, rounds: int):
+    """One partition's minibatch steps: changes weighted with times met, and times met, of the rows and the biases."""
+    own = Weights(weights.rows.copy(), weights.bias.copy())
+    seen, speed = np.zeros(len(own.rows), np.float32), np.full(len(own.rows), 0.1, np.float32)
+    met, pace = np.zeros(NODES, np.float32), np.full(NODES, 0.1, np.float32)
     for block in blocks:
-        text = _Text(block)
+        text = _Text(block, singles)
         at = _met(text.held, turn, rounds)
-        for k in range(0, len(at), BATCH):
-            part = at[k : k + BATCH]
-            rows, classes = text.rows(part), text.classes(part)
-            z = _logits(own, rows)
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), classes] -= 1
-            hashed = rows[:, :-1].astype(np.uint16).ravel()  # all but the bias; 16 bits are sorted by radix
-            order = np.argsort(hashed, kind="stable")
-            flat = hashed[order]
-            starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-            distinct, times = np.append(flat[starts].astype(np.int64), ROWS), np.append(np.diff(np.append(starts, len(flat))), len(part))
-            grad = np.concatenate((np.add.reduceat(p[order // (rows.shape[1] - 1)], starts, axis=0), p.sum(0, keepdims=True)))
-            grad /= np.sqrt(times).astype(np.float32)[:, None]
-            speed[distinct] += (grad * grad).sum(1) / 8
-            own[distinct] -= RATE * grad / np.sqrt(speed[distinct])[:, None]
-            seen[distinct] += times
-    return (own - weights) * seen[:, None], seen
-
-
-def train(blocks: DataFrame, class_counts: list[int], rounds: int = ROUNDS) -> np.ndarray:
-    """The weights, from the classes' shares as the bias on; each task holds them whole, of a size that doesn't grow."""
+        size = min(BATCH, max(512, len(at) // 32))
+        for k in range(0, len(at), size):
+            part = at[k : k + size]
+            features, taken = text.features(part), np.arange(len(part))
+            rows, slopes = [], []
+            for node, choice in _choices(text.leaf[text.tokens[part]]):
+                at_level = _rows(features, node, own.bits)
+                p = own.probabilities(at_level, node)
+                p[taken, choice] -= 1
+                rows += at_level
+                slopes.append((node, p))
+            for node, p in slopes:
+                order = np.argsort(node.astype(np.uint16), kind="stable")
+                _move(own.bias, pace, met, node[order], p[order])
+            flat = np.concatenate(rows)
+            order = _order(flat, own.bits)
+            n, f = len(part), len(features)
+            source = order % n + order // (n * f) * n  # the features of a level share its slopes
+            _move(own.rows, speed, seen, flat[order], np.concatenate([p for _, p in slopes])[source])
+    return (own.rows - weights.rows) * seen[:, None], seen, (own.bias - weights.bias) * met[:, None], met
+
+
+def _move(weights, speed, seen, rows, slopes):
+    """A step of the rows (sorted, repeated) by their summed slopes."""
+    starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    distinct, times = rows[starts], np.diff(np.append(starts, len(rows))).astype(np.float32)
+    grad = np.add.reduceat(slopes, starts, axis=0) / np.sqrt(times)[:, None]
+    speed[distinct] += np.einsum("ij,ij->i", grad, grad) / 4
+    weights[distinct] -= (RATE / np.sqrt(speed[distinct]))[:, None] * grad
+    seen[distinct] += times
+
+
+def _sum(a, b):
+    return tuple(x + y for x, y in zip(a, b))
+
+
+def _over(blocks: DataFrame, work):
+    """The sum, by a tree, of the arrays that work(rows) gives for each partition."""
+    return blocks.rdd.mapPartitions(lambda rows: [work(rows)]).treeReduce(_sum, depth=3)
+
+
+def learn_singles(blocks: DataFrame) -> tuple[Singles, list[bytes]]:
+    """The most frequent training words, SINGLES at most and the end among them, with leaves by the words beside them."""
+    pair = F.filter(F.arrays_zip("words", "uses"), lambda x: (x["uses"] * SHARE >= F.col("trained")) & (x["uses"] > 0) & (F.length(x["words"]) <= LONGEST))
+    often = blocks.select(F.explode(pair).alias("w")).groupBy("w.words").agg(F.sum("w.uses").alias("n")).where(F.length("words") > 0)
+    words = [b""] + [bytes(r["words"]) for r in often.orderBy(F.desc("n"), "words").limit(SINGLES - 1).collect()]
+    keys = np.array([zlib.crc32(w) << 16 | end_of(w) for w in words], np.int64)
+    order = np.argsort(keys)
+    singles = Singles(keys[order], order, np.zeros(len(words), np.int64))
     context = blocks.sparkSession.sparkContext
-    weights = np.zeros((ROWS + 1, CLASSES), np.float32)
-    weights[ROWS] = np.log((np.array(class_counts) + 1.0) / (sum(class_counts) + CLASSES))
-    own = blocks.select("held", "lens", "hashes", "classes", "tokens").rdd
+    sent = context.broadcast(singles)
+
+    def work(rows):
+        total = np.zeros((SINGLES, 2 * BESIDE), np.int64)
+        for block in rows:
+            total += _Text(block, sent.value).beside()
+        return (total,)
+
+    leaves = arrange(_over(blocks.select("held", "lens", "hashes", "ends", "tokens"), work)[0][: len(words)])
+    return Singles(singles.keys, singles.numbers, leaves[order]), words
+
+
+def train(blocks: DataFrame, singles: Singles, leaf_counts: np.ndarray, rounds: int = ROUNDS) -> Weights:
+    """The weights, from the leaves' shares as biases on; each task holds them whole."""
+    context = blocks.sparkSession.sparkContext
+    used = np.zeros(LEAVES, bool)
+    used[singles.leaves] = used[tail_leaf(np.arange(TAILS))] = True
+    weights = start(leaf_counts, used)
+    own = blocks.select("held", "lens", "hashes", "ends", "tokens")
     for turn in range(rounds):
-        sent = context.broadcast(weights)
+        sent = context.broadcast((weights, singles))
 
         def work(rows, sent=sent, turn=turn):
-            yield _steps(sent.value, rows, turn, rounds)
+            return _steps(sent.value[0], rows, sent.value[1], turn, rounds)
 
-        moved, seen = own.mapPartitions(work).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=3)
-        weights = weights + moved / np.maximum(seen, 1)[:, None]
+        moved, seen, tilted, met = _over(own, work)
+        weights = Weights(weights.rows + moved / np.maximum(seen, 1)[:, None], weights.bias + tilted / np.maximum(met, 1)[:, None])
         sent.unpersist()
     return weights
 
 
-def _scorer(sent, class_total, total: int, distinct: int):
-    """Scores of one block's documents. class_total: of each class, its words' counts and number."""
+@dataclass
+class Tails:
+    """Of each leaf: its words' counts in all, how many of them were seen once (1 at least), and how many there are."""
+
+    counts: np.ndarray
+    once: np.ndarray
+    words: np.ndarray
+
+
+def word_scores(text: _Text, c: np.ndarray, tails: Tails) -> np.ndarray:
+    """log10 P(word | leaf) of a block's distinct words, seen c times in training."""
+    leaf = text.leaf.astype(np.int64)
+    return np.where(text.single, 0.0, np.log10(np.where(c > 0, c, tails.once[leaf])) - np.log10(tails.counts[leaf] + tails.once[leaf]))
+
+
+def leaf_scores(weights: Weights, text: _Text, at: np.ndarray) -> np.ndarray:
+    """log10 P(leaf | history) at the positions."""
+    features, out = text.features(at), np.zeros(len(at))
+    for node, choice in _choices(text.leaf[text.tokens[at]]):
+        out += np.log10(np.maximum(weights.probabilities(_rows(features, node, weights.bits), node)[np.arange(len(at)), choice], 1e-30))
+    return out
+
+
+def _scorer(sent, total: int, distinct: int):
+    """Scores of one block's documents."""
     floor = math.log10(total + distinct + 1)
-    mass = np.log10(np.array([n + v + 1 for n, v in class_total], np.float64))
 
     def run(key, blocks: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        weights, out = sent.value, []
+        (weights, singles, tails), out = sent.value, []
         for _, block in blocks.iterrows():
-            text = _Text(block)
+            text = _Text(block, singles)
             c = np.zeros(len(text.hash), np.int64)
             c[counts["pos"].to_numpy()] = counts["c"].to_numpy()
-            single = np.log10(c + 1.0)
+            single, within = np.log10(c + 1.0), word_scores(text, c, tails)
             tokens, n = text.tokens, len(text.tokens)
-            base = single[tokens] - floor
-            score = single[tokens] - mass[text.klass[tokens].astype(np.int64)]
-            for k in range(0, n, 1 << 15):
-                at = np.arange(k, min(n, k + (1 << 15)))
-                z = _logits(weights, text.rows(at))
-                top = z.max(1)
-                score[at] += (z[np.arange(len(at)), text.classes(at)] - top - np.log(np.exp(z - top[:, None]).sum(1))) / math.log(10)
+            base, score = single[tokens] - floor, within[tokens]
+            for k in range(0, n, BATCH):
+                at = np.arange(k, min(n, k + BATCH))
+                score[at] += leaf_scores(weights, text, at)
             starts = np.cumsum(text.lens) - text.lens
             known = (c > 0)[tokens].astype(np.int64)
             out.append(
@@ -215,6 +393,7 @@ def _scorer(sent, class_total, total: int, distinct: int):
                     }
                 )
             )
+        common.give_back()
         return pd.concat(out) if out else pd.DataFrame({n: [] for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
     return run
@@ -225,22 +404,32 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Every document's log10 probability under the unigram base and under the model."""
-    common.tune(docs.sparkSession)
+    spark = docs.sparkSession
+    common.tune(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.in_fold("doc_id", MOD, REST).alias("held"), F.col("text").cast("string").alias("text"))
     blocks = common.materialise(own.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    if blocks.limit(1).count() == 0:
+        return blocks.sparkSession.createDataFrame([], SCORES)
+    singles, words = learn_singles(blocks)
+    # SINGLES rows at most
+    named = F.broadcast(spark.createDataFrame([(bytearray(w), k) for k, w in enumerate(words)], "word binary, single int"))
     spread = blocks.select("block", F.posexplode(F.arrays_zip("words", "uses")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.uses").alias("uses"))
-    # a word has a row a block at most, so none is hot
     by = Window.partitionBy("word")
     first = F.row_number().over(by.orderBy("block")) == 1
-    klass = F.when(F.length("word") == 0, 0).otherwise(1 + F.crc32(F.substring("word", -2, 2)) % (CLASSES - 1))
-    counts = spread.select("block", "pos", F.sum("uses").over(by).alias("c"), first.alias("first"), klass.cast("int").alias("klass"))
-    counts = common.materialise(counts, "lm-counts")
-    totals = {r["klass"]: (r["n"], r["v"]) for r in counts.where("first and c > 0").groupBy("klass").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    totals = [totals.get(k, (0, 0)) for k in range(CLASSES)]
-    weights = train(blocks, [n for n, _ in totals])
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    run = _scorer(sent, totals, sum(n for n, _ in totals), sum(v for _, v in totals))
-    blocks = blocks.select("block", "ids", "held", "lens", "hashes", "classes", "tokens")  # words aren't needed again
+    counts = spread.select("block", "pos", "word", F.sum("uses").over(by).alias("c"), first.alias("first")).join(named, "word", "left")
+    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS))
+    counts = common.materialise(counts.select("block", "pos", "c", "first", F.coalesce("single", -1 - tail).cast("int").alias("place")), "lm-counts")
+    met = counts.where("first and c > 0").groupBy("place").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.count(F.lit(1)).alias("words"))
+    tails = Tails(np.zeros(LEAVES), np.ones(LEAVES), np.zeros(LEAVES, np.int64))
+    leaves = np.zeros(len(words), np.int64)
+    leaves[singles.numbers] = singles.leaves
+    for r in met.collect():  # a row a leaf at most
+        at = leaves[r["place"]] if r["place"] >= 0 else tail_leaf(-1 - r["place"])
+        tails.counts[at], tails.once[at], tails.words[at] = r["n"], max(r["once"], 1), r["words"]
+    weights = train(blocks, singles, tails.counts)
+    sent = spark.sparkContext.broadcast((weights, singles, tails))
+    run = _scorer(sent, int(tails.counts.sum()), int(tails.words.sum()))
+    blocks = blocks.select("block", "ids", "held", "lens", "hashes", "ends", "tokens")  # words aren't needed again
     return blocks.groupBy("block").cogroup(counts.where("c > 0").select("block", "pos", "c").groupBy("block")).applyInPandas(run, SCORES)
 
 
