@@ -213,29 +213,58 @@ def test_simhash(docs, none):
     want = roots(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.deduplicate(own)
+    kept = simhash.deduplicate(own, 2, 1)
     # and the text that only a row without an id has
     assert kept.columns == own.columns and kept.count() == len(set(want.values())) + 1
 
 
-@pytest.mark.parametrize("crowd", [4, 1000])
-def test_simhash_links(spark, crowd):
-    """Crowded keys give the same components as pairs."""
+@pytest.mark.parametrize("distance, crowd, cell", [(2, 4, 9), (2, 1000, 9), (1, 4, 9), (4, 4, 9), (4, 4, 1000), (4, 1000, 9), (6, 4, 20)])
+def test_simhash_links(spark, distance, crowd, cell):
+    """Crowded keys give the same components as pairs, at any distance."""
     rng = random.Random(6)
     fps = set()
-    for _ in range(2):
+    for s in range(2):
         base = rng.getrandbits(64)
         for _ in range(60):
             x = base
             for _ in range(rng.choice([0, 1, 2, 3])):
                 x ^= 1 << rng.randrange(64)
             fps.add(x - (1 << 64) if x >> 63 else x)
-    nodes = spark.createDataFrame([(x, 0) for x in fps], "fp long, first long")
-    got = {r.node: r.root for r in simhash.components(simhash.links(nodes, 2, crowd)).collect()}
-    want = roots(sorted(fps), lambda a, b: ((a ^ b) % 2**64).bit_count() <= 2)
+    nodes = spark.createDataFrame([(x & 1, x) for x in fps], "s int, fp long")
+    got = {r.node: r.root for r in simhash.components(simhash.links(nodes, distance, crowd, cell).select("a", "b")).collect()}
+    want = roots(sorted(fps), lambda a, b: ((a ^ b) % 2**64).bit_count() <= distance and (a ^ b) & 1 == 0)
     assert {x: got.get(x, x) for x in fps} == want
 
 
+def test_simhash_keys():
+    """Any two fingerprints within the distance agree in the bits of a key."""
+    rng = random.Random(7)
+    for distance, n in ((1, 10), (2, 10), (2, 1 << 40), (4, 10), (4, 1 << 30), (6, 10)):
+        keys = simhash.masks(distance, n)
+        for _ in range(200):
+            bits = sum(1 << j for j in rng.sample(range(64), distance))
+            assert any(not bits & m for m in keys)
+
+
+def test_simhash_many(spark):
+    """With several fingerprints, documents are linked if any of theirs are close, as brute force has it."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(30):
+        words = prose(rng, "en", 150).split()
+        for j in range(4):
+            own = list(words)
+            for at in rng.sample(range(len(own)), 2 * j):
+                own[at] = prose(rng, "en", 1)
+            rows.append((10 * k + j, " ".join(own)))
+    rows += [(900, rows[0][1]), (901, None), (902, " ")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), distance=4, many=6).collect()
+    fps = {i: simhash.fingerprint((t or "").encode().lower().split(), 3, 6) for i, t in rows}
+    want = roots(sorted(fps), lambda a, b: min((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= 4)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sum(want[10 * k + 1] == want[10 * k] for k in range(30)) >= 25  # two words in 150: five-word similarity 0.87
+
+
 def test_language_id(docs, none, spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, ("en", "fr", "de")[i % 3], 60), ("en", "fr", "de")[i % 3]) for i in range(600)]

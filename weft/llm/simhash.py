@@ -1,12 +1,16 @@
 """SimHash near-duplicates: pigeonhole blocks of the fingerprints, joined and verified by Hamming distance.
 
-The fingerprint's 64 bits are split into four blocks of 16; two fingerprints that differ in at most two bits
-agree in two blocks at least, so each of the six pairs of blocks makes a key of 32 bits, and close
-fingerprints share a key. Fingerprints of a key are joined and verified. A key that more than ``CROWD``
-distinct fingerprints share isn't joined pair by pair; there, each fingerprint meets its neighbours through
-the 33 values of its other 32 bits with at most one bit flipped: fingerprints at a distance of one or two, and
-no others, share such a value, and each is linked to the smallest that does. That finds the same components,
-in proportion to the number of fingerprints.
+The fingerprint's 64 bits are split into more blocks than bits may differ, so close fingerprints agree in some of
+the blocks; each choice of so many blocks makes a key, and close fingerprints share a key. There are as many blocks
+as it takes for a key to have about one fingerprint by chance. Fingerprints of a key are joined and verified. A key that
+more than ``CROWD`` distinct fingerprints share isn't joined pair by pair. At distance 2, each of its
+fingerprints meets its neighbours through the values of its other bits with at most one bit flipped: fingerprints at a
+distance of one or two, and no others, share such a value, and each is linked to the smallest that does. At other
+distances the key's fingerprints are dealt to cells of bounded size, every two of them meet in a cell, and a cell
+gives the edges of a forest that connects its close fingerprints. Either finds the same components as pairs would.
+
+A document can have several fingerprints, of differently mixed hashes of the same shingles; documents are linked if any
+of them are close. Four bits of six fingerprints catch more near copies than six bits of one, with wider keys.
 
 Only distinct fingerprints take part, however many copies a text has. Components come from rounds of minimum
 labels and shortcuts over links in the shared folder; nothing is gathered on the driver but counts.
@@ -19,7 +23,10 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,76 +37,129 @@ from . import common
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
+#: Fingerprints of a document, and bits in which they may differ, where documents are deduplicated.
+FINGERPRINTS = 6
+NEAR = 4
 #: Distinct fingerprints of a key that are joined with each other at most.
 CROWD = 32
+#: Fingerprints of a crowded key that a task takes twice as many of at once, about.
+CELL = 8192
+#: Bits of a key, at least.
+KEY_BITS = 21
+#: A fingerprint of more than this share of the documents is named by broadcast: there are at most as many as its inverse.
+HOT = 1e-4
+
+#: Odd multipliers that mix the hashes anew for each further fingerprint.
+_MIX = np.random.default_rng(64).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
-_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
-#: Row i: the bits of byte i.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+def _sign(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half the hashes."""
+    over = 2 * np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) > len(hashes)
+    return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
-    """A bit is set if it is in over half the shingles' hashes."""
+def fingerprint(words: list[bytes], size: int = SHINGLE, many: int = 1) -> list[int]:
+    """The fingerprints of a text's words; the first is of the shingles' own hashes."""
     n = len(words)
     if not n:
-        return 0
+        return [0] * many
     joined = b" ".join(words)
     if n <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
-    octets = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64) + 256 * np.arange(8)
-    times = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256)
-    over = (2 * (times @ _BITS) > len(hashes)).ravel()
-    return int(np.packbits(over, bitorder="little").view("<u8")[0])
-
-
-def _fingerprints(size: int):
-    @F.arrow_udf("long")
+        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        digest = xxhash.xxh64_intdigest
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
+    out = [_sign(hashes)]
+    for k in range(1, many):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * _MIX[k]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX[0]
+        out.append(_sign(mixed ^ (mixed >> np.uint64(32))))
+    return out
+
+
+def _fingerprints(size: int, many: int):
+    @F.arrow_udf("array<long>")
     def simhash(texts: pa.Array) -> pa.Array:
         # texts one by one: a batch's words would take many times its size
-        found = (fingerprint(common.words_of(t.as_py()), size) for t in texts)
-        out = pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
+        found = np.array([fingerprint(common.words_of(t.as_py()), size, many) for t in texts], np.uint64).reshape(-1)
+        out = pa.ListArray.from_arrays(np.arange(0, len(found) + 1, many, dtype=np.int32), pa.array(found.view(np.int64)))
         common.give_back()
         return out
 
     return simhash
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, *more: str) -> DataFrame:
-    """(doc_id, fp, more...) of every document; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, many: int = 1, more: tuple = ()) -> DataFrame:
+    """(doc_id, fp, fps, more...) of every document; fps are the fingerprints as signed longs, fp the first."""
     common.tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(size)(F.col("text").cast("string")).alias("fp"), *more)
-
-
-def _block(fp, k):
-    return F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))
-
-
-def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints ``fp`` that connect all at most ``distance`` apart."""
-    fp = F.col("fp")
-    keys = [F.struct(F.lit(i).alias("kind"), F.shiftleft(_block(fp, a), 16).bitwiseOR(_block(fp, b)).alias("key")) for i, (a, b) in enumerate(_PAIRS)]
-    spread = common.materialise(nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.kind", "k.key"), "simhash-keys")
-    sizes = spread.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = common.materialise(spread.join(sizes, ["kind", "key"]), "simhash-shared")
-    few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(size, many)(F.col("text").cast("string")).alias("fps"), *more)
+    return own.select("doc_id", F.col("fps")[0].alias("fp"), "fps", *more)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def masks(distance: int, n: int) -> list[int]:
+    """The bits that each key takes: of the fewest blocks such that keys have KEY_BITS bits, and more than n has."""
+    count = distance + 1
+    while (count - distance) * 64 < max(KEY_BITS, n.bit_length()) * count and count < 64:
+        count += 1
+    edges = [64 * k // count for k in range(count + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(blocks, count - distance)]
+
+
+def _forest(distance: int):
+    """A cell's fingerprints to the edges of a forest that connects those close to each other."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rest = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+        out = []
+        while len(rest):
+            front, rest = [rest[-1]], rest[:-1]
+            while front and len(rest):
+                x = front.pop()
+                near = np.bitwise_count(rest ^ x) <= distance
+                found, rest = rest[near], rest[~near]
+                out.append((np.full(len(found), x), found))
+                front += list(found)
+        a, b = (np.concatenate(c).view(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"s": pdf["s"].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
+    """Pairs (s, a, b), a < b, of distinct fingerprints (s, fp) of the same s that connect all at most ``distance`` apart."""
+    fp, every = F.col("fp"), masks(distance, nodes.count())
+    bits = F.array(*[F.lit(_signed(m)) for m in every])
+    spread = nodes.select("s", "fp", F.posexplode(bits).alias("kind", "mask"))
+    spread = spread.select("s", "fp", "kind", F.xxhash64("s", "kind", fp.bitwiseAND(F.col("mask"))).alias("key"))  # colliding keys cost a comparison
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    one, two = few.select("kind", "key", F.col("fp").alias("a")), few.select("kind", "key", F.col("fp").alias("b"))
-    joined = one.join(two, ["kind", "key"]).where((F.col("a") < F.col("b")) & close("a", "b")).select("a", "b")
-    # crowded keys: the other two blocks as they are and with each of their bits flipped
-    flips = []
-    for i, (a, b) in enumerate(_PAIRS):
-        bits = [1 << (16 * k + j) for k in range(4) if k not in (a, b) for j in range(16)]
-        signed = [x - (1 << 64) if x >= 1 << 63 else x for x in bits]
-        flips.append(F.when(F.col("kind") == i, F.array(fp, *[fp.bitwiseXOR(F.lit(x).cast("long")) for x in signed])))
-    near = many.select("fp", "kind", F.explode(F.coalesce(*flips)).alias("value"))
-    # a value determines its key, as all of a key's fingerprints agree in the two blocks
-    least = near.groupBy("kind", "value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = near.join(least.select("kind", "value", "a"), ["kind", "value"]).where((F.col("a") != F.col("fp")) & close("a", "fp"))
-    return joined.union(met.select("a", F.col("fp").alias("b"))).distinct()
+    ends = [f(F.struct("s", "fp")).alias(n) for n, f in (("low", F.min), ("high", F.max))]
+    sizes = common.materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"), "simhash-keys")
+    # most shared keys have two fingerprints: their pair stands already
+    twos = sizes.where((F.col("n") == 2) & (F.col("low.s") == F.col("high.s"))).select("low.s", F.col("low.fp").alias("a"), F.col("high.fp").alias("b"))
+    shared = common.materialise(spread.join(sizes.where("n > 2").select("key", "n"), "key"), "simhash-shared")
+    few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
+    one, two = few.select("key", "s", F.col("fp").alias("a")), few.select("key", "s", F.col("fp").alias("b"))
+    joined = twos.union(one.join(two, ["key", "s"]).where(F.col("a") < F.col("b")).select("s", "a", "b")).where(close("a", "b"))
+    if distance == 2:
+        # the key's bits as they are, and the others with each of them flipped
+        flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << j)).cast("long") for j in range(64) if not m >> j & 1]) for m in every])
+        near = many.select("s", "fp", "key", F.explode(F.transform(F.get(flips, F.col("kind")), lambda x: fp.bitwiseXOR(x))).alias("value"))
+        least = near.groupBy("s", "key", "value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = near.join(least.select("s", "key", "value", "a"), ["s", "key", "value"]).where((F.col("a") != F.col("fp")) & close("a", "fp"))
+        return joined.union(met.select("s", "a", F.col("fp").alias("b"))).distinct()
+    parts = F.ceil(F.col("n") / cell).cast("int")
+    dealt = many.withColumn("p", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("s", "key", "fp", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    found = dealt.groupBy("s", "key", "p", "q").applyInPandas(_forest(distance), "s int, a long, b long")
+    return joined.union(found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -119,20 +179,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _grouped(own: DataFrame, first, distance: int) -> DataFrame:
-    """(fp, first, root) of the distinct fingerprints of ``own``; first: an aggregate of a fingerprint's rows; root: the component."""
-    nodes = common.materialise(own.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
-    roots = components(links(nodes, distance))
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def _linked(own: DataFrame, distance: int, many: int) -> DataFrame:
+    """Edges (a, b) between first fingerprints that connect the documents any of whose fingerprints are close."""
+    if many == 1:
+        return links(own.select(F.lit(0).alias("s"), "fp").distinct(), distance).select("a", "b")
+    each = own.select("fp", "fps").distinct().select(F.col("fp").alias("node"), F.posexplode("fps").alias("s", "fp")).distinct()
+    each = common.materialise(each, "simhash-each")
+    least = common.materialise(each.groupBy("s", "fp").agg(F.min("node").alias("node")), "simhash-least")
+    same = each.join(least.withColumnRenamed("node", "a"), ["s", "fp"]).where("a <> node").select("a", F.col("node").alias("b"))
+    named = lambda n, to: least.select("s", F.col("fp").alias(n), F.col("node").alias(to))
+    far = links(least.select("s", "fp"), distance).join(named("a", "x"), ["s", "a"]).join(named("b", "y"), ["s", "b"]).where("x <> y")
+    return same.union(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def _grouped(own: DataFrame, first, distance: int, many: int = 1) -> DataFrame:
+    """(fp, n, first, root) of the distinct fingerprints of ``own``; n: their rows; first: an aggregate of these; root: the component."""
+    nodes = common.materialise(own.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    roots = components(_linked(own, distance, many))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, many: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links."""
-    own = common.materialise(fingerprints(docs, size), "fingerprints")
-    grouped = _grouped(own, F.min("doc_id"), distance)
+    own = common.materialise(fingerprints(docs, size, many), "fingerprints")
+    grouped = _grouped(own, F.min("doc_id"), distance, many)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = common.materialise(grouped.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = common.materialise(grouped.join(least, "root").select("fp", "n", "component_id"), "simhash-components")
+    # the copies of one text may be a third of all rows: fingerprints with so many, 1 / HOT at most, go to the rows
+    often = F.broadcast(named.where(F.col("n") > HOT * own.count()).select("fp", F.col("component_id").alias("hot"), F.lit(True).alias("met")))
+    marked = own.select("doc_id", "fp").join(often, "fp", "left")
+    rest = marked.where("met is null").join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rest.union(marked.where("met").select("doc_id", "fp", "hot"))
 
 
 def op9_simhash(spark, sf_dir):
@@ -140,15 +217,15 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, distance: int = NEAR, many: int = FINGERPRINTS) -> DataFrame:
     """One row of each component stays, whatever ids its rows have: the one of the smallest doc_id (null ids last)."""
     key = "_row"
     while key in docs.columns or key in ("doc_id", "fp"):
         key += "_"
     # written once with the key, so that both reads see the same
     rows = common.materialise(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
-    own = common.materialise(fingerprints(rows, SHINGLE, key), "fingerprints")
+    own = common.materialise(fingerprints(rows, SHINGLE, many, (key,)), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("row")))
-    stay = _grouped(own, first, DISTANCE).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(key))
+    stay = _grouped(own, first, distance, many).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(key))
     # the rows that stay grow with the documents: a merge at every size, no broadcast at small ones
     return rows.join(stay.hint("merge"), key, "left_semi").select(*docs.columns)
