@@ -282,6 +282,45 @@ def test_language_id(docs, none, spark):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
+def test_language_id_learns_long_texts_and_rejects_others(spark):
+    """A language all whose texts are long is learned; texts of an unseen language and noise are rejected, others not."""
+    rng = random.Random(19)
+    rows = [(i, prose(rng, "en", 80), "en") for i in range(240)] + [(1000 + i, prose(rng, "fr", 6000), "fr") for i in range(30)]
+    rows += [(2000 + i, prose(rng, "fr", 60), None) for i in range(20)]
+    rows += [(3000 + i, prose(rng, "de", 80), None) for i in range(20)]
+    rows += [(4000 + i, " ".join("".join(rng.choice("qwxzjkvbpm") for _ in range(7)) for _ in range(60)), None) for i in range(20)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert all(got[2000 + i].lang_pred == "fr" and not got[2000 + i].rejected for i in range(20))
+    assert sum(got[3000 + i].rejected for i in range(20)) >= 18 and all(got[4000 + i].rejected for i in range(20))
+    assert sum(got[i].rejected for i in range(240)) <= 2
+
+
+def test_language_id_scores_as_a_dense_forward_pass():
+    """predict() equals, text by text, a loop over grams with the model's own tables."""
+    rng = random.Random(20)
+    texts = [prose(rng, lang, n) for lang in ("en", "fr", "de") for n in (1, 5, 40, 400)] * 5
+    labels = [lang for lang in ("en", "fr", "de") for _ in range(4)] * 5
+    features = [language_id._features(language_id._normal(t)) for t in texts]
+    model = language_id.train(features, labels, features)
+    texts.append(" ".join(texts) * 6)
+    names, scores, _ = language_id.predict(model, texts_array(texts))
+    for text, name, score in zip(texts, names, scores):
+        data, total, n = language_id._normal(text), np.zeros(6), 0
+        for size in language_id.GRAMS:
+            for k in range(len(data) - size + 1):
+                total += model.logits[language_id.buckets(np.frombuffer(data[k : k + size], np.uint8))[size - 2][0]].astype(float)
+                n += 1
+        x = (total[:3] / n + model.bias) / model.temperature
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert model.languages[int(p.argmax())] == name and math.isclose(p.max(), score, rel_tol=1e-3)
+
+
+def texts_array(texts):
+    import pyarrow as pa
+
+    return pa.array(texts)
+
+
 def test_quality_classifier(docs, none, spark):
     rng = random.Random(12)
     rows, labels = [], []
