@@ -336,6 +336,57 @@ def test_quality_classifier(docs, none, spark):
     assert sum(got[i].predicted == labels[i][1] for i in held) >= 0.95 * len(held)
     assert quality_classifier.classify(docs, table.where("false")).count() == len(TEXTS)
     assert quality_classifier.classify(none, table).count() == 0
+    # a fitted model on nulls, empty, odd and long texts
+    odd = quality_classifier.classify(docs, spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")).collect()
+    assert len(odd) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
+
+
+def auc(scores, truth):
+    above = [s for s, t in zip(scores, truth) if t]
+    below = [s for s, t in zip(scores, truth) if not t]
+    return sum((a > b) + (a == b) / 2 for a in above for b in below) / (len(above) * len(below))
+
+
+def test_quality_classifier_learns_words_from_positives_alone(spark):
+    """Texts that differ in their vocabulary only; no row is labelled 0, and the prior is estimated."""
+    rng = random.Random(31)
+    words = {good: sorted({prose(rng, "en", 1).rstrip(".,") + tail for _ in range(150)}) for good, tail in ((True, "a"), (False, "e"))}
+    truth = {i: i % 5 != 0 for i in range(3000)}
+    rows = [(i, " ".join(rng.choice(words[good]) for _ in range(60)) + ".") for i, good in truth.items()]
+    labels = [(i, 1) for i, good in truth.items() if good and i % 2]
+    got = quality_classifier.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    held = [r for r in got if r.held_out]
+    assert auc([r.score for r in held], [truth[r.doc_id] for r in held]) > 0.99
+    assert sum(r.predicted == truth[r.doc_id] for r in held) > 0.95 * len(held)
+    assert abs(sum(r.score for r in got) / len(got) - 0.8) < 0.08  # the mean score is the estimated prior
+
+
+def test_quality_classifier_scores_and_risk_as_plain_loops():
+    rng = np.random.default_rng(5)
+    q = quality_classifier
+    texts = [prose(random.Random(k), "en", 30) for k in range(40)] + ["", None, "x " * 50]
+    rows = q._measured(texts_array(texts))
+    model = q.calibrated(q.train(rows.take(np.arange(20)), rows, 0.6, epochs=30), rows, 0.6)
+    w = model.weights
+    for k, text in enumerate(texts):
+        own = q.measures(text)
+        x = [(a - m) / s for a, m, s in zip(own[0].astype(float), model.mean, model.scale)]
+        z = model.shift + w[3][0] + sum(a * b for a, b in zip(x, w[4])) + sum(int(a) * b / 255 for a, b in zip(own[1], w[5]))
+        z += sum(math.tanh(sum(a * w[0][i][j] for i, a in enumerate(x)) + w[1][j]) * w[2][j] for j in range(q.HIDDEN))
+        assert math.isclose(1 / (1 + math.exp(-z)), q.score(model, rows)[k], rel_tol=1e-4)
+    assert abs(q.score(model, rows).mean() - 0.6) < 1e-6
+    # the risk and its slope, where the bracket is positive and where it isn't
+    for prior, bias in ((0.3, 0.0), (0.9, 3.0)):
+        z = rng.normal(0, 1, 12)
+        z[:5] += bias
+        plus, minus = [math.log1p(math.exp(-v)) for v in z], [math.log1p(math.exp(v)) for v in z]
+        bracket = sum(minus[5:]) / 7 - prior * sum(minus[:5]) / 5
+        risk, slope = q.nn_risk(z, 5, prior)
+        assert math.isclose(risk, prior * sum(plus[:5]) / 5 + max(0, bracket))
+        for k in range(12):
+            step = np.eye(12)[k] * 1e-6
+            f = (lambda v: q.nn_risk(v, 5, prior)[0]) if bracket >= 0 else (lambda v: -(np.logaddexp(0, v[5:]).mean() - prior * np.logaddexp(0, v[:5]).mean()))
+            assert math.isclose((f(z + step) - f(z - step)) / 2e-6, slope[k], abs_tol=1e-6)
 
 
 def test_lm_scores(docs, none):
@@ -403,8 +454,7 @@ def test_lm_probabilities_sum_to_one(spark):
     used[singles.leaves] = used[m.tail_leaf(np.arange(m.TAILS))] = True
     weights = m.start(tails.counts, used)
     for turn in range(2):
-        moved, times, tilted, met = m._steps(weights, [block], singles, turn, 2)
-        weights = m.Weights(weights.rows + moved / np.maximum(times, 1)[:, None], weights.bias + tilted / np.maximum(met, 1)[:, None])
+        weights = m.moved(weights, m._steps(weights, [block], singles, turn, 2))
     assert np.abs(weights.rows).max() > 0.01
     within = 10 ** m.word_scores(text, c, tails)
     for at in (0, 1, 2, 777):
@@ -419,6 +469,12 @@ def test_lm_probabilities_sum_to_one(spark):
         assert math.isclose(10 ** m.leaf_scores(weights, text, np.array([at]))[0], leaf[text.leaf[own]], rel_tol=1e-4)
 
 
+def m_changes_average():
+    a, b = (np.full((2, 16), 1, np.float16), np.array([3, 0], np.float32)) * 2, (np.full((2, 16), 5, np.float16), np.array([1, 0], np.float32)) * 2
+    out = language_model._mean(a, b)
+    return out[0][:, 0].tolist() == [2, 0] and out[1].tolist() == [4, 0]
+
+
 def test_lm_learns_from_history(spark):
     """Words that only the history tells apart are scored better than by their shares, on held-out documents."""
     rng = random.Random(11)
@@ -433,6 +489,7 @@ def test_lm_learns_from_history(spark):
 
     df = spark.createDataFrame([(i, text()) for i in range(700)], "doc_id long, text string").repartition(2)
     held = [r for r in language_model.lm_scores(df).collect() if r.held_out]
+    assert m_changes_average()
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
     assert gain > 0.3
 
