@@ -508,25 +508,44 @@ def test_cover_tree(spark):
     rng = random.Random(8)
     rows = [(i, [rng.gauss(i % 4, 0.2) for _ in range(6)]) for i in range(500)]
     rows += [(1000 + i, rows[7][1]) for i in range(60)]  # ties
-    rows += [(3, None), (None, rows[1][1]), (4001, [None] * 6), (4002, [float("nan")] * 6), (4003, [float("inf")] * 6), (4050, [1.0, 2.0]), (4051, []), rows[9]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(3, None), (None, rows[1][1]), (4001, [None] * 6), (4002, [float("nan")] * 6), (4003, [float("inf")] * 6), (4050, [1.0, 2.0]), (4051, []), rows[9], (4100, [0.0] * 6), (4101, [0.0] * 6), rows[50], rows[50]]
+    rows = [(i, v, 1, 2, 3) for i, v in rows]  # columns named as the operator names its own
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, row int, v int").repartition(3)
     rows = [(r.vec_id, r.embedding) for r in df.collect()]  # as floats hold them
-    got = cover_tree.top_k(df, query_block=4, data_block=90)
-    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows)
+    for group, block in ((4, 90), (10_000, 10_000)):
+        got = cover_tree.top_k(df, query_group=group, data_block=block)
+        assert sorted(tuple(r) for r in got.collect()) == brute_top(rows)
     assert cover_tree.top_k(df.where("false")).count() == 0
 
 
-def test_cover_tree_covers():
-    x = np.random.default_rng(1).normal(size=(700, 8))
+def test_cover_tree_is_exact_beyond_doubles(spark):
+    big = float(1 << 22)
+    rows = [(0, [big, 1 / 256]), (1, [big, 1 / 256]), (2, [big, 2 / 256]), (3, [big, 0.0]), (4, [-big, 5.0])]
+    got = cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 2, 2**60 + 2), (0, 2, 1, 2**60 + 1), (0, 3, 3, 2**60), (0, 4, 4, -(2**60) + 1280)]
 
-    def walk(node):
-        assert np.sqrt(((x[node.rows] - node.centre) ** 2).sum(1)).max() <= node.radius + 1e-9
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
-            for c in node.children:
-                walk(c)
 
-    walk(cover_tree.build(x))
+def test_cover_tree_covers():
+    tree = cover_tree.Tree((np.random.default_rng(1).normal(size=(700, 8)) * 100).astype(np.int64))
+    for n, rows in enumerate(tree.rows):
+        assert np.sqrt(((tree.real[rows] - tree.points[n]) ** 2).sum(1)).max() <= tree.radii[n] + 1e-9
+        assert np.arccos(np.clip(tree.unit[rows] @ tree.directions[n], -1, 1)).max() <= tree.angles[n] + 1e-6
+        if tree.children[n]:
+            assert sorted(np.concatenate([tree.rows[c] for c in tree.children[n]])) == sorted(rows)
+
+
+def test_cover_tree_prunes():
+    """On clustered vectors less than half of all pairs are scored, and the result is that of all pairs."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 32))
+    x = (256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.15, (4000, 32)))).astype(np.int64)
+    ids = np.arange(4000)
+    queries = cover_tree.Queries(ids[::20], ids[::20], x[::20], 5)
+    best = cover_tree.dual_search(queries.tree, queries.ids, cover_tree.Tree(x), ids, cover_tree.Best(200, 5, queries.needed))
+    s = x[::20] @ x.T
+    s[ids[::20][:, None] == ids[None]] = cover_tree.LEAST
+    want = np.lexsort((np.broadcast_to(ids, s.shape), ~s), axis=1)[:, :5]
+    assert (best.ids == want).all() and best.scored < 0.25 * s.size
 
 
 def test_chat_escapes():

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,20 +28,28 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A temporary one only where that is unset and the
+    executors are threads of the driver; on a cluster, an unset one is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weft-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def swept(spark: SparkSession, path: str) -> None:
+    """Have a table removed when the driver ends."""
+    _written.append((spark, path))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    swept(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
