@@ -560,40 +560,63 @@ def test_chat_escapes():
         assert chat.unescape(formatted[a:b]) == text
 
 
-def test_chat(spark):
+def chat_rows():
+    rng = random.Random(14)
     rows = []
     for c in range(40):
         rows.append((c, 0, "system", "shared first turn"))
         rows.append((c, 1, "user", f"second {c % 3}"))
         rows += [(c, 2 + k, "assistant", f"</s> {c % 5} {k}") for k in range(c % 4)]
-    rows += [(77, 0, None, None), (77, None, "user", "\\"), (None, 0, "user", "x"), (5, 0, "system", "shared first turn")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    tree = chat.prefix_tree(df, pack_chars=500)
-    got = {r.conv_id: r for r in chat.read_back(tree).collect()}
+    rows += [(77, 0, None, None), (77, None, "user", "\\"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (5, 0, "system", "shared first turn")]
+    return rows + [(88, 0, "user", prose(rng, "en", 9000)), (88, 1, "assistant", "[INST]" * 3000), (89, None, None, None)]
+
+
+def chat_digest(turns):
+    loss = "".join(t for r, t in turns if r == "assistant")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss)
+
+
+@pytest.mark.parametrize("encode", [None, "ids"])
+def test_chat(spark, encode):
+    rows = chat_rows()
+    # columns that the operator names itself
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, pack int, row int, turns int").repartition(3)
+    tree = chat.prefix_tree(df, size=500, encode=(lambda text: [ord(c) % 1000 for c in text[::2]]) if encode else None)
+    read = lambda out: Counter((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in out.collect())
+    got = read(chat.read_back(tree, ordered=True))
+    assert got == read(chat.read_back(tree.repartition(5)))  # in any order
     own = {}
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
-        own.setdefault(c, []).append((role or "", text or ""))
-    assert set(got) == set(own)
-    for c, turns in own.items():
-        loss = "".join(t for r, t in turns if r == "assistant")
-        assert got[c].n_turns == len(turns) and got[c].loss_chars == len(loss)
-        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        own.setdefault(c if c is not None else (c, t), []).append((role or "", text or ""))
+    assert Counter(r[:5] for r in got.elements()) == Counter((c if isinstance(c, int) else None, *chat_digest(turns)) for c, turns in own.items())
     nodes = [r for r in tree.collect() if r.segment is not None]
-    emitted = sum(len(r.segment) for r in nodes)
-    assert emitted < sum(r.formatted_chars for r in got.values())
+    assert sum(len(r.segment) for r in nodes) < sum(r[5] for r in got.elements())
+    units = lambda r: r.ids if encode else r.segment
     for pack in by_id(nodes, "pack").values():
         at = 0
         by_node = {r.node: r for r in pack}
+        assert len({(r.parent, r.segment) for r in pack}) == len(pack)  # shared turns stand once
         for r in sorted(pack, key=lambda r: r.start):
-            assert r.start == at and r.end - r.start == len(r.segment)
+            assert r.start == at and r.end - r.start == len(units(r))
             at = r.end
             above = by_node.get(r.parent)
-            assert r.position == (above.position + len(above.segment) if above else 0)
+            assert r.position == (above.position + len(units(above)) if above else 0)
             assert sum(x.end - x.start for x in r.attend) == r.position  # all that stands before it, and nothing else
+            if encode and r.role == "assistant":
+                said = r.segment[r.learn_from : r.learn_to]
+                assert r.ids[r.learn_ids_from : r.learn_ids_to] == [ord(c) % 1000 for c in said[::2]]
     assert chat.prefix_tree(df.where("false")).count() == 0
 
 
+def test_chat_packs_end_between_first_turns(spark):
+    """A first turn that some conversations share is emitted once, however full the pack."""
+    rows = [(c, t, "user", f"{c // 5} {t} " * 20 if t else f"first {c // 5} " * 20) for c in range(50) for t in range(2)]
+    tree = chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1), size=700).collect()
+    first = Counter(r.segment for r in tree if r.parent == 0)
+    assert sum(first.values()) <= 10 + 3 and len({r.pack for r in tree}) > 3  # three bounds between four partitions
+
+
 def test_merge_dropout(docs, none):
     import sentencepiece
 
