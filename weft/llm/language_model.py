@@ -301,7 +301,7 @@ def _over(blocks: DataFrame, work):
 
 def learn_singles(blocks: DataFrame) -> tuple[Singles, list[bytes]]:
     """The most frequent training words, SINGLES at most and the end among them, with leaves by the words beside them."""
-    pair = F.filter(F.arrays_zip("words", "uses"), lambda x: (x["uses"] * SHARE >= F.col("trained")) & (x["uses"] > 0) & (F.length(x["words"]) <= LONGEST))
+    pair = F.filter(F.arrays_zip("words", "uses"), lambda x: (x["uses"].cast("long") * SHARE >= F.col("trained")) & (x["uses"] > 0) & (F.length(x["words"]) <= LONGEST))
     often = blocks.select(F.explode(pair).alias("w")).groupBy("w.words").agg(F.sum("w.uses").alias("n")).where(F.length("words") > 0)
     words = [b""] + [bytes(r["words"]) for r in often.orderBy(F.desc("n"), "words").limit(SINGLES - 1).collect()]
     keys = np.array([zlib.crc32(w) << 16 | end_of(w) for w in words], np.int64)
