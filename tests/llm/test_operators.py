@@ -172,14 +172,65 @@ def test_quality_rules(docs, none):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("RepartitionByExpression")[0].replace("Exchange RoundRobin", "")
 
 
+def brute_kept(t):
+    """The verdict of the line rules, by Python's own regular expressions."""
+    import re
+
+    text = t or ""
+    space = " \t\n\x0b\x0c\r"
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    total, seen, stand = sum(map(len, words)), set(), 0
+    for line in text.split("\n"):
+        if not line.strip(space) or line in seen:
+            continue
+        seen.add(line)
+        parts = line.split(" ")
+        n, own = len(parts), len(set(parts))
+        bars = len(re.findall(r"[|•·»›]", line))
+        odd = len(re.findall(r"([#*$%&<>~^_=+]{2,}|[!?]{2,})(?=[ \t\n\x0b\f\r]|$)", line))
+        runs = any(m in line for m in quality_rules.RUNS)
+        fails = n >= 12 and own * 5 <= n
+        fails |= n >= quality_rules.HEADING_WORDS and not re.search(quality_rules.END_MARK, line)
+        fails |= bars >= 2 and bars * 5 >= n
+        fails |= runs and odd >= 2 and odd * 3 >= n
+        fails |= len(line) <= quality_rules.FURNITURE_CHARS and bool(re.search(quality_rules.FURNITURE, line, re.ASCII))
+        if not fails:
+            stand += sum(c not in space for c in line)
+    grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    times, covered = Counter(grams), set()
+    for k, g in enumerate(grams):
+        if times[g] > 1:
+            covered.update(range(k, k + 5))
+    return len(words) >= 10 and 100 * len(covered) <= 20 * len(words) and stand >= quality_rules.MIN_KEPT * total
+
+
+GOOD = "This is a line of some words that ends well."
+LINES = [("Home | About | Contact | Help", True), ("word*** other### third%%% more&&& end", True), ("no mark at all in this long line of words", True), ("All rights reserved.", True), ("go go go go go go go go go go go go.", True), ("A heading", False), ("Home • About » Help › More.", True), ("what!! is?? this!! now??", True), ("Please read this, and click here.", True), ("x" * 190 + " we click here and go on. " + "y" * 20, False)]
+
+
+def test_quality_verdicts(spark):
+    """``kept`` by brute force, of texts that mix good and failing lines, and a filter on it that doesn't swell the plan."""
+    rng = random.Random(40)
+    texts = [t for _, t in TEXTS]
+    for _ in range(150):
+        lines = [rng.choice([GOOD, prose(rng, "en", 12), prose(rng, "fr", 9), rng.choice(LINES)[0], rng.choice(LINES)[0], "", " \t"]) for _ in range(rng.randint(1, 9))]
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = quality_rules.quality_rules(df)
+    want = {i: brute_kept(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.kept for r in found.collect()} == want and 20 < sum(want.values()) < len(want) - 20
+    only = found.where("kept")
+    assert {r.doc_id for r in only.collect()} == {i for i, k in want.items() if k}
+    size = lambda d: len(spark._jvm.PythonSQLUtils.explainString(d._jdf.queryExecution(), "simple"))
+    assert size(only) < 1.5 * size(found) and size(quality_rules.reject(df)) < 1.5 * size(found)
+
+
 def test_line_rules(spark):
-    good = "This is a line of some words that ends well."
-    lines = [(good, False), ("Home | About | Contact | Help", True), ("word*** other### third%%% more&&& end", True), ("no mark at all in this long line of words", True), ("All rights reserved.", True), ("go go go go go go go go go go go go.", True), ("A heading", False)]
-    rows = [(k, good + "\n" + x) for k, (x, _) in enumerate(lines[1:], 1)]
-    got = {r.doc_id: r for r in quality_rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for k, (x, fails) in enumerate(lines[1:], 1):
-        if k in got:
-            assert (x not in got[k].clean_text) == fails, x
+    rows = [(k, "\n".join([GOOD, " ".join(f"word{k}" for k in range(60)) + ".", x])) for k, (x, _) in enumerate(LINES)]
+    got = {r.doc_id: r.clean_text for r in quality_rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(len(LINES)))
+    for k, (x, fails) in enumerate(LINES):
+        assert (x not in got[k].split("\n")) == fails, x
 
 
 def brute_fingerprint(t):

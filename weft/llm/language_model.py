@@ -16,7 +16,7 @@ The weights are trained in ``ROUNDS`` rounds: each partition runs minibatch step
 current weights over its own training documents' tokens, every ``ROUNDS``-th position, others in each round,
 and the partitions' changes are averaged by row, weighted with how often they met the row (a tree of sums).
 Every position of every training document is met in exactly one round; all take part in the counts. The rows of the
-weights grow with the square root of the training tokens, so that a task can hold them whole.
+weights grow with the fourth root of the training tokens: a task holds them whole, and each sends them up the tree.
 
 Defined results: null texts are empty and consist of the end alone; with no training document the counts are
 zero and all leaves in use equally likely. Repeated rows and ids give a row each; null ids stay and belong to no held-out fold;
@@ -45,18 +45,18 @@ LEAVES = BRANCH**LEVELS
 #: Classes of leaves, and how many leaves of each are for words without a leaf of their own.
 GROUPS, SHARED = BRANCH ** (LEVELS - 1), 2
 SINGLES, TAILS = GROUPS * (BRANCH - SHARED), GROUPS * SHARED
-#: A word can have a leaf to itself if it is one in so many of some block's training tokens, and not overlong.
-SHARE, LONGEST = 1 << 16, 64
+#: Bytes of a word that can have a leaf to itself, at most.
+LONGEST = 64
 #: Buckets of the words before, and of those after, by which classes are learned.
 BESIDE = 64
 NODES = 1 + BRANCH + GROUPS
 ROUNDS = 2
-BATCH = 1 << 15
+BATCH = 1 << 16
 RATE = 0.2
 MOD, REST = 7, 2
 BLOCK_CHARS = 24_000_000
 
-BLOCKS = "block long, ids array<long>, held array<boolean>, lens array<int>, trained long, words array<binary>, uses array<int>, hashes binary, ends binary, tokens binary"
+BLOCKS = "block long, ids array<long>, held array<boolean>, lens array<int>, words array<binary>, uses array<int>, hashes binary, ends binary, tokens binary"
 
 
 def end_of(word: bytes) -> int:
@@ -82,14 +82,13 @@ def _blocks(batches):
             pa.array([ids], pa.list_(pa.int64())),
             pa.array([held], pa.list_(pa.bool_())),
             pa.array([[len(t) for t in tokens]], pa.list_(pa.int32())),
-            pa.array([int(uses.sum())], pa.int64()),
             pa.array([list(entry)], pa.list_(pa.binary())),
             pa.array([uses.astype(np.int32)], pa.list_(pa.int32())),
             pa.array([np.fromiter(map(zlib.crc32, entry), np.uint32, len(entry)).tobytes()], pa.binary()),
             pa.array([np.fromiter(map(end_of, entry), np.uint16, len(entry)).tobytes()], pa.binary()),
             pa.array([np.concatenate(tokens).astype(np.int32).tobytes()], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "trained", "words", "uses", "hashes", "ends", "tokens"])
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "words", "uses", "hashes", "ends", "tokens"])
 
     state, chars = fresh(), 0
     for batch in batches:
@@ -197,7 +196,7 @@ def _choices(leaves: np.ndarray):
 
 
 def _rows(features: list[np.ndarray], node: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Rows of the weights for a level's nodes, a column a feature."""
+    """Rows of the weights for a level's nodes, for each feature."""
     salt = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     out = []
     for f in features:
@@ -217,17 +216,18 @@ class Weights:
         return len(self.rows).bit_length() - 1
 
     def probabilities(self, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-        z = self.bias[node]
+        z = np.take(self.bias, node, axis=0, mode="clip")
+        part = np.empty_like(z)
         for r in rows:
-            z += self.rows[r]
+            z += np.take(self.rows, r, axis=0, out=part, mode="clip")  # with mode and out, no copy is buffered
         np.exp(np.clip(z, -80, 60, out=z), out=z)  # a choice that doesn't exist has a bias of -1000
         z /= (z @ np.ones(BRANCH, np.float32))[:, None]
         return z
 
 
 def size_for(tokens: int) -> int:
-    """Rows for so many training tokens: about eight times the square root."""
-    return 1 << max(12, math.ceil(math.log2(8 * math.sqrt(tokens + 1))))
+    """Rows for so many training tokens: about 512 times the fourth root."""
+    return 1 << max(12, math.ceil(math.log2(512 * (tokens + 1) ** 0.25)))
 
 
 def start(leaf_counts: np.ndarray, used: np.ndarray) -> Weights:
@@ -251,7 +251,7 @@ def _order(rows: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _steps(weights: Weights, blocks, singles: Singles, turn: int, rounds: int):
-    """One partition's minibatch steps: changes weighted with times met, and times met, of the rows and the biases."""
+    """One partition's minibatch steps: changes, and times met, of the rows and the biases."""
     own = Weights(weights.rows.copy(), weights.bias.copy())
     seen, speed = np.zeros(len(own.rows), np.float32), np.full(len(own.rows), 0.1, np.float32)
     met, pace = np.zeros(NODES, np.float32), np.full(NODES, 0.1, np.float32)
@@ -271,39 +271,49 @@ def _steps(weights: Weights, blocks, singles: Singles, turn: int, rounds: int):
                 slopes.append((node, p))
             for node, p in slopes:
                 order = np.argsort(node.astype(np.uint16), kind="stable")
-                _move(own.bias, pace, met, node[order], p[order])
+                _move(own.bias, pace, met, node[order], np.take(p, order, axis=0, mode="clip"))
             flat = np.concatenate(rows)
             order = _order(flat, own.bits)
             n, f = len(part), len(features)
             source = order % n + order // (n * f) * n  # the features of a level share its slopes
-            _move(own.rows, speed, seen, flat[order], np.concatenate([p for _, p in slopes])[source])
-    return (own.rows - weights.rows) * seen[:, None], seen, (own.bias - weights.bias) * met[:, None], met
+            every = np.concatenate([p for _, p in slopes])
+            spread = np.empty((len(flat), BRANCH), np.float32) if k == 0 or len(flat) != len(spread) else spread
+            _move(own.rows, speed, seen, flat[order], np.take(every, source, axis=0, out=spread, mode="clip"))
+    return (own.rows - weights.rows).astype(np.float16), seen, (own.bias - weights.bias).astype(np.float16), met
 
 
 def _move(weights, speed, seen, rows, slopes):
     """A step of the rows (sorted, repeated) by their summed slopes."""
     starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     distinct, times = rows[starts], np.diff(np.append(starts, len(rows))).astype(np.float32)
-    grad = np.add.reduceat(slopes, starts, axis=0) / np.sqrt(times)[:, None]
+    grad = np.add.reduceat(slopes, starts, axis=0)
+    grad /= np.sqrt(times)[:, None]
     speed[distinct] += np.einsum("ij,ij->i", grad, grad) / 4
-    weights[distinct] -= (RATE / np.sqrt(speed[distinct]))[:, None] * grad
+    grad *= (RATE / np.sqrt(speed[distinct]))[:, None]
+    weights[distinct] = np.take(weights, distinct, axis=0, mode="clip") - grad
     seen[distinct] += times
 
 
-def _sum(a, b):
-    return tuple(x + y for x, y in zip(a, b))
+def _mean(a, b):
+    """Two partitions' changes averaged by row, weighted with the times met."""
+    out = []
+    for moved, seen, other, times in zip(a[::2], a[1::2], b[::2], b[1::2]):
+        every = seen + times
+        out += [((moved * seen[:, None] + other * times[:, None]) / np.maximum(every, 1)[:, None]).astype(np.float16), every]
+    return tuple(out)
+
 
+def moved(weights: Weights, changes) -> Weights:
+    return Weights(weights.rows + changes[0], weights.bias + changes[2])
 
-def _over(blocks: DataFrame, work):
-    """The sum, by a tree, of the arrays that work(rows) gives for each partition."""
-    return blocks.rdd.mapPartitions(lambda rows: [work(rows)]).treeReduce(_sum, depth=3)
 
+def _over(blocks: DataFrame, work, join):
+    """What work(rows) gives for each partition, joined by a tree."""
+    return blocks.rdd.mapPartitions(lambda rows: [work(rows)]).treeReduce(join, depth=3)
 
-def learn_singles(blocks: DataFrame) -> tuple[Singles, list[bytes]]:
-    """The most frequent training words, SINGLES at most and the end among them, with leaves by the words beside them."""
-    pair = F.filter(F.arrays_zip("words", "uses"), lambda x: (x["uses"].cast("long") * SHARE >= F.col("trained")) & (x["uses"] > 0) & (F.length(x["words"]) <= LONGEST))
-    often = blocks.select(F.explode(pair).alias("w")).groupBy("w.words").agg(F.sum("w.uses").alias("n")).where(F.length("words") > 0)
-    words = [b""] + [bytes(r["words"]) for r in often.orderBy(F.desc("n"), "words").limit(SINGLES - 1).collect()]
+
+def learn_singles(blocks: DataFrame, words: list[bytes]) -> Singles:
+    """Leaves of the words that have one to themselves, by the words beside them."""
     keys = np.array([zlib.crc32(w) << 16 | end_of(w) for w in words], np.int64)
     order = np.argsort(keys)
     singles = Singles(keys[order], order, np.zeros(len(words), np.int64))
@@ -314,10 +324,10 @@ def learn_singles(blocks: DataFrame) -> tuple[Singles, list[bytes]]:
         total = np.zeros((SINGLES, 2 * BESIDE), np.int64)
         for block in rows:
             total += _Text(block, sent.value).beside()
-        return (total,)
+        return total
 
-    leaves = arrange(_over(blocks.select("held", "lens", "hashes", "ends", "tokens"), work)[0][: len(words)])
-    return Singles(singles.keys, singles.numbers, leaves[order]), words
+    leaves = arrange(_over(blocks.select("held", "lens", "hashes", "ends", "tokens"), work, np.add)[: len(words)])
+    return Singles(singles.keys, singles.numbers, leaves[order])
 
 
 def train(blocks: DataFrame, singles: Singles, leaf_counts: np.ndarray, rounds: int = ROUNDS) -> Weights:
@@ -333,8 +343,7 @@ def train(blocks: DataFrame, singles: Singles, leaf_counts: np.ndarray, rounds:
         def work(rows, sent=sent, turn=turn):
             return _steps(sent.value[0], rows, sent.value[1], turn, rounds)
 
-        moved, seen, tilted, met = _over(own, work)
-        weights = Weights(weights.rows + moved / np.maximum(seen, 1)[:, None], weights.bias + tilted / np.maximum(met, 1)[:, None])
+        weights = moved(weights, _over(own, work, _mean))
         sent.unpersist()
     return weights
 
@@ -410,16 +419,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     blocks = common.materialise(own.mapInArrow(_blocks, BLOCKS), "lm-blocks")
     if blocks.limit(1).count() == 0:
         return blocks.sparkSession.createDataFrame([], SCORES)
-    singles, words = learn_singles(blocks)
-    # SINGLES rows at most
-    named = F.broadcast(spark.createDataFrame([(bytearray(w), k) for k, w in enumerate(words)], "word binary, single int"))
     spread = blocks.select("block", F.posexplode(F.arrays_zip("words", "uses")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.uses").alias("uses"))
     by = Window.partitionBy("word")
     first = F.row_number().over(by.orderBy("block")) == 1
-    counts = spread.select("block", "pos", "word", F.sum("uses").over(by).alias("c"), first.alias("first")).join(named, "word", "left")
-    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS))
-    counts = common.materialise(counts.select("block", "pos", "c", "first", F.coalesce("single", -1 - tail).cast("int").alias("place")), "lm-counts")
-    met = counts.where("first and c > 0").groupBy("place").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.count(F.lit(1)).alias("words"))
+    counts = spread.select("block", "pos", F.sum("uses").over(by).alias("c"), first.alias("first"), "word")
+    counts = common.materialise(counts.select("block", "pos", "c", F.when(F.col("first") & (F.col("c") > 0), F.col("word")).alias("word")), "lm-counts")
+    known = counts.where("word is not null").select("word", "c")
+    often = known.where((F.length("word") > 0) & (F.length("word") <= LONGEST)).orderBy(F.desc("c"), "word").limit(SINGLES - 1)
+    words = [b""] + [bytes(r["word"]) for r in often.select("word").collect()]
+    singles = learn_singles(blocks, words)
+    # SINGLES rows at most
+    named = F.broadcast(spark.createDataFrame([(bytearray(w), k) for k, w in enumerate(words)], "word binary, single int"))
+    place = F.coalesce("single", -1 - F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS))).cast("int")
+    met = known.join(named, "word", "left").groupBy(place.alias("place")).agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.count(F.lit(1)).alias("words"))
     tails = Tails(np.zeros(LEAVES), np.ones(LEAVES), np.zeros(LEAVES, np.int64))
     leaves = np.zeros(len(words), np.int64)
     leaves[singles.numbers] = singles.leaves
