@@ -104,8 +104,8 @@ def _signed(x: int) -> int:
 
 
 def masks(distance: int, n: int) -> list[int]:
-    """The bits that each key takes: of the fewest blocks such that keys have KEY_BITS bits, and more than n has."""
-    count = distance + 1
+    """The bits that each key takes: of the fewest blocks such that keys have two blocks, KEY_BITS bits, and more than n has."""
+    count = distance + 2
     while (count - distance) * 64 < max(KEY_BITS, n.bit_length()) * count and count < 64:
         count += 1
     edges = [64 * k // count for k in range(count + 1)]
@@ -140,10 +140,10 @@ def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, cell:
     spread = nodes.select("s", "fp", F.posexplode(bits).alias("kind", "mask"))
     spread = spread.select("s", "fp", "kind", F.xxhash64("s", "kind", fp.bitwiseAND(F.col("mask"))).alias("key"))  # colliding keys cost a comparison
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    ends = [f(F.struct("s", "fp")).alias(n) for n, f in (("low", F.min), ("high", F.max))]
+    ends = [f(c).alias(n) for n, f, c in (("s", F.min, "s"), ("t", F.max, "s"), ("a", F.min, "fp"), ("b", F.max, "fp"))]
     sizes = common.materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"), "simhash-keys")
     # most shared keys have two fingerprints: their pair stands already
-    twos = sizes.where((F.col("n") == 2) & (F.col("low.s") == F.col("high.s"))).select("low.s", F.col("low.fp").alias("a"), F.col("high.fp").alias("b"))
+    twos = sizes.where("n = 2 and s = t and a < b").select("s", "a", "b")
     shared = common.materialise(spread.join(sizes.where("n > 2").select("key", "n"), "key"), "simhash-shared")
     few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
     one, two = few.select("key", "s", F.col("fp").alias("a")), few.select("key", "s", F.col("fp").alias("b"))
