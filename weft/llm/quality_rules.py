@@ -123,18 +123,24 @@ def assessed(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFr
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _barred(c: Column) -> Column:
+    """The same values, of which the optimizer won't write the expressions into a filter above, over and over: it pushes no
+    filter through columns that it takes to change from run to run, as numbers of rows do."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, measures, base_failed, kept, kept_chars) of every document."""
     own = assessed(docs.select("doc_id", F.col("text").alias("_q_text")), "_q_text")
-    return own.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in (*COLUMNS, "kept_chars")])
+    return own.select("doc_id", *[_barred(F.col(f"_q_{n}")).alias(n) for n in (*COLUMNS, "kept_chars")])
 
 
 def _kept(docs: DataFrame, *more: str) -> DataFrame:
-    """The rows that are kept, with some steps' columns. The verdict is written beside the rows before it filters them:
-    the optimizer would else write into the filter, over and over, the expressions of all that the verdict refers to."""
+    """The rows that are kept, with some steps' columns."""
     prefix = "_q" + "_" * max(map(len, docs.columns)) + "_"
-    own = assessed(docs, prefix=prefix).select(*docs.columns, *[f"{prefix}{n}" for n in ("kept", *more)])
-    return common.materialise(own, "quality").where(f"{prefix}kept").withColumnsRenamed({f"{prefix}{n}": n for n in more}).drop(f"{prefix}kept")
+    own = assessed(docs, prefix=prefix)
+    own = own.select(*docs.columns, _barred(F.col(f"{prefix}kept")).alias(f"{prefix}kept"), *[F.col(f"{prefix}{n}").alias(f"{prefix}{n}") for n in more])
+    return own.where(f"{prefix}kept").withColumnsRenamed({f"{prefix}{n}": n for n in more}).drop(f"{prefix}kept")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
