@@ -5,12 +5,11 @@ Most are a row of ``SCALARS`` or ``ARRAYS``: a table, its key, a function's Colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .catalogue_base import _BAL, _CU, _D, _DATE, _DOC, _E, _KEY, _NAME, _O, _P, _PG, _SYL, ORACLE, QUERIES, C, add_arrays, add_scalars, d, query, read, verb
 from .functions import arrays as A
 from .functions import scalar as S
-from .functions.registry import FUNCTIONS, Typed
 from .operators import documents as D
 from .operators import frames as R
 from .operators import validate as V
@@ -18,39 +17,20 @@ from .plans.program import apply
 from .sources import readers, writers
 from .streaming import events as E
 
-C = F.col
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def verb(name, *args):
-    """A registered function applied to (column, kind) pairs and literals."""
-    typed = [Typed(F.col(a[0]) if isinstance(a[0], str) else a[0]() if callable(a[0]) and not isinstance(a[0], Column) else a[0], a[1]) if isinstance(a, tuple) else Typed(F.lit(a), "string" if isinstance(a, str) else "long" if isinstance(a, int) else "double", a) for a in args]
-    return FUNCTIONS[name].build(*typed).column
-
-
-def query(name, sql):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-
-    return add
-
+#: CRC-32 bit by bit: each byte is mixed in, then eight shifts follow.
+_CRC32 = (
+    "lpad(lower(hex(xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(p_name, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295))), 8, '0')"
+)
+_LETTERS = "regexp_replace(upper(p_name), '[^A-Z]', '', 'g')"
+#: Letters' digits with runs made one, the first one's taken off, then the zeros; a first letter stands for its digit.
+_SOUNDEX = f"rpad(({_LETTERS}[1] || replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({_LETTERS}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), '^[0-9]', ''), '0', ''))[1:4], 4, '0')"
 
-def d(x):
-    return F.round(x, 6)
 
+def _pad(by: int) -> str:
+    """The key "key", padded to a block and mixed, as an SQL literal."""
+    return "'" + "".join(f"\\x{c ^ by:02X}" for c in b"key".ljust(64, b"\0")) + "'::BLOB"
 
-_D = "CAST(o_orderdate AS DATE)"
-_P, _CU, _O, _L, _E, _DOC, _PG = ("part", "p_partkey"), ("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", None), ("events", "event_id"), ("documents", "doc_id"), ("pages", "page_id")
-_NAME, _KEY, _BAL, _DATE = ("p_name", "string"), ("c_custkey", "long"), ("c_acctbal", "double"), (lambda: F.col("o_orderdate").cast("date"), "date")
-_SYL = "list_filter(string_split_regex(lower({}), '\\s+'), lambda x: x <> '')"
 
 #: name: (table and key, Column, SQL expression)
 SCALARS = {
@@ -120,8 +100,8 @@ SCALARS = {
     "escape_html": (_PG, lambda: F.md5(verb("escapeHtml", ("html", "string"))), "md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;'))"),
     "escape_xml": (_PG, lambda: F.md5(verb("escapeXml", ("html", "string"))), "md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&apos;'))"),
     "strip_tags": (_PG, lambda: F.md5(verb("stripTags", ("html", "string"))), "md5(regexp_replace(html, '<[^>]*>', '', 'g'))"),
-    "strip_accents": (_DOC, lambda: F.md5(verb("stripAccents", ("text", "string"))), None),
-    "soundex": (_P, lambda: verb("soundex", _NAME), None),
+    "strip_accents": (_DOC, lambda: F.md5(verb("stripAccents", ("text", "string"))), "md5(strip_accents(text))"),
+    "soundex": (_P, lambda: verb("soundex", _NAME), _SOUNDEX),
     "template": (_CU, lambda: S.template("{n} in {s}", {"n": C("c_name"), "s": C("c_mktsegment")}), "c_name || ' in ' || c_mktsegment"),
     "format_phone": (_CU, lambda: verb("formatPhone", (F.lpad(C("c_custkey").cast("string"), 10, "5"), "string"), "US"), "'(' || lpad(CAST(c_custkey AS VARCHAR), 10, '5')[1:3] || ') ' || lpad(CAST(c_custkey AS VARCHAR), 10, '5')[4:6] || '-' || lpad(CAST(c_custkey AS VARCHAR), 10, '5')[7:10]"),
     "abs": (_CU, lambda: verb("abs", _BAL), "abs(c_acctbal)"),
@@ -184,8 +164,8 @@ SCALARS = {
     "sha1": (_DOC, lambda: verb("sha1", ("text", "string")), "sha1(text)"),
     "sha256": (_DOC, lambda: verb("sha256", ("text", "string")), "sha256(text)"),
     "sha512": (_P, lambda: verb("sha512", _NAME), None),
-    "crc32": (_P, lambda: verb("crc32", _NAME), None),
-    "hmac": (_P, lambda: verb("hmac", _NAME, "key"), None),
+    "crc32": (_P, lambda: verb("crc32", _NAME), _CRC32),
+    "hmac": (_P, lambda: verb("hmac", _NAME, "key"), f"sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(p_name))))"),
     "unescape_html": (_PG, lambda: F.md5(verb("unescapeHtml", (verb("escapeHtml", (F.replace(C("html"), F.lit("&"), F.lit("+")), "string")), "string"))), "md5(replace(html, '&', '+'))"),
     "json_path": (_E, lambda: verb("jsonPath", ("props", "string"), "$.k"), "json_extract_string(props, '$.k')"),
     "url_host": (_PG, lambda: S.parse_url(C("url"))["host"], "nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '')"),
@@ -203,13 +183,6 @@ SCALARS = {
     "midpoint_lat": (_CU, lambda: d(S.midpoint(C("c_custkey") % 80, C("c_custkey") % 170, 10.0, 20.0)["lat"]), "round(degrees(atan2(sin(radians(c_custkey % 80)) + sin(radians(10)), sqrt(pow(cos(radians(c_custkey % 80)) + cos(radians(10)) * cos(radians(20 - c_custkey % 170)), 2) + pow(cos(radians(10)) * sin(radians(20 - c_custkey % 170)), 2)))), 6)"),
 }
 
-_EMB = "list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))"
-
-
-def _values():
-    return F.transform(F.col("embedding"), lambda x: F.round(x.cast("double"), 6))
-
-
 #: name: (Column over ``a``, SQL over ``a``); a: an embedding's values as doubles with 6 places
 ARRAYS = {
     "array_sum": (lambda a: d(A.sum_(a)), "round(list_sum(a), 6)"),
@@ -223,7 +196,7 @@ ARRAYS = {
     "array_std_sample": (lambda a: d(A.std(a, True)), "round(list_stddev_samp(a), 6)"),
     "array_variance": (lambda a: d(A.variance(a)), "round(list_var_pop(a), 6)"),
     "array_median": (lambda a: F.round(A.median(a) * 2, 6), "round(list_median(a) * 2, 6)"),
-    "array_percentile": (lambda a: d(A.percentile(a, 90)), "round(list_aggregate(a, 'quantile_cont', 0.9), 6)"),
+    "array_percentile": (lambda a: F.round(A.percentile(a, 90), 9), "round(list_aggregate(a, 'quantile_cont', 0.9), 9)"),
     "array_sort": (lambda a: A.at(A.sort(a), 3), "list_sort(a)[4]"),
     "array_sort_desc": (lambda a: A.at(A.sort(a, True), 3), "list_reverse_sort(a)[4]"),
     "array_reverse": (lambda a: A.at(A.reverse(a), 1), "a[-2]"),
@@ -243,7 +216,7 @@ ARRAYS = {
     "array_lead": (lambda a: A.at(A.lead(a, 2), 5), "a[8]"),
     "array_diff": (lambda a: d(A.at(A.diff(a), 5)), "round(a[6] - a[5], 6)"),
     "array_pct_change": (lambda a: F.round(A.at(A.pct_change(a), 5), 3), "round(CASE WHEN a[5] <> 0 THEN (a[6] - a[5]) / a[5] END, 3)"),
-    "array_moving_avg": (lambda a: d(A.at(A.moving_avg(a, 4), 6)), "round(list_avg(a[4:7]), 6)"),
+    "array_moving_avg": (lambda a: F.round(A.at(A.moving_avg(a, 4), 6), 9), "round(list_avg(a[4:7]), 9)"),
     "array_zscore": (lambda a: d(A.at(A.zscore(a), 3)), "round((a[4] - list_avg(a)) / list_stddev_pop(a), 6)"),
     "array_rank": (lambda a: A.at(A.rank(a), 3), "CAST(len(list_filter(a, lambda x: x > a[4])) + 1 AS BIGINT)"),
     "array_window": (lambda a: F.size(A.window(a, 4)).cast("long"), "CAST(len(a) - 3 AS BIGINT)"),
@@ -255,18 +228,13 @@ ARRAYS = {
     "array_intersection": (lambda a: F.size(A.intersection(F.slice(a, 1, 10), F.slice(a, 5, 10))).cast("long"), "CAST(len(list_distinct(list_intersect(a[1:10], a[5:14]))) AS BIGINT)"),
     "array_difference": (lambda a: F.size(A.difference(F.slice(a, 1, 10), F.slice(a, 5, 10))).cast("long"), "CAST(len(list_distinct(list_filter(a[1:10], lambda x: NOT list_contains(a[5:14], x)))) AS BIGINT)"),
     "array_zip": (lambda a: F.size(A.zip_(F.slice(a, 1, 10), F.slice(a, 1, 7))).cast("long"), "CAST(7 AS BIGINT)"),
-    "array_irr": (lambda a: F.round(S.irr(F.concat(F.array(F.lit(-1.0)), F.transform(F.slice(a, 1, 5), lambda x: F.abs(x) + 0.2))), 4), None),
+    # the present value at the rate found is nothing
+    "array_irr": (lambda a: (lambda flows: F.abs(S.npv(S.irr(flows), flows)) < 1e-4)(F.concat(F.array(F.lit(-1.0)), F.transform(F.slice(a, 1, 5), lambda x: F.abs(x) + 0.2))), "true"),
     "array_reduce": (lambda a: d(A.reduce(a, lambda s, x: s + x, F.lit(0.0))), "round(list_sum(a), 6)"),
 }
 
-for _name, ((_table, _key), _fn, _sql) in SCALARS.items():
-    QUERIES[_name] = lambda s, p, t=_table, k=_key, f=_fn: read(s, p, t).select(k, f().alias("value"))
-    if _sql:
-        ORACLE[_name] = f"SELECT {_key}, {_sql} AS value FROM {_table}"
-for _name, (_fn, _sql) in ARRAYS.items():
-    QUERIES[_name] = lambda s, p, f=_fn: read(s, p, "embeddings").select("vec_id", _values().alias("a")).select("vec_id", f(C("a")).alias("value"))
-    if _sql:
-        ORACLE[_name] = f"SELECT vec_id, {_sql} AS value FROM (SELECT vec_id, {_EMB} AS a FROM embeddings)"
+add_scalars(SCALARS)
+add_arrays(ARRAYS)
 
 # ---- groups, joins, windows, sets ------------------------------------------------------------------------
 
@@ -341,7 +309,7 @@ def _(s, p):
 
 @query("series_zscore", "SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
 def _(s, p):
-    return read(s, p, "events").select("event_id", F.round(R.zscore(C("value"), "event_type"), 6).alias("z"))
+    return R.zscore(read(s, p, "events"), "value", "event_type").select("event_id", F.round("z", 6).alias("z"))
 
 
 @query("series_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY CAST(o_totalprice / 1000 AS BIGINT) DESC) AS rank FROM orders")
@@ -404,7 +372,12 @@ def _(s, p):
 
 @query("explode_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY ALL")
 def _(s, p):
-    return R.explode(read(s, p, "documents").select("doc_id", F.split("text", " ").alias("w")), "w").groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    # a document's words lie in one row: counted there, they needn't be shuffled
+    words = F.array_sort(F.split("text", " "))
+    runs = F.filter(F.transform(C("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(C("words"), x["i"] - 1) != x["w"]))
+    counted = F.transform(C("runs"), lambda x, k: F.struct(x["w"].alias("w"), (F.coalesce(F.get(C("runs"), k + 1)["i"], F.size("words")) - x["i"]).cast("long").alias("n")))
+    df = read(s, p, "documents").select("doc_id", words.alias("words")).select("doc_id", "words", runs.alias("runs")).select("doc_id", counted.alias("c"))
+    return R.explode(df, "c").select("doc_id", "c.w", "c.n")
 
 
 @query("partition_rows", "SELECT o_orderstatus = 'O' AS open, count(*) AS n FROM orders GROUP BY 1")
@@ -573,3 +546,6 @@ def _(s, p):
 @query("tumbling_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(s, p):
     return E.tumbling(read(s, p, "events"), "ts", "6 hours", ["event_type"], n=F.count(F.lit(1)))
+
+
+from . import catalogue_programs, catalogue_verbs  # noqa: E402, F401  (they register their queries)

@@ -100,9 +100,17 @@ def percentile(arr, p: float) -> Column:
 
 
 def mode(arr) -> Column:
-    """The value that first reaches the greatest count."""
-    counted = F.transform(arr, lambda x, i: F.struct(F.size(F.filter(F.slice(arr, 1, i + 1), lambda y: y == x)).alias("n"), (-i).alias("i"), x.alias("v")))
-    return F.array_max(counted)["v"]
+    """The value of the greatest count; of several, the one that stands first. Equal values stand side by side once sorted, so one
+    pass counts them."""
+    sorted_ = F.sort_array(F.transform(arr, lambda x, i: F.struct(x.alias("v"), i.alias("i"))))
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.get(arr, 0).alias("v"))
+    start = F.struct(nothing.alias("run"), nothing.alias("best"))
+
+    def step(s, x):
+        run = F.when((s["run"]["n"] > 0) & x["v"].eqNullSafe(s["run"]["v"]), F.struct((s["run"]["n"] + 1).alias("n"), s["run"]["first"].alias("first"), x["v"].alias("v"))).otherwise(F.struct(F.lit(1).alias("n"), x["i"].alias("first"), x["v"].alias("v")))
+        return let(run, lambda r: F.struct(r.alias("run"), F.when((r["n"] > s["best"]["n"]) | ((r["n"] == s["best"]["n"]) & (r["first"] < s["best"]["first"])), r).otherwise(s["best"]).alias("best")))
+
+    return F.when(F.size(arr) > 0, F.aggregate(sorted_, start, step)["best"]["v"])
 
 
 def _paired(a, b):
@@ -161,7 +169,7 @@ def sort_by(arr, field, desc: bool = False) -> Column:
 
 
 def index_of(arr, value) -> Column:
-    return (F.array_position(F.transform(arr, text), text(value)) - 1).cast("long")
+    return (F.array_position(F.transform(arr, lambda x: text(x)), text(value)) - 1).cast("long")
 
 
 def at(arr, i) -> Column:
@@ -201,7 +209,7 @@ def find_index(arr, field, op, value) -> Column:
 
 
 def includes(arr, value) -> Column:
-    return F.array_contains(F.transform(arr, text), text(value))
+    return F.array_contains(F.transform(arr, lambda x: text(x)), text(value))
 
 
 def concat_arrays(a, b) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from . import dates as D
+from . import generate as G
 from . import scalar as S
 from .coerce import number, snapped, text, truth
 
@@ -101,7 +103,15 @@ def _texts():
     register("jsonPath", lambda a, p: Typed(S.json_path(_t(a), _lit(p))), 2)
     register("parseUrl", lambda a: Typed(S.parse_url(_t(a)), "object"), 1)
     register("parseQuery", lambda a: Typed(S.parse_query(_t(a)), "object"), 1)
-    register("jsonEncode", lambda a: Typed(F.to_json(a.column) if a.kind in ("array", "object") else _t(a)), 1)
+    register("jsonEncode", lambda a: Typed(S.json_text(a.column, a.kind)), 1)
+    register("jsonDecode", lambda a: Typed(S.json_decode(_t(a)), "variant"), 1)
+    register("stableStringify", lambda a: Typed(S.stable_json(a.column, a.kind)), 1)
+    register("canonicalHash", lambda a: Typed(F.sha2(S.stable_json(a.column, a.kind), 256)), 1)
+    register("tryCoerce", lambda a: Typed(S.try_coerce(_t(a)), "variant") if a.kind == "string" else a, 1)
+    register("buildQuery", lambda a: Typed(S.build_query(a.column)), 1)
+    register("buildUrl", lambda a: Typed(S.build_url(a.column)), 1)
+    register("template", lambda p, *a: Typed(F.concat(*[x for k, part in enumerate(_lit(p).split("{}")) for x in ([F.lit(part)] if k == 0 else [_t(a[k - 1]) if k <= len(a) else F.lit(""), F.lit(part)])])), -1, 1)
+    register("nanoid", lambda n=None, s=None: Typed(G.nanoid(21 if n is None or n.kind == "string" else _n(n), s.column if s else n.column if n and n.kind == "string" else None)), 2, 0)
 
 
 def _numbers():
@@ -138,8 +148,17 @@ def _numbers():
     register("inBoundingBox", lambda *a: Typed(S.in_box(*[_n(x) for x in a]), "boolean"), 6)
     register("midpoint", lambda *a: Typed(S.midpoint(*[_n(x) for x in a]), "object"), 4)
     register("nper", lambda r, p, v, *_: Typed(S.nper(_n(r), _n(p), _n(v)), "double"), 4, 3)
-    register("random", lambda *a: Typed(F.rand(), "double"), 3, 0)
-    register("uuid", lambda *a: Typed(F.uuid()), 1, 0)
+
+    def random(*a):
+        if len(a) == 1 and a[0].kind == "string":
+            return Typed(G.random(seed=_t(a[0])), "double")
+        low, high = (_n(a[0]), _n(a[1])) if len(a) > 1 else (F.lit(0.0), _n(a[0])) if a else (None, None)
+        return Typed(G.random(low, high, _t(a[2]) if len(a) > 2 else None), "double")
+
+    register("random", random, 3, 0)
+    register("uuid", lambda a=None: Typed(G.uuid(_t(a) if a else None)), 1, 0)
+    register("formatLocaleNumber", lambda a, loc=None: Typed(D.locale_number(_n(a), _lit(loc) if loc else D.DEFAULT_LOCALE)), 2, 1)
+    register("rate", lambda *a: Typed(S.rate(*[_n(x) for x in a]), "double"), 4)
 
 
 def _same(*xs):
@@ -219,7 +238,16 @@ def _conditions():
 
 def _dates():
     day = lambda a: a.column if a.kind in ("date", "timestamp") else S.coerce_date(_t(a))
-    register("formatDate", lambda a, p: Typed(F.date_format(day(a), S.pattern(_lit(p)))), 2)
+    moment = lambda a: a.column.cast("timestamp") if a.kind in ("date", "timestamp") else D.moment(_t(a))
+    register("formatDate", lambda a, p: Typed(D.formatted(day(a), _lit(p))), 2)
+    for name in ("formatTime", "formatTimestamp"):
+        register(name, lambda a, p: Typed(D.formatted(moment(a), _lit(p))), 2)
+    register("parseDate", lambda a, p: Typed(D.parse_date(_t(a), _lit(p))), 2)
+    register("parseTimestamp", lambda a, p: Typed(D.parse_timestamp(_t(a), _lit(p))), 2)
+    register("isValidDate", lambda a, p: Typed(D.is_valid(_t(a), _lit(p)), "boolean"), 2)
+    register("formatDuration", lambda a: Typed(D.duration(a.column, a.kind)), 1)
+    register("formatLocaleDate", lambda a, loc=None: Typed(D.locale_date(day(a), _lit(loc) if loc else D.DEFAULT_LOCALE)), 2, 1)
+    register("coerceTimestamp", lambda a: Typed(a.column.cast("timestamp") if a.kind in ("date", "timestamp") else F.coalesce(D.moment(_t(a)), S.coerce_date(_t(a)).cast("timestamp")), "timestamp"), 1)
     register("today", lambda: Typed(F.current_date(), "date"), 0)
     register("now", lambda: Typed(F.current_timestamp(), "timestamp"), 0)
     for name, fn in {"addDays": S.add_days, "addMonths": S.add_months, "addYears": S.add_years}.items():
@@ -286,6 +314,9 @@ def _arrays():
     for name, fn in {"covariance": A.covariance, "correlation": A.correlation, "weightedAvg": A.weighted_avg}.items():
         register(name, lambda a, b, fn=fn: Typed(fn(a.column, b.column), "double"), 2)
     register("npv", lambda r, a: Typed(S.npv(_n(r), a.column), "double"), 2)
+    days = lambda a: F.transform(a.column, lambda d: F.datediff(d.try_cast("date"), F.get(a.column, 0).try_cast("date")).cast("double"))
+    register("xnpv", lambda r, a, d: Typed(S.xnpv(_n(r), a.column, days(d)), "double"), 3)
+    register("xirr", lambda a, d, g=None: Typed(S.xirr(a.column, days(d), float(_lit(g)) if g else 0.1), "double"), 3, 2)
     register("rank", lambda a, *_: Typed(A.rank(a.column), "array"), 3, 1)
     register("range", lambda a, b, s=None: Typed(A.range_(int(_lit(a)), int(_lit(b)), int(_lit(s)) if s else 1), "array"), 3, 2)
     register("fillMissing", lambda a, v=None, s=None: Typed(A.fill_missing(a.column, _lit(s) if s else "value", _lit(v) if v else 0), "array"), 3, 1)
@@ -302,6 +333,8 @@ def _objects():
         register(name, lambda a, fn=fn: Typed(fn(a.column), "object"), 1)
     for name, fn in {"pick": A.pick, "omit": A.omit}.items():
         register(name, lambda a, *k, fn=fn: Typed(fn(a.column, *[_lit(x) for x in k]), "object"), -1, 1)
+    register("renameKeys", lambda a, *k: Typed(A.rename_keys(a.column, {_lit(x): _lit(y) for x, y in zip(k[::2], k[1::2])}), "object"), -1, 1)
+    register("unpivot", lambda a, k=None, v=None: Typed(F.transform(F.map_entries(a.column), lambda e: F.struct(e["key"].alias(_lit(k) if k else "key"), e["value"].alias(_lit(v) if v else "value"))), "array"), 3, 1)
     register("has", lambda a, k: Typed(A.has(a.column, _lit(k)), "boolean"), 2)
     register("get", lambda a, k, d=None: Typed(A.get(a.column, _lit(k), _lit(d) if d else None)), 3, 2)
 

@@ -260,35 +260,44 @@ def escape_xml(x) -> Column:
 
 
 def unescape_html(x) -> Column:
-    @F.arrow_udf("string")
-    def run(v):
-        import pyarrow as pa
-
-        def one(s):
-            for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0")):
-                s = s.replace(a, b)
-            s = re.sub(r"&#(\d{1,7});", lambda m: chr(int(m[1])) if int(m[1]) < 0x110000 else m[0], s)
-            return re.sub(r"&#[xX]([0-9a-fA-F]{1,6});", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else m[0], s)
+    """Named entities in turn, then numbered ones."""
+    s = text(x)
+    for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    # each numbered entity ends a piece: what stands before it, and its character
+    entity = r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"
+    pieces = F.split(F.regexp_replace(s, entity, "\u0001$0\u0001"), "\u0001")
+    digits = lambda p: F.regexp_extract(p, "^" + entity + "$", 1)
 
-        return pa.array([one(s.as_py() or "") for s in v], pa.string())
+    def one(p):
+        d = digits(p)
+        code = F.when(F.lower(F.substring(d, 1, 1)) == "x", F.conv(F.substring(d, 2, 6), 16, 10)).otherwise(d).try_cast("long")
+        low = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when((d != "") & (code < 0x110000), low).otherwise(p)
 
-    return run(text(x))
+    return F.when(F.contains(s, F.lit("&#")), F.array_join(F.transform(pieces, one), "")).otherwise(s)
 
 
 def strip_tags(x) -> Column:
     return F.regexp_replace(text(x), "<[^>]*>", "")
 
 
-def strip_accents(x) -> Column:
-    @F.arrow_udf("string")
-    def run(v):
-        import unicodedata
+def _accents() -> tuple[str, str]:
+    """Letters that are one letter and marks above or below it, and that letter; those of the plane of two-byte code units."""
+    import unicodedata
 
-        import pyarrow as pa
+    pairs = []
+    for code in range(0xC0, 0x1FFF):
+        parts = unicodedata.normalize("NFD", chr(code))
+        bare = "".join(c for c in parts if not 0x300 <= ord(c) <= 0x36F)
+        if len(parts) > 1 and len(bare) == 1:
+            pairs.append((chr(code), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
-        return pa.array(["".join(c for c in unicodedata.normalize("NFD", s.as_py() or "") if not 0x300 <= ord(c) <= 0x36F) for s in v], pa.string())
 
-    return run(text(x))
+def strip_accents(x) -> Column:
+    letters, bare = _accents()
+    return F.regexp_replace(F.translate(text(x), letters, bare), "[\\x{300}-\\x{36F}]", "")
 
 
 def template(pattern: str, fields: dict) -> Column:
@@ -409,21 +418,31 @@ def interpolate(x, x1, y1, x2, y2) -> Column:
 
 #: Each unit's size in its family's base unit.
 UNITS = {
-    "mass": {"kg": 1.0, "g": 0.001, "mg": 1e-6, "lb": 0.453592, "oz": 0.0283495, "ton": 907.185},
-    "length": {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "mi": 1609.344, "yd": 0.9144, "ft": 0.3048, "in": 0.0254},
-    "time": {"s": 1.0, "ms": 0.001, "min": 60.0, "h": 3600.0, "d": 86400.0},
+    "mass": {"kg": 1.0, "g": 0.001, "mg": 0.000001, "lb": 0.45359237, "oz": 0.0283495, "ton": 907.185, "tonne": 1000.0},
+    "length": {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "mi": 1609.344, "ft": 0.3048, "in": 0.0254, "yd": 0.9144},
+    "volume": {"L": 1.0, "mL": 0.001, "gal": 3.78541, "qt": 0.946353, "pt": 0.473176, "cup": 0.236588, "floz": 0.0295735},
+    "speed": {"mps": 1.0, "kph": 0.277778, "mph": 0.44704},
+    "area": {"sqm": 1.0, "sqft": 0.092903, "sqkm": 1000000.0, "sqmi": 2589988.11, "acre": 4046.8564, "hectare": 10000.0},
+    "data": {"B": 1.0, "KB": 1024.0, "MB": 1048576.0, "GB": 1073741824.0, "TB": 1099511627776.0},
+    "time": {"ms": 0.001, "s": 1.0, "min": 60.0, "hr": 3600.0, "day": 86400.0},
 }
+TEMPERATURES = ("C", "F", "K")
 
 
 def convert_unit(x, a: str, b: str) -> Column:
+    """Six decimals; null for unknown units and units of different families."""
     v = number(x, "double")
-    if a in "CFK" and b in "CFK":
-        k = {"C": v + 273.15, "F": (v - 32) * 5 / 9 + 273.15, "K": v}[a]
-        return F.round({"C": k - 273.15, "F": (k - 273.15) * 9 / 5 + 32, "K": k}[b], 6)
-    for family in UNITS.values():
-        if a in family and b in family:
-            return F.round(v * family[a] / family[b], 6)
-    return F.lit(None).cast("double")
+    families = [f for f in UNITS.values() if a in f and b in f]
+    if not families and not (a in TEMPERATURES and b in TEMPERATURES):
+        return F.lit(None).cast("double")
+    if a == b:
+        return v
+    if families:
+        out = v * families[0][a] / families[0][b]
+    else:
+        celsius = {"C": v, "F": (v - 32) * 5 / 9, "K": v - 273.15}[a]
+        out = {"C": celsius, "F": celsius * 9 / 5 + 32, "K": celsius + 273.15}[b]
+    return F.floor(out * 1e6 + 0.5) / 1e6
 
 
 # ---- dates (UTC) -----------------------------------------------------------------------------------------
@@ -551,16 +570,22 @@ def crc32(x) -> Column:
     return F.lpad(F.lower(F.hex(F.crc32(text(x)))), 8, "0")
 
 
-def hmac(x, key: str, algorithm: str = "sha256") -> Column:
-    @F.arrow_udf("string")
-    def run(v):
-        import hmac as h
+#: Bytes of each hash's block, and the hash as a Column of hex digits.
+_HASHES = {
+    "md5": (64, F.md5), "sha1": (64, F.sha1), "sha224": (64, lambda b: F.sha2(b, 224)), "sha256": (64, lambda b: F.sha2(b, 256)), "sha384": (128, lambda b: F.sha2(b, 384)), "sha512": (128, lambda b: F.sha2(b, 512)),
+}
 
-        import pyarrow as pa
 
-        return pa.array([h.new(key.encode(), (s.as_py() or "").encode(), algorithm).hexdigest() for s in v], pa.string())
+def hmac(x, key: str, algorithm: str = "sha256") -> Column:
+    """RFC 2104, of two hashes over the padded key."""
+    import hashlib
 
-    return run(text(x))
+    size, digest = _HASHES[algorithm]
+    k = key.encode()
+    k = (hashlib.new(algorithm, k).digest() if len(k) > size else k).ljust(size, b"\0")
+    pad = lambda by: F.lit(bytearray(c ^ by for c in k))
+    inner = F.unhex(digest(F.concat(pad(0x36), F.encode(text(x), "UTF-8"))))
+    return digest(F.concat(pad(0x5C), inner))
 
 
 def parse_url(x) -> Column:
@@ -578,6 +603,59 @@ def parse_query(x) -> Column:
     return F.map_from_entries(F.transform(F.sort_array(kept), lambda a: F.struct(a["k"], a["v"])))
 
 
+def build_query(m) -> Column:
+    """Form-encoded pairs of a map, by key; nulls are left out."""
+    pairs = F.array_sort(F.map_entries(F.map_filter(m, lambda _, v: v.isNotNull())))
+    return F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", F.url_encode(e["key"].cast("string")), F.url_encode(e["value"].cast("string")))), "&")
+
+
+def build_url(parts) -> Column:
+    """The inverse of ``parse_url``, with the query's keys sorted; null without a scheme or host."""
+    get = lambda n: F.coalesce(parts[n].cast("string"), F.lit(""))
+    after = lambda mark, s: F.when(s == "", "").otherwise(F.concat(F.lit(mark), s))
+    path = get("path")
+    path = F.when((path == "") | F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
+    url = F.concat(get("scheme"), F.lit("://"), get("host"), after(":", get("port")), path, after("?", build_query(parse_query(get("query")))), after("#", get("fragment")))
+    return F.when((get("scheme") != "") & (get("host") != ""), url)
+
+
+def json_text(x, kind: str = "string") -> Column:
+    """Objects and arrays as JSON; other values as text, escaped for a JSON string."""
+    if kind in ("array", "object", "variant"):
+        return F.to_json(x)
+    said = F.to_json(F.struct(text(x, kind).alias("v")))
+    return F.substring(said, F.lit(7), F.length(said) - 8)
+
+
+def json_decode(x) -> Column:
+    """A variant: of the object or array that a text holds, else of the text unescaped; null where that can't be."""
+    s = text(x)
+    quoted = F.try_parse_json(F.concat(F.lit('"'), s, F.lit('"')))
+    return F.when(F.regexp_like(s, F.lit(r"^[{\[]")), F.coalesce(F.try_parse_json(s), quoted)).otherwise(quoted)
+
+
+def stable_json(x, kind: str = "object") -> Column:
+    """JSON whose objects have their keys sorted, at every depth: a variant keeps them so."""
+    if kind == "variant":
+        return F.to_json(x)
+    if kind in ("array", "object"):
+        return F.to_json(F.parse_json(F.to_json(x, {"ignoreNullFields": "false"})))
+    return F.concat(F.lit('"'), json_text(x, kind), F.lit('"')) if kind == "string" else text(x, kind)
+
+
+def try_coerce(x) -> Column:
+    """A variant of what a text looks like: null, boolean, whole number, number, date, timestamp, or the text itself."""
+    raw = text(x)
+    s = F.trim(raw)
+    like = lambda p: F.regexp_like(s, F.lit(p))
+    as_ = lambda kind: s.try_cast(kind).cast("variant")
+    whole = like(r"^-?\d+$") & (F.abs(s.try_cast("double")) <= 2.0**53 - 1)
+    return (
+        F.when(s == "", F.lit(None).cast("variant")).when(F.lower(s).isin("true", "false"), as_("boolean")).when(whole, as_("bigint")).when(like(r"^-?(\d*\.\d+|\d+\.\d*)$"), as_("double"))
+        .when(like(r"^\d{4}-\d{2}-\d{2}$") & s.try_cast("date").isNotNull(), as_("date")).when(like(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}") & s.try_cast("timestamp").isNotNull(), as_("timestamp")).otherwise(raw.cast("variant"))
+    )
+
+
 def json_path(x, path: str) -> Column:
     return F.get_json_object(text(x), path)
 
@@ -655,6 +733,52 @@ def irr(flows) -> Column:
     return _root(value, slope, 0.1, -0.99, 10.0, 1e-6, 100)
 
 
+def _newton(value, slope, guess, precision: float, flat: float, low: float, high: float, steps: int = 100) -> Column:
+    """The first of the steps' points at which the value is within the precision of 0; null where the slope is flat or a step leaves
+    (low, high)."""
+    start = F.struct(F.lit(guess).cast("double").alias("x"), F.lit(False).alias("done"), F.lit(False).alias("lost"))
+
+    def step(s, _):
+        at = F.struct(value(s["x"]).alias("f"), slope(s["x"]).alias("d"))
+
+        def moved(p):
+            hit, over = F.abs(p["f"]) < precision, s["done"] | s["lost"]
+            new = s["x"] - p["f"] / F.when(F.abs(p["d"]) < flat, F.lit(1.0)).otherwise(p["d"])
+            lost = ~hit & ((F.abs(p["d"]) < flat) | ~new.between(low, high) | F.isnan(new))
+            return F.struct(F.when(over | hit | lost, s["x"]).otherwise(new).alias("x"), (s["done"] | (~s["lost"] & hit)).alias("done"), (s["lost"] | (~s["done"] & lost)).alias("lost"))
+
+        return F.get(F.transform(F.array(at), moved), 0)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: F.when(s["done"], s["x"]))
+
+
+def xirr(flows, days, guess: float = 0.1) -> Column:
+    """days: of each flow since the first."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
+    year = lambda d: d.cast("double") / 365
+    value = lambda r: total(F.zip_with(flows, days, lambda c, d: number(c, "double") / F.pow(1 + r, year(d))))
+    slope = lambda r: total(F.zip_with(flows, days, lambda c, d: -year(d) * number(c, "double") / F.pow(1 + r, year(d) + 1)))
+    return F.when((F.size(flows) == F.size(days)) & (F.size(flows) >= 2), _newton(value, slope, guess, 1e-7, 1e-12, -0.999999999, 1e12))
+
+
+def rate(periods, payment, present, future) -> Column:
+    """The interest a period at which present, payments and future value balance."""
+    n, p, v, w = (number(x, "double") for x in (periods, payment, present, future))
+
+    def value(r):
+        f = F.pow(1 + r, n)
+        return F.when(r == 0, v + p * n + w).otherwise(v + p * (1 - 1 / f) / F.when(r == 0, F.lit(1.0)).otherwise(r) + w / f)
+
+    def slope(r):
+        safe = F.when(r == 0, F.lit(1e-9)).otherwise(r)
+        f = F.pow(1 + r, n)
+        return p * (1 / f - 1) / (safe * safe) + p * n / (safe * f * (1 + r)) - w * n / (f * (1 + r))
+
+    ratio = -w / F.when(v == 0, F.lit(1.0)).otherwise(v)
+    closed = F.when((v != 0) & (ratio > 0), F.pow(F.when(ratio > 0, ratio).otherwise(1.0), 1 / F.when(n > 0, n).otherwise(1.0)) - 1)
+    return F.when(n > 0, F.when(p == 0, closed).otherwise(_newton(value, slope, 0.1, 1e-6, 1e-10, -0.99, 10.0)))
+
+
 # ---- places ----------------------------------------------------------------------------------------------
 
 #: The Earth's radius.

@@ -111,7 +111,11 @@ def distinct_by(df: DataFrame, keys, order) -> DataFrame:
 
 def dedupe(df: DataFrame, key: str, order) -> DataFrame:
     """First row of each key; rows without the key all stay."""
-    return df.withColumn("_n", F.row_number().over(spec(key, order))).where((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
+    if set(_names(order)) - set(df.columns):
+        return df.withColumn("_n", F.row_number().over(spec(key, order))).where((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
+    # the least row of each key is an aggregate, which combines before the shuffle: a hot key is no hot task
+    first = df.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("_h"), key).agg(F.min_by(F.struct(*df.columns), F.struct(*_names(order))).alias("_row"))
+    return first.select("_row.*").union(df.where(F.col(key).isNull()))
 
 
 def take(df: DataFrame, n: int, order) -> DataFrame:
@@ -182,9 +186,13 @@ def moving_avg(c, n: int, by, order) -> Column:
     return F.avg(number(c, "double")).over(spec(by, order).rowsBetween(-(n - 1), 0))
 
 
-def zscore(c, by) -> Column:
-    v, w = number(c, "double"), Window.partitionBy(*_names(by))
-    return F.try_divide(v - F.avg(v).over(w), F.nullif(F.stddev_pop(v).over(w), F.lit(0.0)))
+def zscore(df: DataFrame, c: str, by, name: str = "z") -> DataFrame:
+    """``df`` with each row's distance from its group's mean, in standard deviations: the groups' moments are aggregated, which
+    combines before the shuffle, and joined back, so few large groups are no few large tasks."""
+    v = number(F.col(c), "double")
+    moments = df.groupBy(*_names(by)).agg(F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"))
+    joined = df.alias("l").join(moments.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in _names(by)])
+    return joined.select("l.*", F.try_divide(number(F.col(f"l.{c}"), "double") - F.col("_mean"), F.nullif(F.col("_std"), F.lit(0.0))).alias(name))
 
 
 def row_number(by, order) -> Column:
@@ -199,6 +207,13 @@ def sequence(by, order, start: int = 1, step: int = 1) -> Column:
     return (F.row_number().over(spec(by, order)) - 1) * step + start
 
 
+def sequence_with_resets(by, order, reset: Column, to: int, start: int = 1) -> Column:
+    """Numbers from ``start`` on; a row where ``reset`` holds has ``to``, and those after it go on from there."""
+    part = F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(spec(by, order).rowsBetween(Window.unboundedPreceding, 0))
+    since = F.row_number().over(spec(by, order)) - F.coalesce(F.last(F.when(reset, F.row_number().over(spec(by, order))), ignorenulls=True).over(spec(by, order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))
+    return (since + F.when(part > 0, to).otherwise(start)).cast("long")
+
+
 def accumulate(c, by, order) -> Column:
     return cumsum(c, by, order)
 
