@@ -183,3 +183,54 @@ def _(s, p):
 
     return read(s, p, "events").select("event_id", R.sequence_with_resets("user_id", "event_id", C("event_type") == "signup", 10).alias("n"))
 
+
+
+# ---- validation --------------------------------------------------------------------------------------------
+
+from .operators import validate as V  # noqa: E402
+
+#: Texts of each format by the customer's key, most of them well formed, and SQL patterns that say the same.
+_FORMATS = {
+    "uuid": (lambda k: F.concat(F.lit("123e4567-e89b-"), F.when(k % 2 == 0, F.lit("4")).otherwise(F.lit("1")), F.lit("2d3-A456-426614174000")), _EVEN),
+    "ipv4": (lambda k: F.concat(F.lit("10.0."), k, F.lit(".7")), "c_custkey < 256"),
+    "ipv6": (lambda k: F.concat(F.when(k % 2 == 0, F.lit("fe80::")).otherwise(F.lit("fe80::1::")), F.hex(k)), _EVEN),
+    "ssn": (lambda k: F.concat(F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-12-3456")), "c_custkey % 1000 NOT IN (0, 666) AND c_custkey % 1000 < 900"),
+    "vin": (lambda k: F.concat(F.lit("1hgcm82633a00"), F.lpad(k.cast("string"), 4, "0")), "c_custkey < 10000"),
+    "iban": (lambda k: F.concat(F.lit("gb29nwbk"), k), "true"),
+    "isin": (lambda k: F.concat(F.lit("US"), F.lpad(k.cast("string"), 10, "0")), "true"),
+    "time": (lambda k: F.when(k % 2 == 0, F.lit("10:20:30")).otherwise(F.lit("10:20")), _EVEN),
+    "currency-code": (lambda k: F.when(k % 2 == 0, F.lit("eur")).otherwise(F.lit("XXQ")), _EVEN),
+    "state-us": (lambda k: F.when(k % 2 == 0, F.lit("wa")).otherwise(F.lit("ZZ")), _EVEN),
+    "phone": (lambda k: F.concat(F.lit("+1-555-123-"), F.lpad(k.cast("string"), 4, "0")), "true"),
+    "credit-card": (lambda k: F.concat(F.lit("411111111111111"), (k % 10).cast("string")), "c_custkey % 10 = 1"),
+}
+add_scalars({f"format_{n.replace('-', '_')}": (_CU, lambda n=n, t=t: V.is_format(t(C("c_custkey")), n), sql) for n, (t, sql) in _FORMATS.items()})
+
+_KINDS = V.Schema([
+    V.Field("i", "integer"), V.Field("t", "time"), V.Field("u", members=("integer", "boolean")), V.Field("r", required=True), V.Field("n", required=True, nullable=True), V.Field("p", pattern="[a-z"), V.Field("old", deprecated=True),
+])
+
+
+@query("validate_kinds", f"""SELECT c_custkey, code, path FROM (
+    SELECT c_custkey, 'V002' AS code, 'i' AS path FROM customer WHERE NOT {_EVEN} UNION ALL SELECT c_custkey, 'V002', 't' FROM customer WHERE NOT {_EVEN} UNION ALL
+    SELECT c_custkey, 'V002', 'u' FROM customer WHERE NOT {_EVEN} UNION ALL SELECT c_custkey, 'V001', 'r' FROM customer WHERE NOT {_EVEN} UNION ALL
+    SELECT c_custkey, 'V015', 'p' FROM customer UNION ALL SELECT c_custkey, 'W001', 'old' FROM customer WHERE {_EVEN})""")
+def _(s, p):
+    """Odd customers break the kinds of the fields, and their required field is null."""
+    pick = lambda good, bad: F.when(C("c_custkey") % 2 == 0, F.lit(good)).otherwise(F.lit(bad))
+    df = read(s, p, "customer").select("c_custkey", pick("12", "1.5").alias("i"), pick("10:20:30", "25:00").alias("t"), pick("true", "yes").alias("u"), pick("x", None).alias("r"), F.lit(None).cast("string").alias("n"), F.lit("a").alias("p"), pick("o", None).alias("old"))
+    both = df.select("c_custkey", F.explode(F.concat(V.errors(_KINDS), V.warnings(_KINDS))).alias("e"))
+    return both.select("c_custkey", "e.code", "e.path")
+
+
+@query("validate_circular", "SELECT c_custkey AS doc_id, unnest(['a', 'b', 'c']) AS path FROM customer WHERE c_custkey % 3 = 0")
+def _(s, p):
+    """a to b to c to a, with d leading in, and a chain that ends."""
+    links = F.when(C("c_custkey") % 3 == 0, F.array(*[F.struct(F.lit(a).alias("path"), F.lit(b).alias("value")) for a, b in ("ab", "bc", "ca", "da")])).otherwise(F.array(*[F.struct(F.lit(a).alias("path"), F.lit(b).alias("value")) for a, b in ("ab", "bc", "cx", "da")]))
+    rows = read(s, p, "customer").select(C("c_custkey").alias("doc_id"), F.explode(links).alias("l")).select("doc_id", "l.path", F.concat(F.lit("@"), "l.value").alias("value"))
+    return V.circular(rows)
+
+
+add_scalars({
+    "formula_power": (_CU, lambda: d(V.formula("-x ^ 2 + max(x, 10) * round(x / 7, 1) - pow(2, 3)", lambda n: (C("c_custkey") % 40).cast("double"))), "round(-pow(c_custkey % 40, 2) + greatest(c_custkey % 40, 10) * (floor((c_custkey % 40) / 7.0 * 10 + 0.5) / 10) - 8, 6)"),
+})
