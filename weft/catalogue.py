@@ -548,4 +548,4 @@ def _(s, p):
     return E.tumbling(read(s, p, "events"), "ts", "6 hours", ["event_type"], n=F.count(F.lit(1)))
 
 
-from . import catalogue_programs, catalogue_verbs  # noqa: E402, F401  (they register their queries)
+from . import catalogue_formats, catalogue_programs, catalogue_verbs  # noqa: E402, F401  (they register their queries)

@@ -47,12 +47,12 @@ def fixed_width(lines: DataFrame, fields: list[dict], line: str = "value") -> Da
     return lines.select(*out)
 
 
-def flat(lines: DataFrame, line: str = "value") -> DataFrame:
-    """``a.b[0] = v`` lines to (path, value); comments and empty lines go, quotes are taken off, ~ and null are null."""
+def flat(lines: DataFrame, line: str = "value", key: str | None = None) -> DataFrame:
+    """``a.b[0] = v`` lines to (key, path, value); comments and empty lines go, quotes are taken off, ~ and null are null."""
     s = F.trim(F.col(line))
     path, value = F.trim(F.substring_index(s, "=", 1)), F.trim(F.regexp_extract(s, "^[^=]*=(.*)$", 1))
     plain = F.when(F.regexp_like(value, F.lit(r'^".*"$|^\'.*\'$')), F.expr("substring(value0, 2, length(value0) - 2)")).when(value.isin("~", "null", ""), F.lit(None)).otherwise(value)
-    return lines.where(~F.regexp_like(s, F.lit(r"^([#;].*)?$")) & F.contains(s, F.lit("="))).withColumn("value0", value).select(path.alias("path"), plain.alias("value"))
+    return lines.where(~F.regexp_like(s, F.lit(r"^([#;].*)?$")) & F.contains(s, F.lit("="))).withColumn("value0", value).select(*([key] if key else []), path.alias("path"), plain.alias("value"))
 
 
 def yaml(spark: SparkSession, texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -111,3 +111,12 @@ def route(lines: DataFrame, discriminator: Column, segments: dict[str, tuple[str
     out = {name: typed.where(F.col("_type").isin(*values)) for name, values in segments.items()}
     every = [v for values in segments.values() for v in values]
     return out | {"_unknown": typed.where(~F.coalesce(F.col("_type").isin(*every), F.lit(False)))}
+
+
+#: Sources by name: function(spark, path, ...) -> DataFrame; more can be added.
+FORMATS: dict = {"json": read_json, "csv": read_csv, "delimited": read_csv, "xml": read_xml}
+
+
+def read(spark: SparkSession, source: str, path: str, **options) -> DataFrame:
+    """A named source's rows; an unknown one gives the lines as they are."""
+    return FORMATS[source](spark, path, **options) if source in FORMATS else spark.read.text(path)
