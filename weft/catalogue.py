@@ -288,9 +288,8 @@ def _(s, p):
 @query("lookup_join", "SELECT c_custkey, n_name AS nation, coalesce(r_name, 'none') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey")
 def _(s, p):
     nation, region = read(s, p, "nation"), read(s, p, "region").where("r_name <> 'ASIA'")
-    # both are dimension tables of fixed size
-    df = R.lookup(read(s, p, "customer"), nation, {"n_nationkey": "c_nationkey"}, {"n_name": "nation", "n_regionkey": "rk"}, ["n_nationkey"], size=1 << 16)
-    return R.lookup(df, region, {"r_regionkey": "rk"}, {"r_name": "region"}, ["r_regionkey"], default="none", size=1 << 16).select("c_custkey", "nation", "region")
+    df = R.lookup(read(s, p, "customer"), nation, {"n_nationkey": "c_nationkey"}, {"n_name": "nation", "n_regionkey": "rk"}, ["n_nationkey"])
+    return R.lookup(df, region, {"r_regionkey": "rk"}, {"r_name": "region"}, ["r_regionkey"], default="none").select("c_custkey", "nation", "region")
 
 
 _W = "OVER (PARTITION BY user_id ORDER BY event_id"

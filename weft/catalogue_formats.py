@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue_base import C, query, read
+from .operators import documents as D
 from .operators import validate as V
 from .sources import notation as N
-from .sources import writers
+from .sources import readers, writers
 from .sources.schema_text import parse_schema
 
 _TEXT = """{{$}}
@@ -104,3 +105,55 @@ def _(s, p):
 def _(s, p):
     df = read(s, p, "customer").select(C("c_custkey").alias("k"), F.lit(None).cast("string").alias("n"), F.array().cast("array<int>").alias("e"), F.parse_json(F.concat(F.lit('{"a":'), "c_custkey", F.lit("}"))).alias("raw"))
     return df.select(C("k").alias("c_custkey"), writers.json_of(df, nulls=True, empty_arrays=False).alias("value"))
+
+
+@query("read_flat", "SELECT c_custkey, 'a.name' AS path, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'a.list[0]', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'none', NULL FROM customer")
+def _(s, p):
+    lines = F.array(F.lit("# a comment"), F.concat(F.lit('a.name = "'), C("c_name"), F.lit('"')), F.concat(F.lit("a.list[0]="), C("c_mktsegment")), F.lit("none = ~"), F.lit(""))
+    return readers.flat(read(s, p, "customer").select("c_custkey", F.explode(lines).alias("value")), key="c_custkey")
+
+
+@query("read_yaml", "SELECT c_custkey AS doc_id, 'name' AS path, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'tags[0]', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'tags[1]', 'x' FROM customer UNION ALL SELECT c_custkey, 'at.nation', CAST(c_nationkey AS VARCHAR) FROM customer")
+def _(s, p):
+    text = F.concat(F.lit("name: "), C("c_name"), F.lit("\ntags:\n  - "), C("c_mktsegment"), F.lit("\n  - 'x'\nat:\n  nation: "), C("c_nationkey"), F.lit("\n"))
+    return readers.yaml(s, read(s, p, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+
+
+@query("infer_cells", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'integer' WHEN c_custkey % 3 = 1 THEN 'number' ELSE 'string' END AS kind FROM customer")
+def _(s, p):
+    cell = F.when(C("c_custkey") % 3 == 0, C("c_custkey").cast("string")).when(C("c_custkey") % 3 == 1, F.concat("c_custkey", F.lit(".25"))).otherwise(C("c_name"))
+    return read(s, p, "customer").select("c_custkey", readers.inferred(F.concat(F.lit(" "), cell))["kind"].alias("kind"))
+
+
+@query("resolve_references", "SELECT c_custkey AS doc_id, unnest(['a', 'b', 'c', 'x', 'y']) AS path, unnest([c_name, c_name, c_name, NULL, NULL]) AS value FROM customer")
+def _(s, p):
+    """a leads to b to c, which is a name; x and y lead to each other."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("path"), v.alias("value")) for k, v in (("a", F.lit("@b")), ("b", F.lit("@c")), ("c", C("c_name")), ("x", F.lit("@y")), ("y", F.lit("@x")))])
+    return D.resolve(read(s, p, "customer").select(C("c_custkey").alias("doc_id"), F.explode(pairs).alias("e")).select("doc_id", "e.path", "e.value"))
+
+
+@query("flatten_nested", "SELECT o_custkey AS doc_id, 'orders[' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) || '].key' AS path, CAST(o_orderkey AS VARCHAR) AS value FROM orders")
+def _(s, p):
+    df = read(s, p, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(C("o_orderkey").alias("key")))).alias("orders"))
+    return D.paths(df, "o_custkey")
+
+
+@query("validate_arrays", "SELECT o_custkey, code, 'keys' AS path FROM (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS u FROM orders GROUP BY 1), (VALUES ('V006'), ('V007')) AS c(code) WHERE (code = 'V006' AND n > 8) OR (code = 'V007' AND u < n)")
+def _(s, p):
+    df = read(s, p, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("keys"))
+    return V.failures(df, V.Schema([V.Field("keys", "array", items=(1, 8), unique=True)]), "o_custkey")
+
+
+@query("validate_paths", "SELECT c_custkey AS doc_id, 'V011' AS code, 'c_mktsegment' AS path FROM customer UNION ALL SELECT c_custkey, 'V013', 'to' FROM customer")
+def _(s, p):
+    """Fields that the schema lacks, and references that lead nowhere."""
+    rows = D.paths(read(s, p, "customer").select("c_custkey", "c_name", "c_mktsegment", F.lit("@nowhere").alias("to"), F.lit("@c_name").alias("back")), "c_custkey")
+    unknown = V.unknown_fields(rows, V.Schema([V.Field(n) for n in ("c_name", "to", "back")])).select("doc_id", F.lit("V011").alias("code"), "path")
+    return unknown.union(V.unresolved(rows).select("doc_id", F.lit("V013"), "path"))
+
+
+@query("overlay_clears_arrays", "SELECT user_id AS doc_id, 'list[0]' AS path, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY 1")
+def _(s, p):
+    """Each event clears its user's list and sets its first item."""
+    set_ = F.array(F.struct((C("event_id") * 2).alias("version"), F.lit("list[]").alias("path"), F.lit(None).cast("string").alias("value")), F.struct((C("event_id") * 2 + 1).alias("version"), F.concat(F.lit("list["), F.lit(0), F.lit("]")).alias("path"), C("event_id").cast("string").alias("value")))
+    return D.collapse(read(s, p, "events").select(C("user_id").alias("doc_id"), F.explode(set_).alias("e")).select("doc_id", "e.*"))

@@ -219,3 +219,41 @@ segment = @c_mktsegment :pos 26 :len 4 :truncate
 @query("program_fixed_width", "SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') || rpad(c_name, 20, '.') || c_mktsegment[1:4] AS value FROM customer")
 def _(s, p):
     return writers.as_fixed_width(apply(FIXED, read(s, p, "customer")), layout(FIXED))
+
+
+VALUES = """
+{}
+o_custkey = @o_custkey
+{keys[]}
+:loop orders
+_ = %add @.o_orderkey 1
+"""
+
+
+@query("program_value_loop", "SELECT o_custkey, CAST(o_orderkey + 1 AS DOUBLE) AS key FROM orders")
+def _(s, p):
+    return apply(VALUES, _histories(s, p)).select("o_custkey", F.explode("keys").alias("key"))
+
+
+GUARDS = """
+{$target}
+enforceConfidential = "redact"
+{}
+c_custkey = @c_custkey
+name = @c_name :maxLen 8 :lower
+rich = "yes" :if c_acctbal > 5000
+poor = "no" :unless c_acctbal > 5000
+hidden = @c_name :confidential
+empty = "" :omitEmpty
+number = "12" :type integer
+custom = %&shop.twice @c_nationkey
+echo = %&shop.unknown @c_name
+"""
+
+
+@query("program_guards", "SELECT c_custkey, lower(c_name[1:8]) AS name, CASE WHEN c_acctbal > 5000 THEN 'yes' END AS rich, CASE WHEN c_acctbal > 5000 THEN NULL ELSE 'no' END AS poor, CAST(NULL AS VARCHAR) AS hidden, CAST(NULL AS VARCHAR) AS empty, CAST(12 AS BIGINT) AS number, CAST(2 * c_nationkey AS DOUBLE) AS custom, c_name AS echo FROM customer")
+def _(s, p):
+    from .functions.registry import CUSTOM, Typed
+
+    CUSTOM["shop.twice"] = lambda x: Typed(x.column.cast("double") * 2, "double")
+    return apply(GUARDS, read(s, p, "customer"))

@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .cuts import cut
+
+#: Marks that a path can have beside its value.
+FLAGS = ("required", "confidential", "deprecated")
+
+
+def _leaves(c: Column, t: T.DataType, at: Column) -> Column:
+    """array<struct<path, value>> of a value's leaves, at any depth."""
+    under = lambda name: F.concat(at, F.when(at == "", "").otherwise("."), F.lit(name))
+    if isinstance(t, T.StructType):
+        return F.concat(*[_leaves(c[f.name], f.dataType, under(f.name)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(c, lambda x, i: _leaves(x, t.elementType, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))), F.array().cast("array<struct<path:string,value:string>>"))
+    if isinstance(t, T.MapType):
+        entry = lambda e: _leaves(e["value"], t.valueType, F.concat(at, F.when(at == "", "").otherwise("."), e["key"].cast("string")))
+        return F.coalesce(F.flatten(F.transform(F.map_entries(c), entry)), F.array().cast("array<struct<path:string,value:string>>"))
+    return F.array(F.struct(at.alias("path"), c.cast("string").alias("value")))
 
 
 def paths(df: DataFrame, key: str, columns=None) -> DataFrame:
-    """A table's rows as documents: a row (doc_id, path, value) for each field that isn't null."""
+    """A table's rows as documents: a row (doc_id, path, value) for each leaf that isn't null, in structs, maps and arrays too."""
     columns = columns or [c for c in df.columns if c != key]
-    fields = F.array(*[F.struct(F.lit(c).alias("path"), F.col(c).cast("string").alias("value")) for c in columns])
-    return df.select(F.col(key).alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", "f.path", "f.value").where("value is not null")
+    leaves = F.concat(*[_leaves(F.col(c), df.schema[c].dataType, F.lit(c)) for c in columns])
+    return df.select(F.col(key).alias("doc_id"), F.explode(leaves).alias("f")).select("doc_id", "f.path", "f.value").where("value is not null")
 
 
 def diff(a: DataFrame, b: DataFrame, moves: bool = True) -> DataFrame:
-    """(doc_id, op, path, to_path, old, new): add, delete, modify and, for equal values, move."""
-    both = a.select("doc_id", "path", F.col("value").alias("old"), F.lit(True).alias("l")).join(b.select("doc_id", "path", F.col("value").alias("new"), F.lit(True).alias("r")), ["doc_id", "path"], "full_outer")
-    op = F.when(F.col("l").isNull(), "add").when(F.col("r").isNull(), "delete").when(~F.col("old").eqNullSafe(F.col("new")), "modify")
+    """(doc_id, op, path, to_path, old, new): add, delete, modify and, for equal values, move. Where both sides have them, other
+    FLAGS make a modification too."""
+    flags = [f for f in FLAGS if f in a.columns and f in b.columns]
+    left = a.select("doc_id", "path", F.col("value").alias("old"), F.lit(True).alias("l"), *[F.col(f).alias(f"l_{f}") for f in flags])
+    right = b.select("doc_id", "path", F.col("value").alias("new"), F.lit(True).alias("r"), *[F.col(f).alias(f"r_{f}") for f in flags])
+    both = left.join(right, ["doc_id", "path"], "full_outer")
+    other = ~F.col("old").eqNullSafe(F.col("new"))
+    for f in flags:
+        other = other | ~F.coalesce(F.col(f"l_{f}"), F.lit(False)).eqNullSafe(F.coalesce(F.col(f"r_{f}"), F.lit(False)))
+    op = F.when(F.col("l").isNull(), "add").when(F.col("r").isNull(), "delete").when(other, "modify")
     changed = both.withColumn("op", op).where("op is not null").select("doc_id", "op", "path", F.lit(None).cast("string").alias("to_path"), "old", "new")
     if not moves:
         return changed
@@ -32,7 +58,7 @@ def diff(a: DataFrame, b: DataFrame, moves: bool = True) -> DataFrame:
 
 
 def patch(a: DataFrame, changes: DataFrame) -> DataFrame:
-    """Deletions, moves, modifications, then additions. A modification of a path that isn't there is dropped."""
+    """Deletions, moves, modifications, then additions. ``patch_errors`` has the changes of paths that aren't there."""
     gone = changes.where("op in ('delete', 'move', 'modify')").select("doc_id", "path")
     kept = a.join(gone, ["doc_id", "path"], "left_anti").select("doc_id", "path", "value")
     moved = a.join(changes.where("op = 'move'").select("doc_id", "path", "to_path"), ["doc_id", "path"]).select("doc_id", F.col("to_path").alias("path"), "value")
@@ -40,11 +66,18 @@ def patch(a: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.union(moved).union(altered).union(changes.where("op = 'add'").select("doc_id", "path", F.col("new").alias("value")))
 
 
+def patch_errors(a: DataFrame, changes: DataFrame) -> DataFrame:
+    """(doc_id, op, path) of the deletions, moves and modifications whose path isn't there."""
+    return changes.where("op <> 'add'").join(a.select("doc_id", "path"), ["doc_id", "path"], "left_anti").select("doc_id", "op", "path")
+
+
 def collapse(chain: DataFrame) -> DataFrame:
-    """(doc_id, version, path, value) to the last version's value of each path; a null deletes the path and all below it."""
-    marks = chain.where("value is null").select("doc_id", F.col("version").alias("v"), F.col("path").alias("p"))
+    """(doc_id, version, path, value) to the last version's value of each path; a null deletes the path and all below it, and a null
+    at ``p[]`` the items of the array p."""
+    marks = chain.where("value is null").select("doc_id", F.col("version").alias("v"), F.regexp_replace("path", r"\[\]$", "").alias("p"), F.endswith("path", F.lit("[]")).alias("items"))
     held = chain.groupBy("doc_id", "path").agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version")).where("value is not null")
-    below = (held["path"] == marks["p"]) | F.startswith(held["path"], F.concat(marks["p"], F.lit("."))) | F.startswith(held["path"], F.concat(marks["p"], F.lit("[")))
+    item = F.startswith(held["path"], F.concat(marks["p"], F.lit("[")))
+    below = item | (~marks["items"] & ((held["path"] == marks["p"]) | F.startswith(held["path"], F.concat(marks["p"], F.lit(".")))))
     return held.join(marks, (held["doc_id"] == marks["doc_id"]) & (marks["v"] > held["version"]) & below, "left_anti").select("doc_id", "path", "value")
 
 
@@ -54,15 +87,20 @@ def canonical_hash(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"))
 
 
-def resolve(docs: DataFrame, most: int = 16) -> DataFrame:
-    """Values that are references (``@path``) replaced by what they lead to; null where that is missing or a cycle."""
-    out = docs
-    for _ in range(most):
-        ref = F.startswith("value", F.lit("@"))
-        to = docs.select("doc_id", F.col("path").alias("_t"), F.col("value").alias("_v"))
-        hop = out.withColumn("_t", F.when(ref, F.expr("substring(value, 2)")))
-        out = hop.join(to, ["doc_id", "_t"], "left").select("doc_id", "path", F.when(F.col("_t").isNotNull(), F.col("_v")).otherwise(F.col("value")).alias("value"))
-        out = out.checkpoint() if out.sparkSession.conf.get("spark.checkpoint.dir", None) else out
-        if not out.where(F.startswith("value", F.lit("@"))).limit(1).count():
-            return out
-    return out.withColumn("value", F.when(~F.startswith("value", F.lit("@")), F.col("value")))
+def resolve(docs: DataFrame) -> DataFrame:
+    """Values that are references (``@path``) replaced by what they lead to, over any number of steps; null where that is missing or
+    the steps go in a circle. Each round doubles the steps taken, so there are as many as the longest chain's length has bits."""
+    ref = F.startswith("value", F.lit("@"))
+    step = cut(docs.where(ref).select("doc_id", "path", F.expr("substring(value, 2)").alias("to")))
+    last = -1
+    for _ in range(max(1, step.count().bit_length())):
+        ahead = step.select("doc_id", F.col("path").alias("to"), F.col("to").alias("next"))
+        step = cut(step.join(ahead, ["doc_id", "to"], "left").select("doc_id", "path", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("on")))
+        moving = step.where("on").count()
+        step = step.select("doc_id", "path", "to")
+        if moving in (0, last):  # what still moves stands in or leads into a circle
+            break
+        last = moving
+    ends = docs.where(F.col("value").isNull() | ~ref).select("doc_id", F.col("path").alias("to"), F.col("value").alias("end"))
+    found = step.join(ends, ["doc_id", "to"], "left").select("doc_id", "path", F.col("end").alias("value"))
+    return docs.where(F.col("value").isNull() | ~ref).select("doc_id", "path", "value").union(found)

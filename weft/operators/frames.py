@@ -22,19 +22,24 @@ def spec(by=(), order=()):
     return Window.partitionBy(*_names(by)).orderBy(*_names(order))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size: of files, their bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 # ---- joins -----------------------------------------------------------------------------------------------
 
 
-def lookup(df: DataFrame, table: DataFrame, on: dict, returns: dict, order, default=None, size: int | None = None) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, on: dict, returns: dict, order, default=None) -> DataFrame:
     """Left join to the first row of ``table``, by ``order``, whose key columns equal the row's as text.
 
     on: table column -> column of df; returns: table column -> name of the result. A miss is ``default``.
-    ``size``: the table's bytes if they are known; small tables are broadcast.
+    The table is broadcast if the planner's estimate of its bytes is small.
     """
     keys = list(on)
     first = table.withColumn("_n", F.row_number().over(spec([text(F.col(k)) for k in keys], order))).where("_n = 1")
     right = first.select(*[text(F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_r{i}") for i, c in enumerate(returns)], F.lit(True).alias("_hit"))
-    right = F.broadcast(right) if size is not None and size <= BROADCAST_BYTES else right
+    right = F.broadcast(right) if plan_bytes(table) <= BROADCAST_BYTES else right
     joined = df.join(right, [text(F.col(on[k])) == F.col(f"_k{i}") for i, k in enumerate(keys)], "left")
     out = [F.when(F.col("_hit"), F.col(f"_r{i}")).otherwise(F.lit(default)).alias(n) for i, n in enumerate(returns.values())]
     return joined.select(*[df[c] for c in df.columns], *out)

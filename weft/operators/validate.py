@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_pattern
+from .cuts import cut
 
 #: Patterns of the named formats; (?i) where case doesn't matter.
 FORMATS = {
@@ -357,10 +358,10 @@ def circular(paths: DataFrame) -> DataFrame:
     """V012: references that lead back to themselves. Pointers are doubled: after as many rounds as the number of references has
     bits, what still is a reference stands in or leads into a circle, and its image stands in one."""
     refs = paths.where(F.startswith("value", F.lit("@"))).select("doc_id", "path", F.expr("substring(value, 2)").alias("to"))
-    step = refs
+    refs = step = cut(refs)
     for _ in range(max(1, refs.count().bit_length())):
         following = step.select("doc_id", F.col("path").alias("to"), F.col("to").alias("next"))
-        step = step.join(following, ["doc_id", "to"]).select("doc_id", "path", F.col("next").alias("to"))
+        step = cut(step.join(following, ["doc_id", "to"]).select("doc_id", "path", F.col("next").alias("to")))
     return step.select("doc_id", F.col("to").alias("path")).distinct()
 
 
