@@ -31,8 +31,10 @@ from . import common, spans, vector_bpe
 
 CAPACITY = 4096
 END_ID = 1
-#: Buckets that a length's pieces are dealt to before they are ranked.
-BUCKETS = 64
+#: A length's pieces are dealt to buckets before they are ranked: so many at least, and of so many pieces on the average at most.
+BUCKETS, BUCKET_PIECES = 64, 100_000
+#: Ranges of a plan that are broadcast at most.
+RANGES = 1 << 18
 #: Distinct pre-tokens whose ids a Python worker remembers.
 REMEMBERED = 800_000
 #: Characters of text that are encoded together.
@@ -292,18 +294,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece with its sequence and its place there."""
     spark: SparkSession = docs.sparkSession
-    pieces = common.materialise(
-        pieces_of(docs, tokenizer, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces"
-    )
+    # the row's number takes part, so that copies of one row don't crowd a bucket
+    dealt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    pieces = common.materialise(pieces_of(docs, tokenizer, capacity, end_id).withColumn("h", dealt), "pieces")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    buckets = max(BUCKETS, -(-max(counts.values(), default=0) // BUCKET_PIECES))
+    pieces = pieces.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sizes = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    w = Window.partitionBy("length").orderBy("bucket")  # at most BUCKETS rows each
+    w = Window.partitionBy("length").orderBy("bucket")  # a row a bucket
     before = sizes.select("length", "bucket", (F.sum("n").over(w) - F.col("n")).alias("before"))
-    ranges = spark.createDataFrame(plan(counts, capacity), "length long, first long, n long, sequence long, copies long, base long")
+    planned = plan(counts, capacity)
+    ranges = spark.createDataFrame(planned, "length long, first long, n long, sequence long, copies long, base long")
     w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("r", F.row_number().over(w) - 1).join(before, ["length", "bucket"]).withColumn("r", F.col("r") + F.col("before"))
     # the plan's ranges number a few to a length, whatever the input's size
-    p, q = ranked.alias("p"), F.broadcast(ranges).alias("q")
+    p, q = ranked.alias("p"), (F.broadcast(ranges) if len(planned) <= RANGES else ranges).alias("q")
     i = F.col("p.r") - F.col("q.first")
     return p.join(q, (F.col("p.length") == F.col("q.length")) & (i >= 0) & (i < F.col("q.n"))).select(
         "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32",
