@@ -233,6 +233,26 @@ def test_programs_refuse_what_they_do_not_know(spark):
         parse('@import "a"', loop.__getitem__)
 
 
+def test_imports_stay_in_their_folder(spark, tmp_path):
+    from weft.functions.registry import Typed
+    from weft.plans import program
+    from weft.sources.imports import ImportRefused, loader
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "shared.txt").write_text("{$const}\nrate = 2\n")
+    (tmp_path / "out.txt").write_text("secret")
+    load = loader(str(tmp_path / "in"))
+    assert load("shared") == load("shared.txt")
+    for bad in ("../out", str(tmp_path / "out.txt"), "http://x/y", "shared.py"):
+        with pytest.raises(ImportRefused):
+            load(bad)
+    program.MODIFIERS["plus"] = (1, lambda t, n: Typed(t.column + n, "long"))
+    row = apply('@import "shared"\n{}\nx = %multiply @id @$const.rate\ny = @id :plus 5', spark.range(3, 4), load).first()
+    assert (row.x, row.y) == (6.0, 8)
+    with pytest.raises(ValueError, match="T018"):
+        apply("{}\nx = " + "%not " * 40 + "@id", spark.range(1))
+
+
 def test_seeded_values_are_the_generators(spark):
     from weft.functions import generate as G
 

@@ -157,3 +157,9 @@ def _(s, p):
     """Each event clears its user's list and sets its first item."""
     set_ = F.array(F.struct((C("event_id") * 2).alias("version"), F.lit("list[]").alias("path"), F.lit(None).cast("string").alias("value")), F.struct((C("event_id") * 2 + 1).alias("version"), F.concat(F.lit("list["), F.lit(0), F.lit("]")).alias("path"), C("event_id").cast("string").alias("value")))
     return D.collapse(read(s, p, "events").select(C("user_id").alias("doc_id"), F.explode(set_).alias("e")).select("doc_id", "e.*"))
+
+
+@query("with_and_without", "SELECT c_custkey AS doc_id, 'c_name' AS path, 'new ' || c_custkey AS value FROM customer UNION ALL SELECT c_custkey, 'more.a', c_mktsegment FROM customer")
+def _(s, p):
+    df = read(s, p, "customer").select("c_custkey", "c_name", F.struct(C("c_mktsegment").alias("a")).alias("more"), F.struct(C("c_nationkey").alias("x")).alias("gone"))
+    return D.with_value(D.without(D.paths(df, "c_custkey"), "gone"), "c_name", F.concat(F.lit("new "), "doc_id"))

@@ -32,6 +32,18 @@ def paths(df: DataFrame, key: str, columns=None) -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), F.explode(leaves).alias("f")).select("doc_id", "f.path", "f.value").where("value is not null")
 
 
+def with_value(docs: DataFrame, path: str, value: Column) -> DataFrame:
+    """Each document with a value at the path, in place of what was there; value: by the columns of (doc_id)."""
+    rest = docs.where(F.col("path") != path).select("doc_id", "path", "value")
+    return rest.union(docs.select("doc_id").distinct().select("doc_id", F.lit(path), value.cast("string")))
+
+
+def without(docs: DataFrame, path: str) -> DataFrame:
+    """Each document without the path and all below it."""
+    c = F.col("path")
+    return docs.where((c != path) & ~F.startswith(c, F.lit(path + ".")) & ~F.startswith(c, F.lit(path + "[")))
+
+
 def diff(a: DataFrame, b: DataFrame, moves: bool = True) -> DataFrame:
     """(doc_id, op, path, to_path, old, new): add, delete, modify and, for equal values, move. Where both sides have them, other
     FLAGS make a modification too."""

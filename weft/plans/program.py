@@ -58,6 +58,7 @@ from ..functions import scalar as S
 from ..functions.coerce import condition, number, text
 from ..functions.registry import CUSTOM, FUNCTIONS, Typed
 from ..operators.validate import compare, formula
+from ..sources.imports import DEEPEST
 
 
 @dataclass
@@ -117,8 +118,8 @@ def parse(source: str, load=None, seen: tuple = ()) -> Program:
         if line == '"""' and isinstance(section, Segment):
             block = []
         elif m := re.fullmatch(r'@import\s+"([^"]+)"(?:\s+as\s+\w+)?', line):
-            if m[1] in seen:
-                raise ValueError(f"import of {m[1]!r} leads back to itself")
+            if m[1] in seen or len(seen) >= DEEPEST:
+                raise ValueError(f"import of {m[1]!r} leads back to itself, or too deep")
             _merge(program, parse(load(m[1]), load, (*seen, m[1])))
         elif m := re.fullmatch(r"\{\$table\.(\w+)\[([^\]]*)\]\}", line):
             section, table = "table", m[1]
@@ -195,6 +196,8 @@ _MODIFIERS = {
     "upper": 0, "lower": 0, "trim": 0, "required": 0, "omitNull": 0, "omitEmpty": 0, "confidential": 0, "deprecated": 0, "date": 0, "timestamp": 0, "time": 0, "duration": 0, "array": 0, "raw": 0, "attr": 0, "cdata": 0, "truncate": 0,
     "maxLen": 1, "default": 1, "type": 1, "decimals": 1, "currencyCode": 1, "validate": 1, "enum": 1, "range": 1, "if": 3, "unless": 3, "pos": 1, "len": 1, "field": 1, "leftPad": 1, "rightPad": 1, "ns": 1, "element": 1,
 }
+#: Modifiers of a user, by name: (number of arguments, function(Typed, argument) -> Typed).
+MODIFIERS: dict[str, tuple] = {}
 #: Modifiers that shape what a writer makes of a field.
 _SHAPE = ("attr", "ns", "cdata", "element", "pos", "len", "leftPad", "rightPad", "truncate", "currencyCode", "deprecated")
 
@@ -204,9 +207,9 @@ def _split(tokens):
     while k < len(tokens):
         t = tokens[k]
         if t[0] == ":" and len(t) > 1:
-            if t[1:] not in _MODIFIERS:
+            if t[1:] not in _MODIFIERS and t[1:] not in MODIFIERS:
                 raise ValueError(f"no modifier {t}")
-            n = _MODIFIERS[t[1:]]
+            n = _MODIFIERS[t[1:]] if t[1:] in _MODIFIERS else MODIFIERS[t[1:]][0]
             if t[1:] in ("if", "unless") and (k + 2 >= len(tokens) or tokens[k + 2][0] == ":"):
                 n = 1
             modifiers.append((t[1:], " ".join(tokens[k + 1 : k + 1 + n])))
@@ -248,6 +251,7 @@ class Scope:
         self.item: tuple[Column, T.DataType] | None = None
         self.aliases: dict[str, tuple[Column, T.DataType]] = {}
         self.counters: dict[str, Column] = {}
+        self.depth = 0
 
     def within(self, alias: str, counter: str | None, item: Column, element: T.DataType, index: Column) -> Scope:
         """The scope inside a loop."""
@@ -320,6 +324,17 @@ class Scope:
         return out
 
     def _one(self, tokens):
+        if not tokens:
+            raise ValueError("T002: an argument is missing")
+        self.depth += 1
+        if self.depth > DEEPEST:
+            raise ValueError(f"T018: expressions nest deeper than {DEEPEST}")
+        try:
+            return self._expression(tokens)
+        finally:
+            self.depth -= 1
+
+    def _expression(self, tokens):
         t, rest = tokens[0], tokens[1:]
         if t[0] == "@":
             return self.path(t[1:]), rest
@@ -407,7 +422,9 @@ def _modified(scope: Scope, m: Mapping, t: Typed) -> tuple[Typed, list[tuple[str
     fixed = policy.get("format") == "fixed-width"
     for name, arg in m.modifiers:
         c, k = t.column, t.kind
-        if name in _SHAPE and (fixed or name not in ("pos", "len")):
+        if name in MODIFIERS:
+            t = MODIFIERS[name][1](t, literal(arg) if arg else None)
+        elif name in _SHAPE and (fixed or name not in ("pos", "len")):
             shape[name] = literal(arg) if arg else True
         elif name == "pos":
             n = next((int(x) for y, x in m.modifiers if y == "len"), 1 << 30)
