@@ -233,6 +233,36 @@ def test_programs_refuse_what_they_do_not_know(spark):
         parse('@import "a"', loop.__getitem__)
 
 
+#: A text that each format takes, and one that it doesn't.
+FORMATS = {
+    "email": ("a@b.c", "a b@c.d"), "url": ("HTTPS://x.y/z", "ftp://x"), "uri": ("mailto:a", "1:a"), "uuid": ("123e4567-e89b-42d3-a456-426614174000", "123e4567-e89b-12d3-a456-426614174000"), "date": ("2024-01-02", "2024-1-2"),
+    "date-iso": ("2024-01-02", "20240102"), "time": ("10:20:30", "10:20"), "datetime": ("2024-01-02T10:20:30Z", "2024-01-02"), "date-time": ("2024-01-02T10:20:30", "2024-01-02 10:20:30"), "hostname": ("a-b.c", "-a.b"),
+    "ipv4": ("1.2.3.255", "1.2.3.4."), "ipv6": ("fe80::1", "1:2:3"), "phone": ("+44 20 7946 0958", "none"), "credit-card": ("4111111111111111", "4111111111111112"), "creditcard": ("4111111111111111", "411"), "ssn": ("123-45-6789", "666-45-6789"),
+    "ein": ("12-3456789", "123456789"), "fein": ("12-3456789", "1-23456789"), "zip": ("12345-6789", "1234"), "postal-ca": ("k1a 0b1", "11a 0b1"), "vin": ("1hgcm82633a004352", "1HGCM82633I004352"), "iban": ("gb29nwbk", "GB2"), "bic": ("deutdeff", "DEUT1EFF"),
+    "swift": ("DEUTDEFF500", "DEUTDEFF50"), "routing": ("123456789", "12345678"), "cusip": ("03783310a", "03783310"), "isin": ("US0378331005", "US037833100A"), "lei": ("5493001kjtiigc8y1r12", "5493"), "naic": ("12345", "1234"), "currency-code": ("eur", "XXQ"),
+    "country-alpha2": ("DE", "de"), "country-alpha3": ("DEU", "DE"), "state-us": ("wa", "ZZ"), "npi": ("1234567890", "123"), "dea": ("ab1234567", "a1234567"), "imei": ("123456789012345", "12345678901234"), "iccid": ("8912345678901234567", "891"),
+    "sin": ("123 456 789", "12 345 678"), "hex": ("0aF", "0g"),
+}
+
+
+def test_every_format(spark):
+    assert set(FORMATS) == set(V.FORMATS) | set(V.CHECKS)
+    row = spark.range(1).select(*[F.array(*[V.is_format(F.lit(t), n) for t in pair]).alias(n) for n, pair in FORMATS.items()]).first()
+    assert {n: row[n] for n in FORMATS} == {n: [True, False] for n in FORMATS}
+    with pytest.raises(ValueError):
+        V.is_format(F.lit("x"), "nosuch")
+
+
+def test_definitions_are_checked():
+    good = V.Schema([V.Field("a", bounds=(1, 3), default="xy"), V.Field("b", "integer", enum=(1, 2))])
+    assert V.check_definition(good) == []
+    bad = V.Schema([V.Field("a", bounds=(3, 1)), V.Field("b", enum=("x",), default="y"), V.Field("c", format="nosuch"), V.Field("d", required=True, when=("gone", "=", 1))], one_of=[(("a", "z"), 1, 1)])
+    assert len(V.check_definition(bad)) == 5
+    assert [f.pattern for f in V.Schema([V.Field("a", pattern="x")]).extended(V.Schema([V.Field("a", required=True)])).fields] == ["x"]
+    with pytest.raises(ValueError, match="V017"):
+        V.Schema([V.Field("a", required=True)]).extended(V.Schema([V.Field("a")]))
+
+
 def test_imports_stay_in_their_folder(spark, tmp_path):
     from weft.functions.registry import Typed
     from weft.plans import program

@@ -257,3 +257,42 @@ def _(s, p):
 
     CUSTOM["shop.twice"] = lambda x: Typed(x.column.cast("double") * 2, "double")
     return apply(GUARDS, read(s, p, "customer"))
+
+
+SEQUENCES = """
+{head}
+one = %sequence "n"
+other = %sequence "m" 10
+{rows[]}
+:loop orders
+key = @.o_orderkey
+n = %sequence "n"
+m = %sequence "m"
+{tail}
+n = %sequence "n"
+reset = %resetSequence "n" 5
+again = %sequence "n"
+"""
+
+
+@query("program_sequences", "SELECT o_custkey, o_orderkey AS key, 1 + row_number() OVER w AS n, 10 + row_number() OVER w AS m, 2 + count(*) OVER (PARTITION BY o_custkey) AS tail, 6 AS again FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def _(s, p):
+    out = apply("{}\no_custkey = @o_custkey\n" + SEQUENCES, _histories(s, p)).select("o_custkey", F.explode("rows").alias("x"), C("tail.n").alias("tail"), "tail.again")
+    return out.select("o_custkey", "x.key", "x.n", "x.m", "tail", "again")
+
+
+SHAPES = """
+{}
+o_custkey = @o_custkey
+numbered = %rowNumber @orders
+exploded = %explode @groups "keys"
+drawn = %sample @keys 3 42
+"""
+
+
+@query("program_array_shapes", "SELECT o_custkey, CAST(sum(o_orderkey * n) AS BIGINT) AS numbered, CAST(sum(o_orderkey) AS BIGINT) AS exploded, CAST(least(count(*), 3) AS BIGINT) AS drawn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1")
+def _(s, p):
+    df = _histories(s, p).withColumn("keys", F.transform("orders", lambda x: x["o_orderkey"])).withColumn("groups", F.array(F.struct(F.lit("a").alias("g"), C("keys").alias("keys"))))
+    total = lambda a, f: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + f(x))
+    out = apply(SHAPES, df)
+    return out.select("o_custkey", total("numbered", lambda x: x["o_orderkey"] * x["_rowNum"]).alias("numbered"), total("exploded", lambda x: x["keys"]).alias("exploded"), F.size(F.array_intersect(F.array_distinct("drawn"), F.transform("numbered", lambda x: x["o_orderkey"]))).cast("long").alias("drawn"))

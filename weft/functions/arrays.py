@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .coerce import col, number, text
+from .generate import draw
 
 OPERATORS = ("=", "==", "!=", "<", "<=", ">", ">=", "contains", "startsWith", "endsWith")
 
@@ -423,3 +424,33 @@ def group_by(arr, field) -> Column:
     """[{key, items}], keys in the order they are first seen."""
     k = F.array_distinct(F.transform(arr, lambda x: text(field(x))))
     return F.transform(k, lambda v: F.struct(v.alias("key"), F.filter(arr, lambda x: text(field(x)) == v).alias("items")))
+
+
+def row_number(arr, objects: bool = True) -> Column:
+    """Each item with its place from 1 on, as _rowNum; items that are no objects become one, as value."""
+    if objects:
+        return F.transform(arr, lambda x, i: x.withField("_rowNum", (i + 1).cast("long")))
+    return F.transform(arr, lambda x, i: F.struct((i + 1).cast("long").alias("_rowNum"), x.alias("value")))
+
+
+def explode(arr, field: str) -> Column:
+    """An object for each item of each object's array field, which holds that item; null for an empty one."""
+    one = lambda x: F.when(F.size(x[field]) > 0, F.transform(x[field], lambda e: x.withField(field, e))).otherwise(F.array(x.withField(field, F.get(x[field], 0))))
+    return F.flatten(F.transform(arr, one))
+
+
+def sample(arr, n: int, seed: int | None = None) -> Column:
+    """n items without replacement, in the order drawn; all of them, as they stand, if there are no more."""
+    def swap(k):
+        def swapped(b):
+            a, j = b["s"]["a"], b["j"]
+            return F.struct(F.transform(a, lambda x, i: F.when(i == k, F.get(a, j)).when(i == j, F.get(a, k)).otherwise(x)).alias("a"))
+
+        return swapped
+
+    state = struct_of = F.struct(F.transform(arr, lambda x: x).alias("a"))
+    for k in range(max(0, n)):
+        u = draw(F.lit((seed or 0) & 0xFFFFFFFF), k + 1) if seed is not None else F.rand()
+        j = (k + F.floor(u * (F.size(arr) - k))).cast("int")
+        state = let(F.struct(state.alias("s"), j.alias("j")), swap(k))
+    return F.when(F.size(arr) <= n, struct_of["a"]).otherwise(F.slice(state["a"], 1, max(0, n)) if n > 0 else F.slice(arr, 1, 0))

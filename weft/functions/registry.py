@@ -17,11 +17,12 @@ from .coerce import number, snapped, text, truth
 
 @dataclass
 class Typed:
-    """A Column, what it holds, and the literal it is, if it is one."""
+    """A Column, what it holds, the literal it is, if it is one, and whether it is an array of objects, if that is known."""
 
     column: Column
     kind: str = "string"
     literal: object = None
+    objects: bool = True
 
 
 @dataclass
@@ -321,6 +322,9 @@ def _arrays():
     register("range", lambda a, b, s=None: Typed(A.range_(int(_lit(a)), int(_lit(b)), int(_lit(s)) if s else 1), "array"), 3, 2)
     register("fillMissing", lambda a, v=None, s=None: Typed(A.fill_missing(a.column, _lit(s) if s else "value", _lit(v) if v else 0), "array"), 3, 1)
     register("toArray", lambda a: Typed(a.column if a.kind == "array" else F.when(a.column.isNull(), F.array()).otherwise(F.array(a.column)), "array"), 1)
+    register("rowNumber", lambda a: Typed(A.row_number(a.column, a.objects), "array"), 1)
+    register("explode", lambda a, f: Typed(A.explode(a.column, _lit(f)), "array"), 2)
+    register("sample", lambda a, n, s=None: Typed(A.sample(a.column, int(_lit(n)), None if s is None else int(_lit(s))), "array"), 3, 2)
     register("reduce", lambda a, f, z: Typed(F.aggregate(A.numbers(a.column), _n(z), lambda s, x: _n(FUNCTIONS[_lit(f)].build(Typed(s, "double"), Typed(x, "double")))), "double"), 3)
 
 

@@ -252,10 +252,12 @@ class Scope:
         self.aliases: dict[str, tuple[Column, T.DataType]] = {}
         self.counters: dict[str, Column] = {}
         self.depth = 0
+        self.sequences: set[str] = set()
 
     def within(self, alias: str, counter: str | None, item: Column, element: T.DataType, index: Column) -> Scope:
         """The scope inside a loop."""
         out = Scope(self.program, self.schema, self.state)
+        out.sequences = self.sequences
         out.item = (item, element)
         out.aliases = self.aliases | ({alias: out.item} if alias else {})
         out.counters = self.counters | {"_index": index.cast("long")} | ({counter: index.cast("long")} if counter else {})
@@ -299,7 +301,7 @@ class Scope:
         if p in self.counters:
             return Typed(self.counters[p], "long")
         found = self.resolve(p)
-        return Typed(found[0], kind_of(found[1])) if found else Typed(F.lit(None).cast("string"), "null")
+        return Typed(found[0], kind_of(found[1]), None, not isinstance(found[1], T.ArrayType) or isinstance(found[1].elementType, T.StructType)) if found else Typed(F.lit(None).cast("string"), "null")
 
     def interpolated(self, template: str, block: bool = False) -> Typed:
         """A text with ${@path} and ${%function ...} in it."""
@@ -359,6 +361,8 @@ class Scope:
             old = self.state[key]
             self.state[key] = Typed(number(old.column, old.kind) + number(value.column, value.kind), "double") if name == "accumulate" else value
             return self.state[key], rest
+        if name in ("sequence", "resetSequence"):
+            return self._sequence(name, rest)
         if name not in FUNCTIONS:
             raise ValueError(f"T001: no function {name}")
         fn, args = FUNCTIONS[name], []
@@ -369,6 +373,23 @@ class Scope:
             raise ValueError(f"T002: {name} takes {fn.least} arguments")
         return fn.build(*args), rest
 
+    def _sequence(self, name, rest):
+        """A named counter of the row: in a loop, it goes up by one an item."""
+        key, rest = "#" + str(literal(rest[0])), rest[1:]
+        given = None
+        if rest:
+            given, rest = self._one(rest)
+        if name == "resetSequence":
+            self.state[key] = Typed(F.floor(number(given.column, given.kind)).cast("long") if given else F.lit(0).cast("long"), "long")
+            return self.state[key], rest
+        first = F.floor(number(given.column, given.kind)).cast("long") if given else F.lit(1).cast("long")
+        next_ = self.state[key].column + 1 if key in self.state else first
+        if "_index" in self.counters:
+            self.sequences.add(key)
+            return Typed(next_ + self.counters["_index"], "long"), rest
+        self.state[key] = Typed(next_, "long")
+        return self.state[key], rest
+
     def _lookup(self, name, rest):
         table, _, column = rest[0].partition(".")
         columns, rows = self.program.tables[table]
@@ -555,7 +576,16 @@ def _looped(segment: Segment, scope: Scope) -> Column | None:
         own = [(m.target, *value(inside, m)) for m in shown]
         return own[0][1].column if len(own) == 1 and own[0][0] == "_" else F.struct(*[_named(t.column, n, shape) for n, t, _, shape in own])
 
-    return loops.over(row) if shown else None
+    out = loops.over(row) if shown else None
+    for key in scope.sequences:  # used in the loop: it has gone up by as many as there were items
+        if len(segment.loops) > 1:
+            raise ValueError("sequences go up in single loops only")
+        m = next(m for m in segment.mappings if "%sequence" in m.tokens and "#" + str(literal(m.tokens[m.tokens.index("%sequence") + 1])) == key)
+        at = m.tokens.index("%sequence")
+        scope.counters.pop("_index", None)
+        first = scope._sequence("sequence", m.tokens[at + 1 :])[0].column
+        scope.state[key] = Typed(first + F.size(out) - 1, "long")
+    return out
 
 
 def apply(program: Program | str, df: DataFrame, load=None) -> DataFrame:
