@@ -2,18 +2,16 @@
 
 The fingerprint's 64 bits are split into more blocks than bits may differ, so close fingerprints agree in some of
 the blocks; each choice of so many blocks makes a key, and close fingerprints share a key. There are as many blocks
-as it takes for a key to have about one fingerprint by chance. Fingerprints of a key are joined and verified. A key that
-more than ``CROWD`` distinct fingerprints share isn't joined pair by pair. At distance 2, each of its
-fingerprints meets its neighbours through the values of its other bits with at most one bit flipped: fingerprints at a
-distance of one or two, and no others, share such a value, and each is linked to the smallest that does. At other
-distances the key's fingerprints are dealt to cells of bounded size, every two of them meet in a cell, and a cell
-gives the edges of a forest that connects its close fingerprints. Either finds the same components as pairs would.
+as it takes for a key to have about one fingerprint by chance. The fingerprints of a key meet in one shuffle, sorted by key and
+streamed: two are verified by their Hamming distance, more give the edges of a forest that connects those close to each other. The
+fingerprints of a key that has more than ``CELL`` are dealt to cells of bounded size, so that every two of them meet in a cell, and
+each cell gives a forest. That finds the same components as all pairs would, with no more edges than a key has fingerprints.
 
 A document can have several fingerprints, of differently mixed hashes of the same shingles; documents are linked if any
 of them are close. Four bits of six fingerprints catch more near copies than six bits of one, with wider keys.
 
-Only distinct fingerprints take part, however many copies a text has. Components come from rounds of minimum
-labels and shortcuts over links in the shared folder; nothing is gathered on the driver but counts.
+Only distinct fingerprints take part, however many copies a text has. Components come from rounds of contraction over
+links in the shared folder; nothing is gathered on the driver but counts.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; texts of fewer
 words than a shingle have the whole sequence as their one shingle; null ids are given the component of their
@@ -23,6 +21,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from itertools import combinations
 
 import numpy as np
@@ -40,9 +39,7 @@ SEED = 42
 #: Fingerprints of a document, and bits in which they may differ, where documents are deduplicated.
 FINGERPRINTS = 6
 NEAR = 4
-#: Distinct fingerprints of a key that are joined with each other at most.
-CROWD = 32
-#: Fingerprints of a crowded key that a task takes twice as many of at once, about.
+#: Fingerprints of a key that are compared at once; of a more crowded key, about twice as many.
 CELL = 8192
 #: Bits of a key, at least.
 KEY_BITS = 21
@@ -113,83 +110,149 @@ def masks(distance: int, n: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(blocks, count - distance)]
 
 
-def _forest(distance: int):
-    """A cell's fingerprints to the edges of a forest that connects those close to each other."""
+def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest that connects those of the fingerprints (unsigned) that are close to each other. It grows from the one nearest
+    to the bits of the majority, and on from the most central: so the keys of a group give much the same edges."""
+    middle = 2 * np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) > len(fps)
+    rest = fps[np.argsort(np.bitwise_count(fps ^ np.packbits(middle).view(np.uint64)[0]), kind="stable")]
+    rank, out = np.arange(len(rest)), []
+    while len(rest):
+        front = [(-1, rest[0])]
+        rest, rank = rest[1:], rank[1:]
+        while front and len(rest):
+            x = heapq.heappop(front)[1]
+            near = np.bitwise_count(rest ^ x) <= distance
+            if near.any():
+                found, places = rest[near], rank[near]
+                rest, rank = rest[~near], rank[~near]
+                out.append((np.full(len(found), x), found))
+                for place, y in zip(places.tolist(), found):
+                    heapq.heappush(front, (place, y))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.uint64),) * 2
+
+
+MET = "a long, b long, key long"
+
+
+def _meet(distance: int, cell: int):
+    """Rows (key, fp) sorted by key to edges (a, b) of each key's forest; of a key with more than ``cell`` fingerprints, to its rows
+    (fp, null, key)."""
+
+    def rows(a, b, key=None):
+        a, b = a.view(np.int64), b.view(np.int64)
+        names = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()) if key is None else key]
+        return pa.RecordBatch.from_arrays(names, ["a", "b", "key"])
+
+    def raw(key, fps):
+        return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), key))], ["a", "b", "key"])
+
+    def run(batches):
+        held_key, held, crowded = None, np.zeros(0, np.uint64), False  # the run that the last batch ended in
+        for batch in batches:
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            ends = np.append(starts[1:], len(keys))
+            size, found = ends - starts, []
+            first = 0
+            if held_key is not None and keys[0] == held_key:
+                held, first = np.concatenate((held, fps[: ends[0]])), 1
+                if len(held) > cell:
+                    yield raw(held_key, held)
+                    held, crowded = held[:0], True
+            if first < len(starts) or held_key is None:  # the held run has ended, the last one of this batch may go on
+                if crowded:
+                    if len(held):
+                        yield raw(held_key, held)
+                elif len(held) > 1:
+                    found.append(forest(np.unique(held), distance))
+                inner = np.arange(first, len(starts) - 1)
+                two = inner[size[inner] == 2]
+                x, y = fps[starts[two]], fps[starts[two] + 1]
+                close = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+                found.append((x[close], y[close]))
+                for k in inner[size[inner] > 2]:
+                    if size[k] > cell:
+                        yield raw(keys[starts[k]], fps[starts[k] : ends[k]])
+                    else:
+                        found.append(forest(np.unique(fps[starts[k] : ends[k]]), distance))
+                held_key, held, crowded = keys[-1], fps[starts[-1] :].copy(), False
+            if found:
+                yield rows(*(np.concatenate(c) for c in zip(*found)))
+        if crowded and len(held):
+            yield raw(held_key, held)
+        elif len(held) > 1:
+            yield rows(*forest(np.unique(held), distance))
+
+    return run
 
+
+def _cell_forest(distance: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
-        out = []
-        while len(rest):
-            front, rest = [rest[-1]], rest[:-1]
-            while front and len(rest):
-                x = front.pop()
-                near = np.bitwise_count(rest ^ x) <= distance
-                found, rest = rest[near], rest[~near]
-                out.append((np.full(len(found), x), found))
-                front += list(found)
-        a, b = (np.concatenate(c).view(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"s": pdf["s"].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b)})
+        a, b = forest(np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64), distance)
+        a, b = a.view(np.int64), b.view(np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
-    """Pairs (s, a, b), a < b, of distinct fingerprints (s, fp) of the same s that connect all at most ``distance`` apart."""
-    fp, every = F.col("fp"), masks(distance, nodes.count())
-    bits = F.array(*[F.lit(_signed(m)) for m in every])
-    spread = nodes.select("s", "fp", F.posexplode(bits).alias("kind", "mask"))
-    spread = spread.select("s", "fp", "kind", F.xxhash64("s", "kind", fp.bitwiseAND(F.col("mask"))).alias("key"))  # colliding keys cost a comparison
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    ends = [f(c).alias(n) for n, f, c in (("s", F.min, "s"), ("t", F.max, "s"), ("a", F.min, "fp"), ("b", F.max, "fp"))]
-    sizes = common.materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"), "simhash-keys")
-    # most shared keys have two fingerprints: their pair stands already
-    twos = sizes.where("n = 2 and s = t and a < b").select("s", "a", "b")
-    shared = common.materialise(spread.join(sizes.where("n > 2").select("key", "n"), "key"), "simhash-shared")
-    few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
-    one, two = few.select("key", "s", F.col("fp").alias("a")), few.select("key", "s", F.col("fp").alias("b"))
-    joined = twos.union(one.join(two, ["key", "s"]).where(F.col("a") < F.col("b")).select("s", "a", "b")).where(close("a", "b"))
-    if distance == 2:
-        # the key's bits as they are, and the others with each of them flipped
-        flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << j)).cast("long") for j in range(64) if not m >> j & 1]) for m in every])
-        near = many.select("s", "fp", "key", F.explode(F.transform(F.get(flips, F.col("kind")), lambda x: fp.bitwiseXOR(x))).alias("value"))
-        least = near.groupBy("s", "key", "value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = near.join(least.select("s", "key", "value", "a"), ["s", "key", "value"]).where((F.col("a") != F.col("fp")) & close("a", "fp"))
-        return joined.union(met.select("s", "a", F.col("fp").alias("b"))).distinct()
-    parts = F.ceil(F.col("n") / cell).cast("int")
-    dealt = many.withColumn("p", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("s", "key", "fp", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-    found = dealt.groupBy("s", "key", "p", "q").applyInPandas(_forest(distance), "s int, a long, b long")
-    return joined.union(found).distinct()
+def links(nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints ``fp`` that connect all at most ``distance`` apart."""
+    bits = F.array(*[F.lit(_signed(m)) for m in masks(distance, nodes.count())])
+    spread = nodes.select("fp", F.posexplode(bits).alias("kind", "mask"))
+    # colliding keys cost a comparison
+    keyed = spread.select(F.xxhash64("kind", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+    met = common.materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(distance, cell), MET), "simhash-met")
+    crowded = met.where("key is not null").select("key", F.col("a").alias("fp"))
+    sizes = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
+    cells = crowded.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    cells = cells.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "fp", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    found = cells.groupBy("key", "p", "q").applyInPandas(_cell_forest(distance), "a long, b long")
+    return met.where("key is null").select("a", "b").union(found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): the smallest node that is reachable."""
-    edges = common.materialise(edges, "edges")
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    labels = common.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
+    """(node, root) of every node of the edges (a, b): the smallest node that is reachable. In each round every node hooks to its
+    smallest neighbour, the trees that this makes are followed to their roots, and the edges are drawn between the roots, so at least
+    half of the nodes and all edges inside a tree are gone from the next."""
+    edges, labels = common.materialise(edges.where("a <> b"), "edges"), None
     while True:
-        # the least label among the neighbours, then the label's own label
-        spread = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        better = labels.join(spread.select(F.col("u").alias("node"), "m"), "node", "left").select("node", "root", F.least("root", "m").alias("new"))
-        better = common.materialise(better, "labels")
-        up = better.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        after = common.materialise(better.join(up, "new", "left").select("node", F.least("new", "up").alias("root"), (F.least("new", "up") != F.col("root")).alias("changed")), "labels")
-        labels = after.select("node", "root")
-        if not after.where("changed").limit(1).count():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        hook = common.materialise(both.groupBy("node").agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")), "hooks")
+        while True:
+            above = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            moved = common.materialise(hook.join(above, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "hooks")
+            hook = moved.select("node", "root")
+            if not moved.where("moved").limit(1).count():
+                break
+        if labels is None:
+            labels = hook
+        else:
+            after = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            labels = common.materialise(labels.join(after, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
+        named = lambda n, to: hook.select(F.col("node").alias(n), F.col("root").alias(to))
+        between = edges.join(named("a", "x"), "a").join(named("b", "y"), "b").where("x <> y")
+        edges = common.materialise(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
             return labels
 
 
 def _linked(own: DataFrame, distance: int, many: int) -> DataFrame:
     """Edges (a, b) between first fingerprints that connect the documents any of whose fingerprints are close."""
     if many == 1:
-        return links(own.select(F.lit(0).alias("s"), "fp").distinct(), distance).select("a", "b")
-    each = own.select("fp", "fps").distinct().select(F.col("fp").alias("node"), F.posexplode("fps").alias("s", "fp")).distinct()
-    each = common.materialise(each, "simhash-each")
-    least = common.materialise(each.groupBy("s", "fp").agg(F.min("node").alias("node")), "simhash-least")
-    same = each.join(least.withColumnRenamed("node", "a"), ["s", "fp"]).where("a <> node").select("a", F.col("node").alias("b"))
-    named = lambda n, to: least.select("s", F.col("fp").alias(n), F.col("node").alias(to))
-    far = links(least.select("s", "fp"), distance).join(named("a", "x"), ["s", "a"]).join(named("b", "y"), ["s", "b"]).where("x <> y")
-    return same.union(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+        return links(own.select("fp").distinct(), distance)
+    each = common.materialise(own.select(F.col("fp").alias("node"), "fps").distinct(), "simhash-each")
+    found = None
+    for k in range(many):  # one after the other: the keys of all at once would be as many times more rows in a shuffle
+        mine = each.select("node", F.col("fps")[k].alias("fp")).distinct()
+        least = common.materialise(mine.groupBy("fp").agg(F.min("node").alias("node")), "simhash-least")
+        same = mine.join(least.withColumnRenamed("node", "a"), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+        named = lambda n, to, least=least: least.select(F.col("fp").alias(n), F.col("node").alias(to))
+        far = links(least.select("fp"), distance).join(named("a", "x"), "a").join(named("b", "y"), "b").where("x <> y")
+        edges = common.materialise(same.union(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "simhash-edges")
+        found = edges if found is None else found.union(edges)
+    return found.distinct()
 
 
 def _grouped(own: DataFrame, first, distance: int, many: int = 1) -> DataFrame:
@@ -199,14 +262,14 @@ def _grouped(own: DataFrame, first, distance: int, many: int = 1) -> DataFrame:
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, many: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, many: int = 1, hot: float = HOT) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links."""
     own = common.materialise(fingerprints(docs, size, many), "fingerprints")
     grouped = _grouped(own, F.min("doc_id"), distance, many)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = common.materialise(grouped.join(least, "root").select("fp", "n", "component_id"), "simhash-components")
-    # the copies of one text may be a third of all rows: fingerprints with so many, 1 / HOT at most, go to the rows
-    often = F.broadcast(named.where(F.col("n") > HOT * own.count()).select("fp", F.col("component_id").alias("hot"), F.lit(True).alias("met")))
+    # the copies of one text may be a third of all rows: fingerprints with so many, 1 / hot at most, go to the rows
+    often = F.broadcast(named.where(F.col("n") > hot * own.count()).select("fp", F.col("component_id").alias("hot"), F.lit(True).alias("met")))
     marked = own.select("doc_id", "fp").join(often, "fp", "left")
     rest = marked.where("met is null").join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
     return rest.union(marked.where("met").select("doc_id", "fp", "hot"))
