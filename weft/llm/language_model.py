@@ -411,14 +411,25 @@ def _scorer(sent, total: int, distinct: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """Every document's log10 probability under the unigram base and under the model."""
+@dataclass
+class Fitted:
+    """A model with the blocks it was fitted on, and their words' counts."""
+
+    blocks: DataFrame
+    counts: DataFrame
+    weights: Weights
+    singles: Singles
+    tails: Tails
+
+
+def fit(docs: DataFrame) -> Fitted | None:
+    """None where there are no documents."""
     spark = docs.sparkSession
     common.tune(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.in_fold("doc_id", MOD, REST).alias("held"), F.col("text").cast("string").alias("text"))
     blocks = common.materialise(own.mapInArrow(_blocks, BLOCKS), "lm-blocks")
     if blocks.limit(1).count() == 0:
-        return blocks.sparkSession.createDataFrame([], SCORES)
+        return None
     spread = blocks.select("block", F.posexplode(F.arrays_zip("words", "uses")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.uses").alias("uses"))
     by = Window.partitionBy("word")
     first = F.row_number().over(by.orderBy("block")) == 1
@@ -439,10 +450,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         at = leaves[r["place"]] if r["place"] >= 0 else tail_leaf(-1 - r["place"])
         tails.counts[at], tails.once[at], tails.words[at] = r["n"], max(r["once"], 1), r["words"]
     weights = train(blocks, singles, tails.counts)
-    sent = spark.sparkContext.broadcast((weights, singles, tails))
-    run = _scorer(sent, int(tails.counts.sum()), int(tails.words.sum()))
-    blocks = blocks.select("block", "ids", "held", "lens", "hashes", "ends", "tokens")  # words aren't needed again
-    return blocks.groupBy("block").cogroup(counts.where("c > 0").select("block", "pos", "c").groupBy("block")).applyInPandas(run, SCORES)
+    return Fitted(blocks, counts, weights, singles, tails)
+
+
+def lm_scores(docs: DataFrame, model: Fitted | None = None) -> DataFrame:
+    """Every document's log10 probability under the unigram base and under the model."""
+    spark = docs.sparkSession
+    model = model or fit(docs)
+    if model is None:
+        return spark.createDataFrame([], SCORES)
+    sent = spark.sparkContext.broadcast((model.weights, model.singles, model.tails))
+    run = _scorer(sent, int(model.tails.counts.sum()), int(model.tails.words.sum()))
+    blocks = model.blocks.select("block", "ids", "held", "lens", "hashes", "ends", "tokens")  # words aren't needed again
+    return blocks.groupBy("block").cogroup(model.counts.where("c > 0").select("block", "pos", "c").groupBy("block")).applyInPandas(run, SCORES)
 
 
 def op3_lm_scoring(spark, sf_dir):
