@@ -217,6 +217,27 @@ def test_notation_round_trip_and_errors():
     assert [f.type for f in parse_schema('{a}\nx = date\ny = ##:(1..)\nz = #$ #$5\n{b[]}\n:(1..3):unique').fields] == ["date", "integer", "currency", "array"]
 
 
+def test_notation_as_a_stream():
+    from weft.sources import notation as N
+
+    text = '{p}\nn = "é, ünï"\nt = """\na\nb\n"""\n---\nm = ##2'
+    data = text.encode()
+    whole = [(w, e) for w, e in N.events(text.splitlines())]
+    for size in (1, 2, 3, 1000):
+        assert list(N.events(N.lines_of(data[i : i + size] for i in range(0, len(data), size)))) == whole
+    assert [w for w, _ in whole] == ["entry", "entry", "end", "entry", "end"] and whole[1][1].value == "a\nb"
+    with pytest.raises(N.NotationError, match="P012"):
+        list(N.lines_of([b"a\xff"]))
+
+
+def test_xml_paths():
+    source = '<r xmlns:x="urn:x" xmlns:i="http://www.w3.org/2001/XMLSchema-instance" k="1">t<x:a>one</x:a><b i:nil="true"/><c/><d><![CDATA[<q>]]></d><e>1</e><e>2</e><f><item>z</item></f></r>'
+    assert list(readers.xml_paths(source)) == [("@k", "1"), ("a", "one"), ("b", None), ("c", None), ("d", "<q>"), ("e[0]", "1"), ("e[1]", "2"), ("f.item[0]", "z"), ("_text", "t")]
+    for bad in ("<!DOCTYPE r><r/>", "<a>" * 200 + "</a>" * 200):
+        with pytest.raises(ValueError):
+            list(readers.xml_paths(bad))
+
+
 def test_programs_refuse_what_they_do_not_know(spark):
     from weft.plans.program import parse
 

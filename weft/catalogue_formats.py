@@ -163,3 +163,19 @@ def _(s, p):
 def _(s, p):
     df = read(s, p, "customer").select("c_custkey", "c_name", F.struct(C("c_mktsegment").alias("a")).alias("more"), F.struct(C("c_nationkey").alias("x")).alias("gone"))
     return D.with_value(D.without(D.paths(df, "c_custkey"), "gone"), "c_name", F.concat(F.lit("new "), "doc_id"))
+
+
+@query("read_xml", "SELECT c_custkey, unnest(['@key', 'name', 'tag[0]', 'tag[1]', 'none']) AS path, unnest([CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, 'a & b', NULL]) AS value FROM customer")
+def _(s, p):
+    text = F.concat(F.lit('<c key="'), C("c_custkey"), F.lit('"><n:name xmlns:n="urn:n">'), C("c_name"), F.lit("</n:name><tag>"), C("c_mktsegment"), F.lit("</tag><tag>a &amp; b</tag><none/></c>"))
+    return readers.xml(read(s, p, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+
+
+_LINES = "string_agg('orders[' || n || '].day = ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'orders[' || n || '].key = ##' || o_orderkey || chr(10), '' ORDER BY n)"
+
+
+@query("write_notation_nested", f"SELECT o_custkey, 'name = \"c' || o_custkey || '\"' || chr(10) || {_LINES} AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY o_custkey")
+def _(s, p):
+    orders = F.array_sort(F.collect_list(F.struct(C("o_orderkey").alias("key"), C("o_orderdate").cast("date").alias("day"))))
+    df = read(s, p, "orders").groupBy("o_custkey").agg(orders.alias("orders")).withColumn("name", F.concat(F.lit("c"), "o_custkey"))
+    return N.canonical(N.from_rows(df, "o_custkey"), "o_custkey").select("o_custkey", "text")

@@ -12,24 +12,27 @@ from .cuts import cut
 FLAGS = ("required", "confidential", "deprecated")
 
 
-def _leaves(c: Column, t: T.DataType, at: Column) -> Column:
-    """array<struct<path, value>> of a value's leaves, at any depth."""
-    under = lambda name: F.concat(at, F.when(at == "", "").otherwise("."), F.lit(name))
+def _plain(c: Column, t: T.DataType, at: Column) -> Column:
+    return F.array(F.struct(at.alias("path"), c.cast("string").alias("value")))
+
+
+def leaves(c: Column, t: T.DataType, at: Column, leaf=_plain, made: str = "array<struct<path:string,value:string>>") -> Column:
+    """An array, of type ``made``, of what leaf(value, type, path) gives for a value's leaves, at any depth."""
+    under = lambda name: F.concat(at, F.when(at == "", "").otherwise("."), name)
     if isinstance(t, T.StructType):
-        return F.concat(*[_leaves(c[f.name], f.dataType, under(f.name)) for f in t.fields])
+        return F.concat(*[leaves(c[f.name], f.dataType, under(F.lit(f.name)), leaf, made) for f in t.fields])
     if isinstance(t, T.ArrayType):
-        return F.coalesce(F.flatten(F.transform(c, lambda x, i: _leaves(x, t.elementType, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))), F.array().cast("array<struct<path:string,value:string>>"))
+        return F.coalesce(F.flatten(F.transform(c, lambda x, i: leaves(x, t.elementType, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), leaf, made))), F.array().cast(made))
     if isinstance(t, T.MapType):
-        entry = lambda e: _leaves(e["value"], t.valueType, F.concat(at, F.when(at == "", "").otherwise("."), e["key"].cast("string")))
-        return F.coalesce(F.flatten(F.transform(F.map_entries(c), entry)), F.array().cast("array<struct<path:string,value:string>>"))
-    return F.array(F.struct(at.alias("path"), c.cast("string").alias("value")))
+        return F.coalesce(F.flatten(F.transform(F.map_entries(c), lambda e: leaves(e["value"], t.valueType, under(e["key"].cast("string")), leaf, made))), F.array().cast(made))
+    return leaf(c, t, at)
 
 
 def paths(df: DataFrame, key: str, columns=None) -> DataFrame:
     """A table's rows as documents: a row (doc_id, path, value) for each leaf that isn't null, in structs, maps and arrays too."""
     columns = columns or [c for c in df.columns if c != key]
-    leaves = F.concat(*[_leaves(F.col(c), df.schema[c].dataType, F.lit(c)) for c in columns])
-    return df.select(F.col(key).alias("doc_id"), F.explode(leaves).alias("f")).select("doc_id", "f.path", "f.value").where("value is not null")
+    every = F.concat(*[leaves(F.col(c), df.schema[c].dataType, F.lit(c)) for c in columns])
+    return df.select(F.col(key).alias("doc_id"), F.explode(every).alias("f")).select("doc_id", "f.path", "f.value").where("value is not null")
 
 
 def with_value(docs: DataFrame, path: str, value: Column) -> DataFrame:

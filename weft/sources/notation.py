@@ -103,33 +103,79 @@ def _cells(line: str) -> list[str]:
     return [m.strip() for m in re.findall(r'(?:^|,)((?:[^",]|"(?:[^"\\]|\\.)*")*)', line)]
 
 
-def parse(source: str) -> list[list[Entry]]:
-    """The documents of a text, each as its entries in the order they stand."""
-    documents = [_Document()]
-    lines, at = source.splitlines(), 0
-    while at < len(lines):
-        raw, number = lines[at], at + 1
-        at += 1
+#: Characters of a line or of lines that belong together, and bytes of a stream, at most.
+PENDING, WHOLE = 10_000_000, 100_000_000
+
+
+def _logical(lines):
+    """(number, line) with texts between three quotes made one line, from any source of lines."""
+    body, head, began = None, "", 0
+    for number, raw in enumerate(lines, 1):
+        if body is not None:
+            end = raw.rstrip()
+            if end.endswith('"""'):
+                body += [end[:-3]] if end[:-3].strip() else []
+                yield began, head + json.dumps("\n".join(body), ensure_ascii=False)
+                body = None
+            else:
+                body.append(raw)
+                if sum(map(len, body)) > PENDING:
+                    raise NotationError("P011", "a text is too long", began)
+        elif (m := re.match(r'^([^";]*=\s*[!*-]*\s*)"""(.*)$', raw)) and '"""' not in m[2]:
+            body, head, began = [m[2]] if m[2] else [], m[1], number
+        else:
+            yield number, raw
+    if body is not None:
+        raise NotationError("P004", "a text isn't closed", began)
+
+
+def events(lines):
+    """What a source of lines holds, as it comes: ("entry", Entry) for each, ("end", None) after each document. Only the paths taken are
+    kept, to know repeated ones and the indices of arrays."""
+    document = _Document()
+    for number, raw in _logical(lines):
         if raw.strip() == "---":
-            documents.append(_Document())
+            document.close()
+            yield "end", None
+            document = _Document()
             continue
-        if (m := re.match(r'^([^";]*=\s*[!*-]*\s*)"""(.*)$', raw)) and '"""' not in m[2]:
-            body = [m[2]] if m[2] else []
-            while at < len(lines) and not lines[at].rstrip().endswith('"""'):
-                body.append(lines[at])
-                at += 1
-            if at == len(lines):
-                raise NotationError("P004", "a text isn't closed", number)
-            last = lines[at].rstrip()[:-3]
-            at += 1
-            body += [last] if last.strip() else []
-            raw = m[1] + json.dumps("\n".join(body), ensure_ascii=False)
         line = _uncommented(raw)
         if line:
-            documents[-1].take(line, number)
-    for d in documents:
-        d.close()
-    return [d.entries for d in documents]
+            document.take(line, number)
+            yield from (("entry", e) for e in document.entries)
+            document.entries.clear()
+    document.close()
+    yield "end", None
+
+
+def lines_of(chunks):
+    """Lines of a stream of bytes, whose chunks may end anywhere, inside a character too."""
+    import codecs
+
+    decoder, pending, size = codecs.getincrementaldecoder("utf-8")(), "", 0
+    for chunk in (*chunks, None):
+        size += len(chunk or b"")
+        try:
+            pending += decoder.decode(chunk or b"", chunk is None)
+        except UnicodeDecodeError as e:
+            raise NotationError("P012", "no UTF-8", 0) from e
+        *whole, pending = pending.split("\n")
+        yield from whole
+        if len(pending) > PENDING or size > WHOLE:
+            raise NotationError("P011", "too long", 0)
+    if pending:
+        yield pending
+
+
+def parse(source: str) -> list[list[Entry]]:
+    """The documents of a text, each as its entries in the order they stand."""
+    documents: list[list[Entry]] = [[]]
+    for what, entry in events(source.splitlines()):
+        if what == "entry":
+            documents[-1].append(entry)
+        else:
+            documents.append([])
+    return documents[:-1]
 
 
 class _Document:
@@ -293,6 +339,21 @@ def from_json(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, path string, kind string, value string")
 
 
+def from_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, path, kind, value) of a table's rows, typed by its columns; structs, maps and arrays give a row a leaf."""
+    from ..operators.documents import leaves
+
+    kinds = {"string": "string", "boolean": "boolean", "date": "date", "timestamp": "timestamp"} | dict.fromkeys(("tinyint", "smallint", "int", "bigint"), "integer") | dict.fromkeys(("float", "double"), "number")
+
+    def leaf(c, t, at):
+        kind = "currency" if t.simpleString().startswith("decimal") else "binary" if t.simpleString() == "binary" else kinds.get(t.simpleString(), "string")
+        said = F.base64(c) if kind == "binary" else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if kind == "timestamp" else c.cast("string")
+        return F.array(F.struct(at.alias("path"), F.when(c.isNull(), "null").otherwise(kind).alias("kind"), said.alias("value")))
+
+    every = F.concat(*[leaves(F.col(f.name), f.dataType, F.lit(f.name), leaf, "array<struct<path:string,kind:string,value:string>>") for f in df.schema.fields if f.name != key])
+    return df.select(key, F.explode(every).alias("e")).select(key, "e.*")
+
+
 # ---- canonical form, by Column expressions ------------------------------------------------------------------
 
 
@@ -325,7 +386,7 @@ def canonical_value(kind: Column, value: Column) -> Column:
 
 def canonical(rows: DataFrame, key: str) -> DataFrame:
     """(key, text, hash) of each document: its lines in canonical order, and their SHA-256."""
-    marks = F.concat(*[F.when(F.coalesce(F.col(f), F.lit(False)), m).otherwise("") for m, f in _MARKS.items()])
+    marks = F.concat(F.lit(""), *[F.when(F.coalesce(F.col(f), F.lit(False)), m).otherwise("") for m, f in _MARKS.items() if f in rows.columns])
     line = F.concat(F.col("path"), F.lit(" = "), marks, canonical_value(F.col("kind"), F.col("value")), F.lit("\n"))
     sorted_ = F.array_sort(F.collect_list(F.struct(path_key(F.col("path")).alias("k"), line.alias("line"))))
     text = F.array_join(F.transform(sorted_, lambda x: x["line"]), "")

@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    return spark.read.format("xml").options(rowTag=row_tag, attributePrefix="@", valueTag="_text").load(path)
+    return spark.read.format("xml").options(rowTag=row_tag, attributePrefix="@", valueTag="_text", ignoreNamespace=True).load(path)
 
 
 def fixed_width(lines: DataFrame, fields: list[dict], line: str = "value") -> DataFrame:
@@ -55,6 +55,63 @@ def flat(lines: DataFrame, line: str = "value", key: str | None = None) -> DataF
     return lines.where(~F.regexp_like(s, F.lit(r"^([#;].*)?$")) & F.contains(s, F.lit("="))).withColumn("value0", value).select(*([key] if key else []), path.alias("path"), plain.alias("value"))
 
 
+def xml_paths(source: str):
+    """(path, value) of each text and attribute of an element tree: attributes as @name, text beside children as _text, repeated tags and
+    those named item as items of an array, prefixes of namespaces taken off, nil elements and closed empty ones null."""
+    from xml.etree.ElementTree import XMLPullParser
+
+    if "<!DOCTYPE" in source or "<!ENTITY" in source:
+        raise ValueError("document types aren't read")
+    parser, depth, root = XMLPullParser(("start", "end")), 0, None
+    parser.feed(source)
+    parser.close()
+    for what, node in parser.read_events():
+        root = node if root is None else root
+        depth += 1 if what == "start" else -1
+        if depth > XML_DEEPEST:
+            raise ValueError("too deep")
+    plain = lambda name: name.rpartition("}")[2]
+
+    def walk(node, at):
+        under = lambda name: f"{at}.{name}" if at else name
+        own = {k: v for k, v in node.attrib.items() if plain(k) != "nil"}
+        for k, v in own.items():
+            yield under("@" + plain(k)), v
+        names = [plain(c.tag) for c in node]
+        seen: dict[str, int] = {}
+        for child, name in zip(node, names):
+            n = seen[name] = seen.get(name, -1) + 1
+            yield from walk(child, under(f"{name}[{n}]" if names.count(name) > 1 or name == "item" else name))
+        text = (node.text or "").strip() if len(node) else node.text
+        if any(plain(k) == "nil" and v in ("true", "1") for k, v in node.attrib.items()):
+            yield at, None
+        elif own or len(node):
+            if text:
+                yield under("_text"), text
+        else:
+            yield at, text
+
+    yield from walk(root, "")
+
+
+#: Elements that may stand in each other, at most.
+XML_DEEPEST = 100
+
+
+def xml(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, value) of the elements and attributes of XML texts, a document a row."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(k, p, v) for k, t in zip(pdf[key], pdf[text]) if t for p, v in xml_paths(t)]
+            yield pd.DataFrame(rows, columns=[key, "path", "value"])
+
+    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, path string, value string")
+
+
 def yaml(spark: SparkSession, texts: DataFrame, key: str, text: str) -> DataFrame:
     """The indentation subset (maps, ``- `` lists, scalars) to (key, path, value), a document a row."""
 
