@@ -765,7 +765,7 @@ def test_merge_dropout(docs, none):
     assert merge_dropout.digests(none, path).count() == 0
     # many at once as one by one
     rng = random.Random(1)
-    parts = ["".join(rng.choice(["the", "ing", "a", "er", "é", "中", "▁", "\n"]) for _ in range(rng.randint(1, 5))) for _ in range(500)]
+    parts = ["".join(rng.choice(["the", "ing", "a", "er", "é", "中", "▁", "\n", " ", "  ", "   "]) for _ in range(rng.randint(1, 6))) for _ in range(1500)]
     keys = np.array([rng.getrandbits(64) for _ in parts], np.uint64)
     flat, n = model.merge_all(np.array([ord(c) for p in parts for c in p], np.int32), np.array([len(p) for p in parts]), keys, 0.4)
     ends = np.cumsum(n)

@@ -94,7 +94,12 @@ class Model:
                 self.char_ids[ord(p)] = i
         self.char_ids[ord(" ")], self.char_ids[ord(SPACE)] = self.char_ids[ord(SPACE)], -1
         splits = [(self.ids[p[:k]], self.ids[p[k:]], order[i]) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
-        self.pairs = vector_bpe.Pairs([(a, b) for a, b, _ in splits], [r for _, _, r in splits], dict(enumerate(self.by_rank)))
+        # pieces of one and the same score, as runs of spaces may have, are merged from the left; only the last may be such
+        scores = np.array([self.scores[i] for i in self.by_rank])
+        tied = int(np.argmax(scores == scores[-1])) if len(scores) else 0
+        if (np.diff(scores[: tied + 1]) == 0).any():
+            raise ValueError("pieces of equal scores among those that aren't the last")
+        self.pairs = vector_bpe.Pairs([(a, b) for a, b, _ in splits], [r for _, _, r in splits], dict(enumerate(self.by_rank)), tied)
         # stretches are cut where no piece goes across, so that each is merged as it would be within its text
         self.joined = np.zeros((TABLE, TABLE), bool)
         for p in self.ids:

@@ -24,9 +24,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Pairs:
-    """Ranks of pairs of symbols in an open-addressed table, and what each rank's pair becomes."""
+    """Ranks of pairs of symbols in an open-addressed table, and what each rank's pair becomes. Ranks from ``tied`` on are one and the
+    same: of these, the leftmost pair comes first."""
 
-    def __init__(self, pairs: list[tuple[int, int]], ranks: list[int], becomes: dict[int, int]):
+    def __init__(self, pairs: list[tuple[int, int]], ranks: list[int], becomes: dict[int, int], tied: int = int(NONE)):
+        self.tied = tied
         self.bits = max(4, int(len(pairs) * 8).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.ranks = np.full(1 << self.bits, NONE, np.int32)
@@ -84,6 +86,10 @@ class Pairs:
             each = np.arange(len(rows))
             best = ranks[each, at]
             over = best == NONE
+            equal = np.flatnonzero((best >= self.tied) & ~over)
+            if len(equal):
+                at[equal] = (ranks[equal] != NONE).argmax(1)  # none is under those tied, so all that merge are
+                best = ranks[each, at]
             if over.any():
                 out[rows[over], : sym.shape[1]] = sym[over]
                 go = ~over
