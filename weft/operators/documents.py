@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,24 +61,31 @@ def diff(a: DataFrame, b: DataFrame, moves: bool = True) -> DataFrame:
     changed = both.withColumn("op", op).where("op is not null").select("doc_id", "op", "path", F.lit(None).cast("string").alias("to_path"), "old", "new")
     if not moves:
         return changed
-    # the n-th deletion and the n-th addition of a value in a document make a move
-    w = Window.partitionBy("doc_id", "op", F.coalesce("old", "new")).orderBy("path")
-    n = changed.withColumn("n", F.when(F.col("op") != "modify", F.row_number().over(w)))
-    gone = n.where("op = 'delete'").select("doc_id", F.col("old").alias("v"), "n", F.col("path").alias("p"))
-    come = n.where("op = 'add'").select("doc_id", F.col("new").alias("v"), "n", F.col("path").alias("q"))
-    moved = gone.join(come, ["doc_id", "v", "n"])
-    rest = n.join(moved.select("doc_id", F.lit("delete").alias("op"), F.col("p").alias("path")).union(moved.select("doc_id", F.lit("add"), "q")), ["doc_id", "op", "path"], "left_anti")
-    cols = ["doc_id", "op", "path", "to_path", "old", "new"]
-    return rest.select(*cols).union(moved.select("doc_id", F.lit("move"), "p", "q", "v", "v"))
+    # the n-th deletion and the n-th addition of a value in a document make a move: one row a value holds both lists
+    pick = lambda what, x: F.collect_list(F.when(F.col("op") == what, x))
+    v, cols = F.coalesce("old", "new"), ["op", "path", "to_path", "old", "new"]
+    lists = changed.groupBy("doc_id", v.alias("v")).agg(
+        F.sort_array(pick("delete", F.col("path"))).alias("gone"), F.sort_array(pick("add", F.col("path"))).alias("come"), pick("modify", F.struct("path", "old", "new")).alias("other")
+    )
+    none = F.lit(None).cast("string")
+    row = lambda op, path, to, old, new: F.struct(*[c.alias(n) for c, n in zip((F.lit(op), path, to, old, new), cols)])
+    m = F.when(F.col("v").isNull(), 0).otherwise(F.least(F.size("gone"), F.size("come")))
+    left = lambda c: F.slice(c, m + 1, F.size(c))
+    found = F.concat(
+        F.transform(F.slice("gone", 1, m), lambda p, i: row("move", p, F.get("come", i), F.col("v"), F.col("v"))),
+        F.transform(left("gone"), lambda p: row("delete", p, none, F.col("v"), none)),
+        F.transform(left("come"), lambda p: row("add", p, none, none, F.col("v"))),
+        F.transform("other", lambda x: row("modify", x["path"], none, x["old"], x["new"])),
+    )
+    return lists.select("doc_id", F.explode(found).alias("f")).select("doc_id", *[F.col(f"f.{c}").alias(c) for c in cols])
 
 
 def patch(a: DataFrame, changes: DataFrame) -> DataFrame:
     """Deletions, moves, modifications, then additions. ``patch_errors`` has the changes of paths that aren't there."""
-    gone = changes.where("op in ('delete', 'move', 'modify')").select("doc_id", "path")
-    kept = a.join(gone, ["doc_id", "path"], "left_anti").select("doc_id", "path", "value")
-    moved = a.join(changes.where("op = 'move'").select("doc_id", "path", "to_path"), ["doc_id", "path"]).select("doc_id", F.col("to_path").alias("path"), "value")
-    altered = a.join(changes.where("op = 'modify'").select("doc_id", "path", "new"), ["doc_id", "path"]).select("doc_id", "path", F.col("new").alias("value"))
-    return kept.union(moved).union(altered).union(changes.where("op = 'add'").select("doc_id", "path", F.col("new").alias("value")))
+    hit = changes.where("op <> 'add'").select("doc_id", "path", "op", "to_path", "new")
+    left = a.select("doc_id", "path", "value").join(hit, ["doc_id", "path"], "left").where("op is null or op <> 'delete'")
+    path, value = F.when(F.col("op") == "move", F.col("to_path")).otherwise(F.col("path")), F.when(F.col("op") == "modify", F.col("new")).otherwise(F.col("value"))
+    return left.select("doc_id", path.alias("path"), value.alias("value")).union(changes.where("op = 'add'").select("doc_id", "path", F.col("new").alias("value")))
 
 
 def patch_errors(a: DataFrame, changes: DataFrame) -> DataFrame:
