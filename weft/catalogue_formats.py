@@ -10,6 +10,7 @@ from .operators import validate as V
 from .sources import notation as N
 from .sources import readers, writers
 from .sources.schema_text import parse_schema
+from .streaming import events as E
 
 _TEXT = """{{$}}
 odin = "1.0.0"
@@ -179,3 +180,13 @@ def _(s, p):
     orders = F.array_sort(F.collect_list(F.struct(C("o_orderkey").alias("key"), C("o_orderdate").cast("date").alias("day"))))
     df = read(s, p, "orders").groupBy("o_custkey").agg(orders.alias("orders")).withColumn("name", F.concat(F.lit("c"), "o_custkey"))
     return N.canonical(N.from_rows(df, "o_custkey"), "o_custkey").select("o_custkey", "text")
+
+
+@query("sliding_windows", "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 3 HOUR]) AS start FROM events) GROUP BY ALL")
+def _(s, p):
+    return E.sliding(read(s, p, "events"), "ts", "6 hours", "3 hours", ["event_type"], n=F.count(F.lit(1)))
+
+
+@query("session_windows", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS part FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, part")
+def _(s, p):
+    return E.sessions(read(s, p, "events"), "ts", "8 hours", ["user_id"], n=F.count(F.lit(1))).select("user_id", "start", "end", "n")

@@ -101,6 +101,7 @@ add_scalars({
     "rate_annuity": (_CU, lambda: F.round(verb("rate", 24, (-1000 * (0.01 + C("c_custkey") % 10 / 200) / (1 - F.pow(1.01 + C("c_custkey") % 10 / 200, F.lit(-24)))  , "double"), 1000, 0), 5), "round(0.01 + (c_custkey % 10) / 200.0, 5)"),
     "xnpv": (_CU, lambda: d(verb("xnpv", 0.1, (F.array(F.lit(-100.0), C("c_custkey").cast("double")), "array"), (F.array(F.lit("2024-01-01"), F.lit("2025-01-01")), "array"))), "round(-100 + c_custkey / pow(1.1, 366 / 365.0), 6)"),
     "xirr": (_CU, lambda: d(verb("xirr", (F.array(F.lit(-100.0), (C("c_custkey") % 50 + 90).cast("double")), "array"), (F.array(F.lit("2023-01-01"), F.lit("2024-01-01")), "array"))), "round((c_custkey % 50 + 90) / 100.0 - 1, 6)"),
+    "in_bounding_box_verb": (_CU, lambda: verb("inBoundingBox", (C("c_custkey") % 80, "long"), (C("c_custkey") % 170, "long"), 10, 20, 40, 60), "c_custkey % 80 BETWEEN 10 AND 40 AND c_custkey % 170 BETWEEN 20 AND 60"),
     # random values: the same for the same seed
     "random_seeded": (_P, lambda: verb("random", _NAME), _draw_sql()),
     "random_between": (_P, lambda: verb("random", 5, 14, _NAME), f"5 + floor({_draw_sql()} * 10)"),
@@ -162,6 +163,9 @@ add_arrays({
     "array_range": (lambda a: verb("range", 1, 10, 4), "[1, 5, 9]"),
     "array_compact": (lambda a: F.size(verb("compact", _T(F.transform(a, lambda x: F.when(x > 0, x))))).cast("long"), "CAST(len(list_filter(a, lambda x: x > 0)) AS BIGINT)"),
     "array_key_by": (lambda a: F.size(verb("keyBy", _T(_items(a)), "g")).cast("long"), "CAST(len(list_distinct(list_transform(a, lambda x: round(x, 1) + 0.0))) AS BIGINT)"),
+    "array_index_of_value": (lambda a: verb("indexOf", _T(a), (F.get(a, 6), "double")), "CAST(list_position(a, a[7]) - 1 AS BIGINT)"),
+    "array_index_of_none": (lambda a: verb("indexOf", _T(a), 99), "CAST(-1 AS BIGINT)"),
+    "array_sort_desc_verb": (lambda a: F.get(verb("sortDesc", _T(a)), 2), "list_reverse_sort(a)[3]"),
     "array_mode": (lambda a: F.round(A.mode(F.transform(a, lambda x: F.floor(x * 10))), 0).cast("long"), "(SELECT v FROM (SELECT v, count(*) AS n, min(i) AS f FROM (SELECT unnest(list_transform(a, lambda x: CAST(floor(x * 10) AS BIGINT))) AS v, generate_subscripts(a, 1) AS i) GROUP BY v) ORDER BY n DESC, f LIMIT 1)"),
     "array_correlation": (lambda a: d(verb("correlation", _T(F.slice(a, 1, 32)), _T(F.slice(a, 33, 32)))), "round((SELECT corr(x, y) FROM (SELECT unnest(a[1:32]) AS x, unnest(a[33:64]) AS y)), 6)"),
     "array_symmetric_difference": (lambda a: F.size(verb("symmetricDifference", _T(F.slice(a, 1, 10)), _T(F.slice(a, 6, 10)))).cast("long"), "CAST(len(list_distinct(list_filter(a[1:15], lambda x: NOT (list_contains(a[1:10], x) AND list_contains(a[6:15], x))))) AS BIGINT)"),
