@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +88,9 @@ def by_hash(df: DataFrame, column: str, share: float, seed: str = "") -> DataFra
 
 
 def give_back() -> None:
-    """Return to the system the memory that a worker has freed and its allocator would keep: an executor's idle
+    """Return to the system the memory that a worker has freed and its allocators would keep: an executor's idle
     workers hold theirs beside those that work."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # an allocator other than glibc's has no malloc_trim
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

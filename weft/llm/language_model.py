@@ -27,13 +27,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,49 +63,70 @@ def end_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) & 0xFFFF
 
 
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' lower-cased words at ASCII white space, one text after another, and how many each has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, offsets = split.values, split.offsets.to_numpy()
+    there = pc.binary_length(flat).to_numpy() > 0  # white space at a text's ends leaves empty words
+    before = np.concatenate(([0], np.cumsum(there)))
+    coded = flat.slice(offsets[0], offsets[-1] - offsets[0]).filter(pa.array(there[offsets[0] : offsets[-1]])).dictionary_encode()
+    return coded, np.diff(before[offsets])
+
+
+def _tokens(parts: list[tuple[pa.DictionaryArray, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, tokens, tokens of each text) of several ``_words``; the end, word 0, stands after each text."""
+    chunks = pa.chunked_array([p[0] for p in parts]).unify_dictionaries().chunks
+    own = np.concatenate([p[1] for p in parts])
+    tokens = np.zeros(int(own.sum()) + len(own), np.int32)
+    words = np.ones(len(tokens), bool)
+    words[np.cumsum(own + 1) - 1] = False
+    tokens[words] = np.concatenate([c.indices.to_numpy() for c in chunks]) + 1
+    return [b"", *chunks[0].dictionary.cast(pa.binary()).to_pylist()], tokens, own + 1
+
+
 def _blocks(batches):
     """Arrow batches of (doc_id, held, text) to rows of BLOCKS; the empty word is the end."""
     task = TaskContext.get()
     base, made = (task.partitionId() if task else 0) << 24, 0
 
-    def fresh():
-        entry = defaultdict(count().__next__)
-        assert entry[b""] == 0
-        return entry, [], [], []
-
-    def row(entry, ids, held, tokens):
-        learned = [t for t, h in zip(tokens, held) if not h]
-        uses = np.bincount(np.concatenate(learned), minlength=len(entry)) if learned else np.zeros(len(entry))
+    def row(parts):
+        ids, held = (pa.concat_arrays([p[k] for p in parts]) for k in range(2))
+        words, tokens, lens = _tokens([p[2] for p in parts])
+        learned = tokens[np.repeat(~held.to_numpy(zero_copy_only=False), lens)]
+        uses = np.bincount(learned, minlength=len(words))
         arrays = [
             pa.array([base + made], pa.int64()),
-            pa.array([ids], pa.list_(pa.int64())),
-            pa.array([held], pa.list_(pa.bool_())),
-            pa.array([[len(t) for t in tokens]], pa.list_(pa.int32())),
-            pa.array([list(entry)], pa.list_(pa.binary())),
+            pa.array([ids.to_pylist()], pa.list_(pa.int64())),
+            pa.array([held.to_pylist()], pa.list_(pa.bool_())),
+            pa.array([lens], pa.list_(pa.int32())),
+            pa.array([words], pa.list_(pa.binary())),
             pa.array([uses.astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([np.fromiter(map(zlib.crc32, entry), np.uint32, len(entry)).tobytes()], pa.binary()),
-            pa.array([np.fromiter(map(end_of, entry), np.uint16, len(entry)).tobytes()], pa.binary()),
-            pa.array([np.concatenate(tokens).astype(np.int32).tobytes()], pa.binary()),
+            pa.array([np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).tobytes()], pa.binary()),
+            pa.array([np.fromiter(map(end_of, words), np.uint16, len(words)).tobytes()], pa.binary()),
+            pa.array([tokens.tobytes()], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "words", "uses", "hashes", "ends", "tokens"])
 
-    state, chars = fresh(), 0
+    parts, size = [], 0
     for batch in batches:
-        ids, held, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-        for k in range(len(ids)):
-            words = common.words_of(texts[k].as_py())
-            tokens = np.fromiter(map(state[0].__getitem__, words), np.int32, len(words))
-            state[1].append(ids[k])
-            state[2].append(held[k])
-            state[3].append(np.append(tokens, np.int32(0)))
-            chars += sum(map(len, words)) + len(words)
-            if chars >= BLOCK_CHARS:
-                yield row(*state)
+        texts = pc.fill_null(batch.column(2), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy() + 1)
+        start = 0
+        while start < len(sizes):  # a block ends with the text that fills it
+            done = sizes[start - 1] if start else 0
+            end = int(np.searchsorted(sizes, done + BLOCK_CHARS - size)) + 1
+            end = min(end, len(sizes))
+            parts.append((batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), _words(texts.slice(start, end - start))))
+            size += int(sizes[end - 1] - done)
+            start = end
+            if size >= BLOCK_CHARS:
+                yield row(parts)
                 made += 1
-                state, chars = fresh(), 0
-    if state[1]:
-        yield row(*state)
-    del state
+                parts, size = [], 0
+                common.give_back()
+    if parts:
+        yield row(parts)
+        parts = []
     common.give_back()
 
 
