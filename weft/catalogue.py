@@ -372,7 +372,7 @@ def _(s, p):
 @query("explode_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY ALL")
 def _(s, p):
     # a document's words lie in one row: counted there, they needn't be shuffled
-    words = F.array_sort(F.split("text", " "))
+    words = F.sort_array(F.split("text", " "))
     runs = F.filter(F.transform(C("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(C("words"), x["i"] - 1) != x["w"]))
     counted = F.transform(C("runs"), lambda x, k: F.struct(x["w"].alias("w"), (F.coalesce(F.get(C("runs"), k + 1)["i"], F.size("words")) - x["i"]).cast("long").alias("n")))
     df = read(s, p, "documents").select("doc_id", words.alias("words")).select("doc_id", "words", runs.alias("runs")).select("doc_id", counted.alias("c"))
