@@ -203,7 +203,7 @@ def test_notation_round_trip_and_errors():
     from weft.sources import notation as N
     from weft.sources.schema_text import parse_schema, write_schema
 
-    text = '{$}\nodin = "1"\n{p}\nn = !##1\ns = *-"a;\\"b\\n"\n{.q}\nc = #$1.5:usd ; x\n{l[] : a, .b}\n"x, y", ~\n##2,\n{t[] : ~}\n"one"\n2024-01-02\n'
+    text = '{$}\nversion = "1"\n{p}\nn = !##1\ns = *-"a;\\"b\\n"\n{.q}\nc = #$1.5:usd ; x\n{l[] : a, .b}\n"x, y", ~\n##2,\n{t[] : ~}\n"one"\n2024-01-02\n'
     (entries,) = N.parse(text)
     assert [(e.path, e.kind, e.value) for e in entries][-4:] == [("l[0].b", "null", None), ("l[1].a", "integer", "2"), ("t[0]", "string", "one"), ("t[1]", "date", "2024-01-02")]
     assert N.parse(N.serialize(entries)) == [entries]

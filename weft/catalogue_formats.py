@@ -13,7 +13,7 @@ from .sources.schema_text import parse_schema
 from .streaming import events as E
 
 _TEXT = """{{$}}
-odin = "1.0.0"
+version = "1.0.0"
 {{customer}}
 number = !##{key} ; a comment
 name = *"{name}"
@@ -38,7 +38,7 @@ def _texts(s, p):
 
 
 _PATHS = [
-    ("$.odin", "string", "'1.0.0'"), ("customer.number", "integer", "CAST(c_custkey AS VARCHAR)"), ("customer.name", "string", "c_name"), ("customer.balance", "currency", "'12.5:USD'"), ("customer.rate", "number", "'1.50'"),
+    ("$.version", "string", "'1.0.0'"), ("customer.number", "integer", "CAST(c_custkey AS VARCHAR)"), ("customer.name", "string", "c_name"), ("customer.balance", "currency", "'12.5:USD'"), ("customer.rate", "number", "'1.50'"),
     ("customer.active", "boolean", "'true'"), ("customer.none", "null", "NULL"), ("customer.address.nation", "reference", "'nations[0].name'"), ("lines[0].sku", "string", "'A, ' || c_custkey"), ("lines[0].qty", "integer", "'2'"),
     ("lines[0].note", "string", "'x'"), ("lines[1].sku", "string", "'B'"), ("lines[1].qty", "integer", "'10'"), ("nations[0].name", "string", "'N'"),
 ]
@@ -49,7 +49,7 @@ def _(s, p):
     return N.read(_texts(s, p), "c_custkey", "text").select("c_custkey", "path", "kind", "value")
 
 
-_CANONICAL = "'$.odin = \"1.0.0\"\ncustomer.active = true\ncustomer.address.nation = @nations[0].name\ncustomer.balance = #$12.50:USD\ncustomer.name = *\"' || c_name || '\"\ncustomer.none = ~\ncustomer.number = !##' || c_custkey || '\ncustomer.rate = #1.5\nlines[0].note = \"x\"\nlines[0].qty = ##2\nlines[0].sku = \"A, ' || c_custkey || '\"\nlines[1].qty = ##10\nlines[1].sku = \"B\"\nnations[0].name = \"N\"\n'"
+_CANONICAL = "'$.version = \"1.0.0\"\ncustomer.active = true\ncustomer.address.nation = @nations[0].name\ncustomer.balance = #$12.50:USD\ncustomer.name = *\"' || c_name || '\"\ncustomer.none = ~\ncustomer.number = !##' || c_custkey || '\ncustomer.rate = #1.5\nlines[0].note = \"x\"\nlines[0].qty = ##2\nlines[0].sku = \"A, ' || c_custkey || '\"\nlines[1].qty = ##10\nlines[1].sku = \"B\"\nnations[0].name = \"N\"\n'"
 
 
 @query("canonical_text", f"SELECT c_custkey, {_CANONICAL} AS text, sha256({_CANONICAL}) AS hash FROM customer")
