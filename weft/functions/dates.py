@@ -55,7 +55,7 @@ def parse_timestamp(x, pattern: str) -> Column:
     return F.date_format(parsed(x, pattern), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-#: Patterns that ``is_valid`` knows, and how many digits each part has.
+#: Patterns that ``is_valid`` knows, in Spark's letters.
 STRICT = {"YYYY-MM-DD": "yyyy-MM-dd", "MM/DD/YYYY": "MM/dd/yyyy", "DD/MM/YYYY": "dd/MM/yyyy", "YYYY/MM/DD": "yyyy/MM/dd"}
 
 
@@ -69,11 +69,15 @@ def is_valid(x, pattern: str) -> Column:
     return fits & F.try_to_timestamp(F.when(fits, s), F.lit(STRICT[pattern])).isNotNull()
 
 
+#: Fixed value: the form of ISO 8601 durations, from years to seconds.
+ISO_DURATION = r"^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+
+
 def duration(x, kind: str = "string") -> Column:
     """Seconds, or an ISO 8601 duration, in words."""
     s = text(x, kind)
     units = ("year", "month", "day", "hour", "minute", "second")
-    iso = r"^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+    iso = ISO_DURATION
     plain = F.regexp_like(s, F.lit(r"^\d+(?:\.\d+)?$"))
     total = F.when(plain, s).try_cast("double")
     split = [F.lit(0.0), F.lit(0.0), F.floor(total / 86_400), F.floor(total % 86_400 / 3600), F.floor(total % 3600 / 60), total - F.floor(total / 60) * 60]
