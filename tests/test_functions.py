@@ -100,6 +100,9 @@ def test_registry_builds():
 def test_frames(spark):
     df = spark.createDataFrame([(1, 5, "a"), (2, None, "a"), (3, 7, "b"), (4, 7, None)], "id long, v long, k string")
     assert {r.id for r in R.dedupe(df, "k", ["id"]).collect()} == {1, 3, 4}
+    assert {r.id for r in R.dedupe(df, "k", [F.desc("id")]).collect()} == {2, 3, 4}
+    z = {r.id: r.z for r in R.zscore(spark.createDataFrame([(1, 1.0, "a"), (2, 3.0, "a"), (3, 5.0, "b"), (4, 1.0, None), (5, 2.0, None)], "id long, v double, k string"), "v", "k").collect()}
+    assert z == {1: -1.0, 2: 1.0, 3: None, 4: -1.0, 5: 1.0}
     assert R.drop(df, 3, ["id"]).first().id == 4
     assert R.totals(df, "k", s=("sum", "v"), m=("avg", "v")).where("k = 'a'").first()[1:] == (5.0, 2.5)
     assert sorted(r.id for r in R.sample(df, 2, 9, ["id"]).collect()) == sorted(r.id for r in R.sample(df.repartition(3), 2, 9, ["id"]).collect())

@@ -116,7 +116,7 @@ def distinct_by(df: DataFrame, keys, order) -> DataFrame:
 
 def dedupe(df: DataFrame, key: str, order) -> DataFrame:
     """First row of each key; rows without the key all stay."""
-    if set(_names(order)) - set(df.columns):
+    if any(not isinstance(o, str) or o not in df.columns for o in _names(order)):
         return df.withColumn("_n", F.row_number().over(spec(key, order))).where((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
     # the least row of each key is an aggregate, which combines before the shuffle: a hot key is no hot task
     first = df.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("_h"), key).agg(F.min_by(F.struct(*df.columns), F.struct(*_names(order))).alias("_row"))
