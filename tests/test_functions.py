@@ -69,6 +69,10 @@ CASES = [
     (lambda: A.slice_(col(1, 2, 3, 4), -3, -1), [2, 3]),
     (lambda: A.sort_by(F.array(F.struct(F.lit(2).alias("k")), F.struct(F.lit(1).alias("k"))), lambda x: x["k"])[0]["k"], 1),
     (lambda: A.from_entries(F.array(F.struct(F.lit("a").alias("key"), F.lit(1).alias("value")), F.struct(F.lit("a").alias("key"), F.lit(2).alias("value"))))["a"], 2),
+    (lambda: A.index_of(col(0.5, -0.0, 3.0), text(F.lit(0.0), "double")), 1),
+    (lambda: A.index_of(col(0.5, -0.0, 3.0), "3"), 2),
+    (lambda: A.index_of(col("3.0", "3"), "3"), 1),
+    (lambda: A.includes(col(0.25, 2.0), text(F.lit(2.0), "double")), True),
     (lambda: A.count_by(col("b", "a", "b")), {"a": 1, "b": 2}),
     (lambda: A.compact(col("a", None, "")), ["a"]),
     (lambda: A.avg(col(1, None, 2)), 1.0),

@@ -22,6 +22,11 @@ def test(x, op: str, value) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def item_text(x) -> Column:
+    """Text of an array's item, whose kind only its type tells: of doubles as ``text`` gives it, so that it meets the text of a value."""
+    return F.when(F.typeof(x).isin("double", "float"), text(x.cast("string").try_cast("double"), "double")).otherwise(text(x))
+
+
 def let(value, fn) -> Column:
     """fn of a value that is evaluated once, also where fn uses it for each item of an array."""
     return F.get(F.transform(F.array(value), lambda x: fn(x)), 0)
@@ -170,7 +175,7 @@ def sort_by(arr, field, desc: bool = False) -> Column:
 
 
 def index_of(arr, value) -> Column:
-    return (F.array_position(F.transform(arr, lambda x: text(x)), text(value)) - 1).cast("long")
+    return (F.array_position(F.transform(arr, item_text), text(value)) - 1).cast("long")
 
 
 def at(arr, i) -> Column:
@@ -210,7 +215,7 @@ def find_index(arr, field, op, value) -> Column:
 
 
 def includes(arr, value) -> Column:
-    return F.array_contains(F.transform(arr, lambda x: text(x)), text(value))
+    return F.array_contains(F.transform(arr, item_text), text(value))
 
 
 def concat_arrays(a, b) -> Column:
