@@ -351,3 +351,5 @@ def test_queries_equal_their_sql_on_any_keys(spark, tmp_path):
     assert value("format_ipv6", "customer", keys) == {k: k % 2 == 0 for k in keys["c_custkey"]}
     taken = value("format_vin", "customer", {"c_custkey": list(range(9900, 10100))})
     assert all(taken[k] for k in range(9900, 10000)) and not any(taken[k] for k in range(10000, 10100))
+    orders = {"o_orderkey": [1, 2, 3, 4], "o_orderstatus": ["O"] * 4, "o_totalprice": [2500.0, 2000.0, 3500.0, 2600.0]}
+    assert value("series_rank", "orders", orders) == {3: 1, 4: 2, 1: 3, 2: 3}

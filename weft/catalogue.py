@@ -313,7 +313,7 @@ def _(s, p):
 
 @query("series_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY CAST(o_totalprice / 1000 AS BIGINT) DESC) AS rank FROM orders")
 def _(s, p):
-    return read(s, p, "orders").select("o_orderkey", R.rank("o_orderstatus", F.desc(F.round(C("o_totalprice") / 1000).cast("long"))).alias("rank"))
+    return read(s, p, "orders").select("o_orderkey", R.rank("o_orderstatus", F.desc(F.rint(C("o_totalprice") / 1000).cast("long"))).alias("rank"))
 
 
 @query("series_fill_missing", f"SELECT event_id, coalesce(v, last_value(v IGNORE NULLS) {_W})) AS forward, coalesce(v, first_value(v IGNORE NULLS) {_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS backward FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 > 0 THEN value END AS v FROM events)")
