@@ -1,6 +1,7 @@
 """Literal cases of functions, frames, programs, formats and documents."""
 
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,9 @@ CASES = [
     (lambda: S.gcd(F.lit(48), F.lit(18)), 6),
     (lambda: S.convert_unit(F.lit(100), "C", "F"), 212.0),
     (lambda: S.convert_unit(F.lit(1), "kg", "m"), None),
+    (lambda: F.format_string("%.6f", S.convert_unit(F.lit(4550), "lb", "kg")), "2063.845284"),
+    (lambda: F.format_string("%.6f", S.convert_unit(F.lit(Decimal(4550)), "lb", "kg", "decimal")), "2063.845283"),
+    (lambda: S.convert_unit(F.lit(None).cast("decimal(9,0)"), "mg", "kg", "decimal"), 0.0),
     (lambda: S.npv(0.1, col(-100.0, 30.0, 40.0, 50.0, 60.0)), 38.877),
     (lambda: S.irr(col(-100.0, 30.0, 40.0, 50.0, 60.0)), 0.249),
     (lambda: S.business_days(F.lit("2024-06-14").cast("date"), 1).cast("string"), "2024-06-17"),

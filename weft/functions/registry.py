@@ -144,7 +144,7 @@ def _numbers():
     register("isFinite", lambda a: Typed(S.is_finite(a.column) if a.kind != "string" else F.lit(False), "boolean"), 1)
     register("isNaN", lambda a: Typed(F.isnan(_n(a)), "boolean"), 1)
     register("parseInt", lambda a, r=None: Typed(S.parse_int(_t(a), int(_lit(r)) if r else 10), "long"), 2, 1)
-    register("convertUnit", lambda a, u, v: Typed(S.convert_unit(_n(a), _lit(u), _lit(v)), "double"), 3)
+    register("convertUnit", lambda a, u, v: Typed(S.convert_unit(a.column if a.kind == "decimal" else _n(a), _lit(u), _lit(v), a.kind), "double"), 3)
     register("distance", lambda a, b, c, d, u=None: Typed(S.distance(_n(a), _n(b), _n(c), _n(d), _lit(u) if u else "km"), "double"), 5, 4)
     register("inBoundingBox", lambda *a: Typed(S.in_box(*[_n(x) for x in a]), "boolean"), 6)
     register("midpoint", lambda *a: Typed(S.midpoint(*[_n(x) for x in a]), "object"), 4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -429,8 +430,9 @@ UNITS = {
 TEMPERATURES = ("C", "F", "K")
 
 
-def convert_unit(x, a: str, b: str) -> Column:
-    """Six decimals; null for unknown units and units of different families."""
+def convert_unit(x, a: str, b: str, kind: str = "double") -> Column:
+    """Six decimals; null for unknown units and units of different families. Of kind "decimal", the amount is multiplied without error, and
+    only the product is a double: numbers halfway between two of six decimals may go to another side than a product of doubles."""
     v = number(x, "double")
     families = [f for f in UNITS.values() if a in f and b in f]
     if not families and not (a in TEMPERATURES and b in TEMPERATURES):
@@ -438,7 +440,9 @@ def convert_unit(x, a: str, b: str) -> Column:
     if a == b:
         return v
     if families:
-        out = v * families[0][a] / families[0][b]
+        size = families[0][a]
+        product = (F.coalesce(col(x), F.lit(0)) * F.lit(Decimal(f"{Decimal(str(size)):f}"))).cast("double") if kind == "decimal" else v * size
+        out = product / families[0][b]
     else:
         celsius = {"C": v, "F": (v - 32) * 5 / 9, "K": v - 273.15}[a]
         out = {"C": celsius, "F": celsius * 9 / 5 + 32, "K": celsius + 273.15}[b]
