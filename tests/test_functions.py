@@ -1,6 +1,7 @@
 """Literal cases of functions, frames, programs, formats and documents."""
 
 import math
+import time
 from decimal import Decimal
 
 import pytest
@@ -357,3 +358,20 @@ def test_queries_equal_their_sql_on_any_keys(spark, tmp_path):
     assert all(taken[k] for k in range(9900, 10000)) and not any(taken[k] for k in range(10000, 10100))
     orders = {"o_orderkey": [1, 2, 3, 4], "o_orderstatus": ["O"] * 4, "o_totalprice": [2500.0, 2000.0, 3500.0, 2600.0]}
     assert value("series_rank", "orders", orders) == {3: 1, 4: 2, 1: 3, 2: 3}
+
+
+def seconds(df):
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_a_root_found_ends_the_work(spark):
+    one = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.lit(0.0), lambda a, k: a + x / 200)
+
+    def found(steps):
+        df = spark.range(0, 500, 1, 1).select(S._newton(lambda r: one(r) - 1, lambda r: one(r) / r, (F.col("id") * 0 + 1).cast("double"), 1e-6, 1e-10, -9.0, 9.0, steps).alias("x"))
+        assert {r.x for r in df.collect()} == {1.0}
+        return min(seconds(df) for _ in range(2))
+
+    assert found(500) < 10 * found(2)

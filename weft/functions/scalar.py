@@ -739,7 +739,7 @@ def irr(flows) -> Column:
 
 def _newton(value, slope, guess, precision: float, flat: float, low: float, high: float, steps: int = 100) -> Column:
     """The first of the steps' points at which the value is within the precision of 0; null where the slope is flat or a step leaves
-    (low, high)."""
+    (low, high). Steps after that cost a look at the state."""
     start = F.struct(F.lit(guess).cast("double").alias("x"), F.lit(False).alias("done"), F.lit(False).alias("lost"))
 
     def step(s, _):
@@ -751,7 +751,7 @@ def _newton(value, slope, guess, precision: float, flat: float, low: float, high
             lost = ~hit & ((F.abs(p["d"]) < flat) | ~new.between(low, high) | F.isnan(new))
             return F.struct(F.when(over | hit | lost, s["x"]).otherwise(new).alias("x"), (s["done"] | (~s["lost"] & hit)).alias("done"), (s["lost"] | (~s["done"] & lost)).alias("lost"))
 
-        return F.get(F.transform(F.array(at), moved), 0)
+        return F.when(s["done"] | s["lost"], s).otherwise(F.get(F.transform(F.array(at), moved), 0))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: F.when(s["done"], s["x"]))
 
