@@ -767,8 +767,11 @@ def xirr(flows, days, guess: float = 0.1) -> Column:
 
 def rate(periods, payment, present, future) -> Column:
     """The interest a period at which present, payments and future value balance."""
-    n, p, v, w = (number(x, "double") for x in (periods, payment, present, future))
+    given = F.struct(*[number(x, "double").alias(k) for k, x in zip("npvw", (periods, payment, present, future))])
+    return F.get(F.transform(F.array(given), lambda g: _rate(*[g[k] for k in "npvw"])), 0)  # each is evaluated once
 
+
+def _rate(n, p, v, w) -> Column:
     def value(r):
         f = F.pow(1 + r, n)
         return F.when(r == 0, v + p * n + w).otherwise(v + p * (1 - 1 / f) / F.when(r == 0, F.lit(1.0)).otherwise(r) + w / f)
