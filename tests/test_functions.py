@@ -375,3 +375,12 @@ def test_a_root_found_ends_the_work(spark):
         return min(seconds(df) for _ in range(2))
 
     assert found(500) < 10 * found(2)
+
+
+def test_durations_are_matched_once(spark):
+    from weft.functions import dates
+
+    df = spark.createDataFrame([("P1Y2DT3H30M1.5S",), ("P1M",), ("PT1S",), ("PT0S",), ("93784.5",), ("60",), ("P",), ("x",), ("",), (None,)], "s string").select(dates.duration(F.col("s")).alias("d"))
+    assert [r.d for r in df.collect()] == ["1 year, 2 days, 3 hours, 30 minutes, 1.5 seconds", "1 month", "1 second", "0 seconds", "1 day, 2 hours, 3 minutes, 4.5 seconds", "1 minute", "0 seconds", None, None, None]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp") + plan.count("RLIKE") <= 12

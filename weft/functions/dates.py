@@ -80,14 +80,16 @@ def duration(x, kind: str = "string") -> Column:
     iso = ISO_DURATION
     plain = F.regexp_like(s, F.lit(r"^\d+(?:\.\d+)?$"))
     total = F.when(plain, s).try_cast("double")
-    split = [F.lit(0.0), F.lit(0.0), F.floor(total / 86_400), F.floor(total % 86_400 / 3600), F.floor(total % 3600 / 60), total - F.floor(total / 60) * 60]
-    parts = []
-    for k, unit in enumerate(units):
-        n = F.when(plain, split[k].cast("double")).otherwise(F.coalesce(F.regexp_extract(s, iso, k + 1).try_cast("double"), F.lit(0.0)))
+    split = F.array(F.lit(0.0), F.lit(0.0), *[c.cast("double") for c in (F.floor(total / 86_400), F.floor(total % 86_400 / 3600), F.floor(total % 3600 / 60))], total - F.floor(total / 60) * 60)
+    given = F.split(F.regexp_replace(s, iso, ",".join(f"${k + 1}" for k in range(len(units)))), ",")
+    counts = F.when(plain, split).otherwise(F.transform(given, lambda n: F.coalesce(n.try_cast("double"), F.lit(0.0))))
+
+    def part(n, k):
         said = F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(F.format_string("%.1f", n))
-        parts.append(F.when(n > 0, F.concat(said, F.when(n == 1, F.lit(f" {unit}")).otherwise(f" {unit}s"))))
-    out = F.array_join(F.array_compact(F.array(*parts)), ", ")
-    return F.when(plain | F.regexp_like(s, F.lit(iso)), F.when(out == "", "0 seconds").otherwise(out))
+        return F.when(n > 0, F.concat(said, F.lit(" "), F.get(F.array(*map(F.lit, units)), k), F.when(n == 1, "").otherwise("s")))
+
+    out = F.array_join(F.transform(counts, part), ", ")  # what is null is left out
+    return F.when(plain | F.regexp_like(s, F.lit(iso)), F.get(F.transform(F.array(out), lambda o: F.when(o == "", "0 seconds").otherwise(o)), 0))
 
 
 #: How locales write short dates, and their thousands and decimal marks.
