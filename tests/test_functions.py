@@ -377,6 +377,15 @@ def test_a_root_found_ends_the_work(spark):
     assert found(500) < 10 * found(2)
 
 
+def test_a_seed_is_hashed_once(spark):
+    from weft.functions import generate as G
+
+    def drawn(n):
+        return min(seconds(spark.range(0, 20, 1, 1).select(G.nanoid(n, F.repeat(F.col("id").cast("string"), 20_000)))) for _ in range(2))
+
+    assert drawn(200) < 10 * drawn(1)
+
+
 def test_durations_are_matched_once(spark):
     from weft.functions import dates
 

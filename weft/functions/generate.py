@@ -76,6 +76,7 @@ def nanoid(size=21, seed: Column | None = None) -> Column:
     """``size`` characters of the alphabet, 256 at most; null for none."""
     n = F.least(F.floor(F.lit(size) if not isinstance(size, Column) else size).cast("int"), F.lit(LONGEST_ID))
     given = F.uuid() if seed is None else F.when(text(seed) == "", F.uuid()).otherwise(text(seed))
-    # the seed is bound once, as a random one is drawn anew wherever it stands
-    letters = F.get(F.transform(F.array(given), lambda s: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.lit(ALPHABET), (F.floor(draw(seed_of(s), k) * 64) + 1).cast("int"), F.lit(1))), "")), 0)
+    # the seed's hash is bound once for all letters, and so is a random seed, which is drawn anew wherever it stands
+    hashed = F.transform(F.array(given), seed_of)
+    letters = F.get(F.transform(hashed, lambda h: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.lit(ALPHABET), (F.floor(draw(h, k) * 64) + 1).cast("int"), F.lit(1))), "")), 0)
     return F.when(n > 0, letters)
