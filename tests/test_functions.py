@@ -393,3 +393,28 @@ def test_durations_are_matched_once(spark):
     assert [r.d for r in df.collect()] == ["1 year, 2 days, 3 hours, 30 minutes, 1.5 seconds", "1 month", "1 second", "0 seconds", "1 day, 2 hours, 3 minutes, 4.5 seconds", "1 minute", "0 seconds", None, None, None]
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp") + plan.count("RLIKE") <= 12
+
+
+def tasks(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def one_task(spark, path, text):
+    """200 keyed texts in a file that one task reads."""
+    spark.range(0, 200, 1, 1).select(F.col("id").alias("k"), text.alias("t")).write.parquet(str(path))
+    df = spark.read.parquet(str(path))
+    assert tasks(df) == 1
+    return df
+
+
+def test_notation_is_read_by_many_tasks(spark, tmp_path):
+    from weft.sources import notation as N
+
+    text = F.when(F.col("id") == 7, None).when(F.col("id") == 8, F.lit("a = nope")).otherwise(F.concat(F.lit('{b}\nx = !##2\n{a[] : y}\n"q;"\n---\nc = *##'), F.col("id")))
+    rows = N.read(one_task(spark, tmp_path / "t", text), "k", "t")
+    assert tasks(rows) == 4
+    got = rows.orderBy("k", "document", "path").collect()
+    assert len(got) == 198 * 3 + 1 and [tuple(r) for r in got if r.k == 9] == [(9, 0, "a[0].y", "string", "q;", False, False, False, None), (9, 0, "b.x", "integer", "2", True, False, False, None), (9, 1, "c", "integer", "9", False, True, False, None)]
+    assert [(r.path, r.error[:4]) for r in got if r.k == 8] == [(None, "P001")]
+    texts = {r.k: r.text for r in N.canonical(rows, "k").collect()}
+    assert len(texts) == 198 and texts[9] == 'a[0].y = "q;"\nb.x = !##2\nc = *##9\n'

@@ -243,3 +243,16 @@ def windows(c, n: int, by, order) -> Column:
     """Complete windows of n rows that end here; null before."""
     w = spec(by, order).rowsBetween(-(n - 1), 0)
     return F.when(F.count(F.lit(1)).over(w) == n, F.collect_list(c).over(w))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over as many tasks as shuffles have, and as there are cores at least. For work that takes long for a row: a file is read
+    by as many tasks as it has row groups, and these may have a million rows. Streams stay as they are."""
+    if df.isStreaming:
+        return df
+    session = df.sparkSession
+    try:
+        cores = session.sparkContext.defaultParallelism
+    except Exception:  # a remote session has no context
+        cores = 1
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), cores))

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frames import spread
+
 #: Segments of a path, and the index of an array, at most.
 DEEPEST, GREATEST_INDEX = 64, 1_000_000
 FLAGS = ("required", "confidential", "deprecated")
@@ -50,6 +52,8 @@ class Entry:
 
 
 def _uncommented(line: str) -> str:
+    if ";" not in line:
+        return line.strip()
     return re.sub(r'^((?:[^";]|"(?:[^"\\]|\\.)*")*);.*$', r"\1", line).strip()
 
 
@@ -290,6 +294,8 @@ def serialize(entries: list[Entry]) -> str:
     return "\n".join(out) + ("\n" if out else "")
 
 
+#: Rows handed on at once, or more by one text's.
+BATCH = 20_000
 ROWS = "document int, path string, kind string, value string, required boolean, confidential boolean, deprecated boolean, error string"
 
 
@@ -298,20 +304,30 @@ def read(texts: DataFrame, key: str, text: str) -> DataFrame:
     kind = dict(texts.dtypes)[key]
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        types = [pa.int32(), *[pa.string()] * 3, *[pa.bool_()] * len(FLAGS), pa.string()]
         names = [key, *[c.split()[0] for c in ROWS.split(", ")]]
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text]):
+
+        def made(keys, at, rows):
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names)
+
+        for batch in batches:
+            keys, at, rows = batch.column(0), [], []
+            for k, t in enumerate(batch.column(1)):
                 try:
-                    found = parse(t or "")
-                    rows += [(k, n, e.path, e.kind, e.value, *[f in e.flags for f in FLAGS], None) for n, d in enumerate(found) for e in d]
+                    new = [(n, e.path, e.kind, e.value, *[f in e.flags for f in FLAGS], None) for n, d in enumerate(parse(t.as_py() or "")) for e in d]
                 except NotationError as e:
-                    rows.append((k, 0, None, None, None, False, False, False, str(e)))
-            yield pd.DataFrame(rows, columns=names)
+                    new = [(0, None, None, None, False, False, False, str(e))]
+                rows += new
+                at += [k] * len(new)
+                if len(rows) >= BATCH:
+                    yield made(keys, at, rows)
+                    at, rows = [], []
+            if rows:
+                yield made(keys, at, rows)
 
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, {ROWS}")
+    return spread(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, {ROWS}")
 
 
 def from_json(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -388,6 +404,6 @@ def canonical(rows: DataFrame, key: str) -> DataFrame:
     """(key, text, hash) of each document: its lines in canonical order, and their SHA-256."""
     marks = F.concat(F.lit(""), *[F.when(F.coalesce(F.col(f), F.lit(False)), m).otherwise("") for m, f in _MARKS.items() if f in rows.columns])
     line = F.concat(F.col("path"), F.lit(" = "), marks, canonical_value(F.col("kind"), F.col("value")), F.lit("\n"))
-    sorted_ = F.array_sort(F.collect_list(F.struct(path_key(F.col("path")).alias("k"), line.alias("line"))))
+    sorted_ = F.sort_array(F.collect_list(F.struct(path_key(F.col("path")).alias("k"), line.alias("line"))))
     text = F.array_join(F.transform(sorted_, lambda x: x["line"]), "")
     return rows.where("path is not null").groupBy(key).agg(text.alias("text")).withColumn("hash", F.sha2("text", 256))
