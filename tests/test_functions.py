@@ -418,3 +418,13 @@ def test_notation_is_read_by_many_tasks(spark, tmp_path):
     assert [(r.path, r.error[:4]) for r in got if r.k == 8] == [(None, "P001")]
     texts = {r.k: r.text for r in N.canonical(rows, "k").collect()}
     assert len(texts) == 198 and texts[9] == 'a[0].y = "q;"\nb.x = !##2\nc = *##9\n'
+
+
+def test_documents_are_read_by_many_tasks(spark, tmp_path):
+    from weft.sources import notation as N
+
+    for name, text, read in (
+        ("json", '{"a": [1]}', lambda df: N.from_json(df, "k", "t")), ("xml", "<r><a>1</a></r>", lambda df: readers.xml(df, "k", "t")), ("yaml", "a: 1", lambda df: readers.yaml(spark, df, "k", "t")),
+    ):
+        rows = read(one_task(spark, tmp_path / name, F.lit(text)))
+        assert tasks(rows) == 4 and rows.count() == 200, name

@@ -352,7 +352,7 @@ def from_json(texts: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, *leaf) for k, t in zip(pdf[key], pdf[text]) for leaf in leaves(json.loads(t), "")]
             yield pd.DataFrame(rows, columns=[key, "path", "kind", "value"])
 
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, path string, kind string, value string")
+    return spread(texts.select(key, text)).mapInPandas(run, f"`{key}` {kind}, path string, kind string, value string")
 
 
 def from_rows(df: DataFrame, key: str) -> DataFrame:

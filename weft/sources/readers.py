@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frames import spread
+
 
 def inferred(c: Column) -> Column:
     """A cell's typed reading: struct of the kind and the value as a boolean, number or text."""
@@ -109,7 +111,7 @@ def xml(texts: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, p, v) for k, t in zip(pdf[key], pdf[text]) if t for p, v in xml_paths(t)]
             yield pd.DataFrame(rows, columns=[key, "path", "value"])
 
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, path string, value string")
+    return spread(texts.select(key, text)).mapInPandas(run, f"`{key}` {kind}, path string, value string")
 
 
 def yaml(spark: SparkSession, texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -122,7 +124,7 @@ def yaml(spark: SparkSession, texts: DataFrame, key: str, text: str) -> DataFram
             rows = [(k, p, v) for k, t in zip(pdf[key], pdf[text]) for p, v in yaml_paths(t or "")]
             yield pd.DataFrame(rows, columns=["doc_id", "path", "value"])
 
-    return texts.select(key, text).mapInPandas(run, f"doc_id {dict(texts.dtypes)[key]}, path string, value string")
+    return spread(texts.select(key, text)).mapInPandas(run, f"doc_id {dict(texts.dtypes)[key]}, path string, value string")
 
 
 def yaml_paths(source: str):
