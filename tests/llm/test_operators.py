@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -607,6 +608,87 @@ def test_lm_scores_as_word_by_word(spark, docs):
             assert all(math.isclose(r.score, want, rel_tol=1e-4) for r in got[i])
 
 
+def lm_slopes(n, size, seed):
+    """Rows of three levels' features and their slopes: most rows met a few times, some hundreds of times, some never."""
+    rng = np.random.default_rng(seed)
+    rows = [[np.where(rng.random(n) < 0.1, rng.integers(0, 5, n), rng.integers(0, size - 3, n)) for _ in range(3)] for _ in range(3)]
+    return rows, rng.normal(0, 1, (3 * n, 16)).astype(np.float32)
+
+
+def sorted_sums(rows, slopes):
+    """Sums by row as numpy has them: slopes set out in the rows' order, and summed stretch by stretch."""
+    flat = np.concatenate([r for level in rows for r in level])
+    order, n = np.argsort(flat.astype(np.uint16), kind="stable"), len(rows[0][0])
+    spread, own = slopes[order // (3 * n) * n + order % n], flat[order]
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own[starts], np.diff(np.append(starts, len(own))), np.add.reduceat(spread, starts, axis=0)
+
+
+def test_lm_sums_of_slopes(monkeypatch):
+    """Each row met gets the sum of all its slopes once, however often it is met and however the rows are cut in chunks."""
+    for n, size, chunk in ((1, 8, 4), (40, 4096, 7), (5000, 4096, 1 << 14), (5000, 512, 100)):
+        monkeypatch.setattr(language_model, "CHUNK", chunk)
+        rows, slopes = lm_slopes(n, size, n)
+        want = {r: (t, x) for r, t, x in zip(*sorted_sums(rows, slopes))}
+        got = {}
+        for own, times, sums in language_model._sums(rows, slopes, size):
+            assert len(own) <= chunk and not got.keys() & set(own.tolist())
+            got |= {r: (t, x) for r, t, x in zip(own.tolist(), times.tolist(), sums.copy())}
+        assert got.keys() == want.keys() and all(got[r][0] == t and np.allclose(got[r][1], x, atol=1e-3) for r, (t, x) in want.items())
+    assert max(t for t, _ in want.values()) > 2 * language_model.MOST
+
+
+def test_lm_sums_take_less_time():
+    """Than summing stretch by stretch, of which training mostly consisted."""
+    rows, slopes = lm_slopes(50_000, 1 << 16, 1)
+
+    def took(work):
+        begun = time.process_time()
+        work()
+        return time.process_time() - begun
+
+    new, plain = lambda: [None for _ in language_model._sums(rows, slopes, 1 << 16)], lambda: sorted_sums(rows, slopes)
+    assert min(took(new) for _ in range(3)) < 0.8 * min(took(plain) for _ in range(3))
+
+
+def test_lm_step_as_plain_loops():
+    """One minibatch: every row and bias moves by its summed slopes, in Python's own numbers."""
+    m = language_model
+    words = [b"", *[b"w%d" % k for k in range(30)]]
+    block, singles = lm_block(words, [60, 1, 40, 9], [False, False, True, False]), lm_singles(words[:12])
+    used = np.zeros(m.LEAVES, bool)
+    used[singles.leaves] = used[m.tail_leaf(np.arange(m.TAILS))] = True
+    weights = m.start(np.ones(m.LEAVES), used)
+    weights.rows[:] = np.random.default_rng(2).normal(0, 0.1, weights.rows.shape)
+    text, sums, times = m._Text(block, singles), Counter(), Counter()
+    for at in np.flatnonzero(~text.held):
+        at = np.array([at])
+        features = text.features(at)
+        for node, choice in m._choices(text.leaf[text.tokens[at]]):
+            own = [int(r[0]) for r in m._rows(features, node, weights.bits)]
+            z = [float(weights.bias[node[0]][j]) + sum(float(weights.rows[r][j]) for r in own) for j in range(16)]
+            p = [math.exp(v) for v in z]
+            slope = np.array(p) / sum(p) - np.eye(16)[choice[0]]
+            for key in [("bias", int(node[0])), *own]:
+                sums[key], times[key] = sums[key] + slope, times[key] + 1
+    rows, seen, bias, met = m._steps(weights, [block], singles, 0, 1)
+    assert {*np.flatnonzero(seen).tolist(), *(("bias", k) for k in np.flatnonzero(met).tolist())} == times.keys()
+    for key, n in times.items():
+        grad = sums[key] / math.sqrt(n)
+        got, many = (bias[key[1]], met[key[1]]) if isinstance(key, tuple) else (rows[key], seen[key])
+        assert many == n and np.allclose(got, -m.RATE / math.sqrt(0.1 + float(grad @ grad) / 4) * grad, rtol=2e-3, atol=2e-4)
+
+
+def test_lm_ends_of_words():
+    import pyarrow as pa
+
+    words = [b"", b"a", b"\xff", b"ab", "é日".encode(), b"zzz", b"\x00\x00"]
+    array = pa.array(words, pa.binary())
+    assert language_model._ends(array).tolist() == [language_model.end_of(w) for w in words]
+    assert language_model._ends(array.slice(2, 3)).tolist() == [language_model.end_of(w) for w in words[2:5]]
+    assert language_model._ends(array[:1]).tolist() == [language_model.end_of(b"")]
+
+
 def test_lm_learns_from_history(spark):
     """Words that only the history tells apart are scored better than by their shares, on held-out documents."""
     rng = random.Random(11)

@@ -25,6 +25,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from dataclasses import dataclass
@@ -51,6 +52,12 @@ BESIDE = 64
 NODES = 1 + BRANCH + GROUPS
 ROUNDS = 2
 BATCH = 1 << 16
+#: Rows of 16 floats worked on at once: few enough to stay in a core's cache.
+CHUNK = 1 << 14
+#: A row's 64 bytes.
+WHOLE = "V64"
+#: Slopes of a row that are added in turn with those of all other rows; what a row has beyond is summed apart.
+MOST = 32
 RATE = 0.2
 MOD, REST = 7, 2
 BLOCK_CHARS = 24_000_000
@@ -63,6 +70,24 @@ def end_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) & 0xFFFF
 
 
+@functools.cache
+def _two_bytes() -> np.ndarray:
+    """end_of any two bytes, the first of them times 256 and the second."""
+    return np.array([end_of(bytes((k >> 8, k & 255))) for k in range(1 << 16)], np.uint16)
+
+
+def _ends(words: pa.BinaryArray) -> np.ndarray:
+    """end_of each word."""
+    _, places, data = words.buffers()
+    stops = np.frombuffer(places, np.int32)[words.offset : words.offset + len(words) + 1] + 2
+    data = np.concatenate((np.zeros(2, np.uint8), np.frombuffer(data or b"", np.uint8))).astype(np.uint16)
+    sizes, last = np.diff(stops), data[stops[1:] - 1]
+    out = _two_bytes()[data[stops[1:] - 2] << 8 | last]
+    out[sizes == 1] = np.array([end_of(bytes((k,))) for k in range(256)], np.uint16)[last[sizes == 1]]
+    out[sizes == 0] = end_of(b"")
+    return out
+
+
 def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The texts' lower-cased words at ASCII white space, one text after another, and how many each has."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -73,7 +98,7 @@ def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return coded, np.diff(before[offsets])
 
 
-def _tokens(parts: list[tuple[pa.DictionaryArray, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _tokens(parts: list[tuple[pa.DictionaryArray, np.ndarray]]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
     """(distinct words, tokens, tokens of each text) of several ``_words``; the end, word 0, stands after each text."""
     chunks = pa.chunked_array([p[0] for p in parts]).unify_dictionaries().chunks
     own = np.concatenate([p[1] for p in parts])
@@ -81,7 +106,7 @@ def _tokens(parts: list[tuple[pa.DictionaryArray, np.ndarray]]) -> tuple[list[by
     words = np.ones(len(tokens), bool)
     words[np.cumsum(own + 1) - 1] = False
     tokens[words] = np.concatenate([c.indices.to_numpy() for c in chunks]) + 1
-    return [b"", *chunks[0].dictionary.cast(pa.binary()).to_pylist()], tokens, own + 1
+    return pa.concat_arrays([pa.array([b""], pa.binary()), chunks[0].dictionary.cast(pa.binary())]), tokens, own + 1
 
 
 def _blocks(batches):
@@ -99,10 +124,10 @@ def _blocks(batches):
             pa.array([ids.to_pylist()], pa.list_(pa.int64())),
             pa.array([held.to_pylist()], pa.list_(pa.bool_())),
             pa.array([lens], pa.list_(pa.int32())),
-            pa.array([words], pa.list_(pa.binary())),
+            pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
             pa.array([uses.astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).tobytes()], pa.binary()),
-            pa.array([np.fromiter(map(end_of, words), np.uint16, len(words)).tobytes()], pa.binary()),
+            pa.array([np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.uint32, len(words)).tobytes()], pa.binary()),
+            pa.array([_ends(words).tobytes()], pa.binary()),
             pa.array([tokens.tobytes()], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "held", "lens", "words", "uses", "hashes", "ends", "tokens"])
@@ -212,7 +237,7 @@ def _choices(leaves: np.ndarray):
     leaves = leaves.astype(np.int64)
     first = leaves // GROUPS
     second = leaves // BRANCH
-    return [(np.zeros(len(leaves), np.int64), first), (1 + first, second % BRANCH), (1 + BRANCH + second, leaves % BRANCH)]
+    return [(np.zeros(len(leaves), np.int64), first), (1 + first, second - first * BRANCH), (1 + BRANCH + second, leaves - second * BRANCH)]
 
 
 def _rows(features: list[np.ndarray], node: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -226,6 +251,13 @@ def _rows(features: list[np.ndarray], node: np.ndarray, bits: int) -> list[np.nd
     return out
 
 
+def _space(rows: int) -> np.ndarray:
+    """Room for rows of 16 floats, each in one line of the cache."""
+    raw = np.empty(rows * BRANCH * 4 + 64, np.uint8)
+    start = -raw.ctypes.data % 64
+    return raw[start : start + rows * BRANCH * 4].view(np.float32).reshape(rows, BRANCH)
+
+
 @dataclass
 class Weights:
     rows: np.ndarray  # hashed features' weights, 16 a row; a power of two of them
@@ -235,14 +267,27 @@ class Weights:
     def bits(self) -> int:
         return len(self.rows).bit_length() - 1
 
-    def probabilities(self, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-        z = np.take(self.bias, node, axis=0, mode="clip")
-        part = np.empty_like(z)
+    def copy(self) -> Weights:
+        """A copy that is quick to gather from."""
+        rows = _space(len(self.rows))
+        rows[:] = self.rows
+        return Weights(rows, self.bias.copy())
+
+    def odds(self, rows: list[np.ndarray], node: np.ndarray, z: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """What the probabilities of the choices are proportional to, in z; part is room as large."""
+        np.take(self.bias, node, axis=0, out=z, mode="clip")
         for r in rows:
             z += np.take(self.rows, r, axis=0, out=part, mode="clip")  # with mode and out, no copy is buffered
-        np.exp(np.clip(z, -80, 60, out=z), out=z)  # a choice that doesn't exist has a bias of -1000
-        z /= (z @ np.ones(BRANCH, np.float32))[:, None]
-        return z
+        return np.exp(np.clip(z, -80, 60, out=z), out=z)  # a choice that doesn't exist has a bias of -1000
+
+    def probabilities(self, rows: list[np.ndarray], node: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        out = _space(len(node)) if out is None else out
+        part = _space(min(len(node), CHUNK))
+        for k in range(0, len(node), CHUNK):
+            z = out[k : k + CHUNK]
+            self.odds([r[k : k + CHUNK] for r in rows], node[k : k + CHUNK], z, part[: len(z)])
+            z /= (z @ np.ones(BRANCH, np.float32))[:, None]
+        return out
 
 
 def size_for(tokens: int) -> int:
@@ -264,54 +309,76 @@ def _met(held: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return at[at % rounds == turn]
 
 
-def _order(rows: np.ndarray, bits: int) -> np.ndarray:
-    """A stable order of the rows: radix sorts of 16 bits each."""
-    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
-    return order[np.argsort((rows[order] >> 16).astype(np.uint8 if bits <= 24 else np.uint16), kind="stable")] if bits > 16 else order
-
-
 def _steps(weights: Weights, blocks, singles: Singles, turn: int, rounds: int):
     """One partition's minibatch steps: changes, and times met, of the rows and the biases."""
-    own = Weights(weights.rows.copy(), weights.bias.copy())
+    own = weights.copy()
     seen, speed = np.zeros(len(own.rows), np.float32), np.full(len(own.rows), 0.1, np.float32)
     met, pace = np.zeros(NODES, np.float32), np.full(NODES, 0.1, np.float32)
+    room, ones = _space(LEVELS * BATCH), np.ones(BATCH, np.float32)
     for block in blocks:
         text = _Text(block, singles)
         at = _met(text.held, turn, rounds)
         size = min(BATCH, max(512, len(at) // 32))
         for k in range(0, len(at), size):
             part = at[k : k + size]
-            features, taken = text.features(part), np.arange(len(part))
-            rows, slopes = [], []
-            for node, choice in _choices(text.leaf[text.tokens[part]]):
-                at_level = _rows(features, node, own.bits)
-                p = own.probabilities(at_level, node)
+            leaves = text.leaf[text.tokens[part]]
+            order = np.argsort(leaves.astype(np.uint16), kind="stable")  # a node's positions stand together
+            part, leaves, taken = part[order], leaves[order], np.arange(len(part))
+            features, slopes, rows = text.features(part), room[: LEVELS * len(part)], []
+            nodes = _choices(leaves)
+            for level, (node, choice) in enumerate(nodes):
+                rows.append(_rows(features, node, own.bits))
+                p = own.probabilities(rows[-1], node, slopes[level * len(part) : (level + 1) * len(part)])
                 p[taken, choice] -= 1
-                rows += at_level
-                slopes.append((node, p))
-            for node, p in slopes:
-                order = np.argsort(node.astype(np.uint16), kind="stable")
-                _move(own.bias, pace, met, node[order], np.take(p, order, axis=0, mode="clip"))
-            flat = np.concatenate(rows)
-            order = _order(flat, own.bits)
-            n, f = len(part), len(features)
-            source = order % n + order // (n * f) * n  # the features of a level share its slopes
-            every = np.concatenate([p for _, p in slopes])
-            spread = np.empty((len(flat), BRANCH), np.float32) if k == 0 or len(flat) != len(spread) else spread
-            _move(own.rows, speed, seen, flat[order], np.take(every, source, axis=0, out=spread, mode="clip"))
+            for level, (node, _) in enumerate(nodes):
+                starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                times, p = np.diff(np.append(starts, len(node))), slopes[level * len(part) : (level + 1) * len(part)]
+                sums = np.array([ones[:n] @ p[a : a + n] for a, n in zip(starts.tolist(), times.tolist())])
+                _move(own.bias, pace, met, node[starts], times, sums)
+            for distinct, times, sums in _sums(rows, slopes, len(own.rows)):
+                _move(own.rows, speed, seen, distinct, times, sums)
     return (own.rows - weights.rows).astype(np.float16), seen, (own.bias - weights.bias).astype(np.float16), met
 
 
-def _move(weights, speed, seen, rows, slopes):
-    """A step of the rows (sorted, repeated) by their summed slopes."""
-    starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    distinct, times = rows[starts], np.diff(np.append(starts, len(rows))).astype(np.float32)
-    grad = np.add.reduceat(slopes, starts, axis=0)
+def _sums(rows: list[list[np.ndarray]], slopes: np.ndarray, size: int):
+    """(distinct rows, times met, summed slopes), a chunk of the rows met at once. ``rows``: of each level, each feature's; the features
+    of a level share its slopes. Rows met most often come first, so that the n-th slopes of all rows met so often are added at once."""
+    n, shift = len(slopes) // len(rows), len(slopes).bit_length()
+    times = np.bincount(np.concatenate([r for level in rows for r in level]), minlength=size)
+    source = np.concatenate([(r << shift) + np.arange(k * n, (k + 1) * n) for k, level in enumerate(rows) for r in level])
+    source.sort()
+    source &= (1 << shift) - 1
+    starts = np.cumsum(times) - times
+    capped = np.minimum(times, MOST + 1)
+    order = np.argsort((MOST + 1 - capped).astype(np.uint8), kind="stable")[: np.count_nonzero(times)]
+    sums, part = (_space(min(len(order), CHUNK)) for _ in range(2))
+    for k in range(0, len(order), CHUNK):
+        own = order[k : k + CHUNK]
+        at, met = starts[own], times[own]
+        out = np.take(slopes, source[at], axis=0, out=sums[: len(own)], mode="clip")
+        more = len(own) - np.cumsum(np.bincount(capped[own], minlength=MOST + 2))  # how many are met more than n times
+        for turn in range(1, MOST):
+            m = more[turn]
+            if not m:
+                break
+            out[:m] += np.take(slopes, source[at[:m] + turn], axis=0, out=part[:m], mode="clip")
+        if m := more[MOST]:
+            rest = met[:m] - MOST
+            first = np.cumsum(rest) - rest
+            places = np.repeat(at[:m] + MOST - first, rest) + np.arange(rest.sum())
+            out[:m] += np.add.reduceat(slopes[source[places]], first, axis=0)
+        yield own, met, out
+
+
+def _move(weights, speed, seen, rows, times, grad):
+    """A step of the distinct rows, met so many times, by their summed slopes."""
+    times = times.astype(np.float32)
     grad /= np.sqrt(times)[:, None]
-    speed[distinct] += np.einsum("ij,ij->i", grad, grad) / 4
-    grad *= (RATE / np.sqrt(speed[distinct]))[:, None]
-    weights[distinct] = np.take(weights, distinct, axis=0, mode="clip") - grad
-    seen[distinct] += times
+    speed[rows] += np.einsum("ij,ij->i", grad, grad) / 4
+    grad *= (RATE / np.sqrt(speed[rows]))[:, None]
+    moved = np.take(weights, rows, axis=0, mode="clip") - grad
+    weights.reshape(-1).view(WHOLE)[rows] = moved.reshape(-1).view(WHOLE)  # a row at once is quicker than its floats
+    seen[rows] += times
 
 
 def _mean(a, b):
@@ -385,9 +452,14 @@ def word_scores(text: _Text, c: np.ndarray, tails: Tails) -> np.ndarray:
 
 def leaf_scores(weights: Weights, text: _Text, at: np.ndarray) -> np.ndarray:
     """log10 P(leaf | history) at the positions."""
-    features, out = text.features(at), np.zeros(len(at))
-    for node, choice in _choices(text.leaf[text.tokens[at]]):
-        out += np.log10(np.maximum(weights.probabilities(_rows(features, node, weights.bits), node)[np.arange(len(at)), choice], 1e-30))
+    out = np.zeros(len(at))
+    room, more = (_space(min(len(at), CHUNK)) for _ in range(2))
+    for k in range(0, len(at), CHUNK):
+        part = at[k : k + CHUNK]
+        features, z, other = text.features(part), room[: len(part)], more[: len(part)]
+        for node, choice in _choices(text.leaf[text.tokens[part]]):
+            weights.odds(_rows(features, node, weights.bits), node, z, other)
+            out[k : k + CHUNK] += np.log10(np.maximum(z[np.arange(len(part)), choice] / (z @ np.ones(BRANCH, np.float32)), 1e-30))
     return out
 
 
